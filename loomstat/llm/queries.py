@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from .common import read, shared_dir
 from .exact_dedup import duplicate_groups
+from .language_id import fit_language_model, identify
 from .line_dedup import drop_repeated_lines
+from .quality import document_statistics, fit_quality, score_quality
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
 
@@ -26,6 +28,23 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def remainder(n: int):
+    """crc32 of the id as text, modulo n; 0 where the id is null."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n)), F.lit(0))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = document_statistics(read(spark, sf_dir, "documents"))
+    model = fit_quality(stats, read(spark, sf_dir, "labels"), remainder(3) != 1)
+    return score_quality(stats, model).select("doc_id", (remainder(3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = fit_language_model(docs, remainder(4) != 2)
+    return identify(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(read(spark, sf_dir, "documents"))
 
@@ -61,7 +80,7 @@ FROM d WINDOW w AS (PARTITION BY c ORDER BY n DESC, doc_id)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op5_exact_dedup, op8_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_language_id, op5_exact_dedup, op8_token_counts, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
