@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, shared_dir
+from .decontamination import leaks
 from .exact_dedup import duplicate_groups
 from .language_id import fit_language_model, identify
 from .line_dedup import drop_repeated_lines
@@ -46,6 +47,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(read(spark, sf_dir, "documents"))
 
@@ -87,7 +92,7 @@ FROM d WINDOW w AS (PARTITION BY c ORDER BY n DESC, doc_id)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_language_id, op5_exact_dedup, op6_personal_data, op8_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_language_id, op4_decontamination, op5_exact_dedup, op6_personal_data, op8_token_counts, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
