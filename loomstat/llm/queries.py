@@ -13,6 +13,7 @@ from .decontamination import leaks
 from .exact_dedup import duplicate_groups
 from .language_id import fit_language_model, identify
 from .line_dedup import drop_repeated_lines
+from .ngram_join import linked_groups
 from .pii import KINDS, find_personal_data
 from .quality import document_statistics, fit_quality, score_quality
 from .token_counts import count_tokens
@@ -61,6 +62,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_groups(read(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = count_tokens(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return out.withColumn("over_limit", F.col("n_tokens") > 512)
@@ -92,7 +97,7 @@ FROM d WINDOW w AS (PARTITION BY c ORDER BY n DESC, doc_id)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_language_id, op4_decontamination, op5_exact_dedup, op6_personal_data, op8_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_language_id, op4_decontamination, op5_exact_dedup, op6_personal_data, op7_ngram_join, op8_token_counts, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
