@@ -16,6 +16,7 @@ from .line_dedup import drop_repeated_lines
 from .ngram_join import linked_groups
 from .pii import KINDS, find_personal_data
 from .quality import document_statistics, fit_quality, score_quality
+from .sentencepiece_lattice import encode_pieces, load_pieces
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
 
@@ -71,6 +72,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = load_pieces(vocabulary("piece_bpe_32k.model"))
+    return encode_pieces(read(spark, sf_dir, "documents"), table).drop("piece_ids")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write_token_files(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), folder)
@@ -97,7 +103,7 @@ FROM d WINDOW w AS (PARTITION BY c ORDER BY n DESC, doc_id)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_language_id, op4_decontamination, op5_exact_dedup, op6_personal_data, op7_ngram_join, op8_token_counts, op10_token_files)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_language_id, op4_decontamination, op5_exact_dedup, op6_personal_data, op7_ngram_join, op8_token_counts, op9_sentencepiece, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -51,7 +51,8 @@ class SpanHash:
     """64-bit hashes of spans of one byte buffer: polynomial sums over random values of the bytes, mixed with the length."""
 
     def __init__(self, data: np.ndarray, fold: bool = False) -> None:
-        values = _BYTE[_FOLD[data] if fold else data]
+        """data: bytes, or code points as 32-bit words."""
+        values = mix(data.astype(U64) + U64(1)) if data.dtype.itemsize == 4 else _BYTE[_FOLD[data] if fold else data]
         self.sums = np.zeros(len(data) + 1, U64)
         np.cumsum(values * _powers(_ODD, len(data))[:-1], out=self.sums[1:])
         self.inverse = _powers(_ODD_INV, len(data))
