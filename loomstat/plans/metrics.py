@@ -185,14 +185,14 @@ def m16_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-_TAU = """WITH d AS (SELECT p_partkey AS i, p_size AS x, p_retailprice AS y FROM part WHERE p_partkey <= 300),
+_TAU = """WITH d AS (SELECT s_suppkey AS i, s_nationkey AS x, s_acctbal AS y FROM supplier),
 p AS (SELECT sign(a.x - b.x) AS sx, sign(a.y - b.y) AS sy FROM d a JOIN d b ON a.i < b.i)
 SELECT round(sum(sx * sy) / sqrt(sum(abs(sx)) * sum(abs(sy))), 6) AS tau FROM p"""
 
 
 @query(_TAU)
 def m18_kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "part").where("p_partkey <= 300").select(F.col("p_partkey").alias("i"), F.col("p_size").alias("x"), F.col("p_retailprice").alias("y"))
+    df = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_nationkey").alias("x"), F.col("s_acctbal").alias("y"))
     return op.kendall(df, "i", "x", "y").select(F.round("tau", 6).alias("tau"))
 
 

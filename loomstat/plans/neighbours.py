@@ -99,11 +99,11 @@ def m8_l1_similarity_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir).select("i", "j", F.round(op.similarity(F.col("d"), 2.0, "i"), 6).alias("w"))
 
 
-@query(f"""WITH {_E}, g AS (SELECT unnest([0.01, 0.1, 1.0])::DOUBLE AS gamma), d AS (SELECT list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d2 FROM e a, e b WHERE a.vec_id < 200 AND b.vec_id < 200)
+@query("""WITH e AS (SELECT s_acctbal / 1000 AS a, s_nationkey / 10.0 AS b FROM supplier), g AS (SELECT unnest([0.01, 0.1, 1.0])::DOUBLE AS gamma), d AS (SELECT power(x.a - y.a, 2) + power(x.b - y.b, 2) AS d2 FROM e x, e y)
 SELECT gamma, round(var_samp(exp(-gamma * d2)) * 100, 6) AS variance FROM d, g GROUP BY gamma""")
 def a19_l8_gram_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _points(spark, sf_dir).where("vec_id < 200")  # the operator's tuning sample is a few hundred rows
-    a, b = p.select(F.col("v").alias("a")), p.select(F.col("v").alias("b"))
+    p = table(spark, sf_dir, "supplier").select(F.array(F.col("s_acctbal") / 1000, F.col("s_nationkey") / F.lit(10.0)).alias("v"))
+    a, b = p.select(F.col("v").alias("a")), p.select(F.col("v").alias("b"))  # all pairs of a tuning table
     pairs = a.crossJoin(b).select(squared_distance(F.col("a"), F.col("b")).alias("d2"), F.explode(F.array(F.lit(0.01), F.lit(0.1), F.lit(1.0))).alias("gamma"))
     return pairs.groupBy("gamma").agg(F.round(F.var_samp(F.exp(-F.col("gamma") * F.col("d2"))) * 100, 6).alias("variance"))
 
@@ -116,12 +116,11 @@ def l7_unlabelled_within_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.where(F.col("m") <= limit).select("id")
 
 
-@query("""WITH d AS (SELECT abs(a.p_size - b.p_size) AS s, abs(a.p_retailprice - b.p_retailprice) AS p FROM part a, part b WHERE a.p_partkey < b.p_partkey AND a.p_partkey <= 300 AND b.p_partkey <= 300)
-SELECT round(coalesce(median(s) FILTER (s > 0), 1), 4) AS size, round(coalesce(median(p) FILTER (p > 0), 1), 4) AS price FROM d""")
+@query("""WITH d AS (SELECT abs(a.s_nationkey - b.s_nationkey) AS n, abs(a.s_acctbal - b.s_acctbal) AS y FROM supplier a, supplier b WHERE a.s_suppkey < b.s_suppkey)
+SELECT round(coalesce(median(n) FILTER (n > 0), 1), 4) AS nation, round(coalesce(median(y) FILTER (y > 0), 1), 4) AS balance FROM d""")
 def b7_median_length_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey <= 300")  # the operator reads at most 800 rows
-    a, b = p.alias("a"), p.alias("b")
-    pairs = a.join(b, F.col("a.p_partkey") < F.col("b.p_partkey"))
+    s = table(spark, sf_dir, "supplier")
+    pairs = s.alias("a").join(s.alias("b"), F.col("a.s_suppkey") < F.col("b.s_suppkey"))
     gap = lambda c: F.abs(F.col(f"a.{c}") - F.col(f"b.{c}"))
     scale = lambda c: F.round(F.coalesce(F.median(F.when(gap(c) > 0, gap(c))), F.lit(1.0)), 4)
-    return pairs.agg(scale("p_size").alias("size"), scale("p_retailprice").alias("price"))
+    return pairs.agg(scale("s_nationkey").alias("nation"), scale("s_acctbal").alias("balance"))

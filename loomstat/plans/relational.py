@@ -41,10 +41,10 @@ def j5_j6_column_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
 
 
-@query("""WITH d AS (SELECT p_partkey AS i, p_brand AS g, p_size AS y FROM part)
-SELECT a.i AS winner, b.i AS loser FROM d a JOIN d b ON a.g = b.g AND a.y > b.y AND abs(a.y - b.y) > 1e-8 + 1e-5 * abs(b.y) WHERE a.i <= 400 AND b.i <= 400""")
+@query("""WITH d AS (SELECT s_suppkey AS i, s_nationkey % 5 AS g, s_acctbal AS y FROM supplier)
+SELECT a.i AS winner, b.i AS loser FROM d a JOIN d b ON a.g = b.g AND a.y > b.y AND abs(a.y - b.y) > 1e-8 + 1e-5 * abs(b.y)""")
 def j9_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "part").where("p_partkey <= 400").select(F.col("p_partkey").alias("i"), F.col("p_brand").alias("g"), F.col("p_size").alias("y"))
+    df = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), (F.col("s_nationkey") % 5).alias("g"), F.col("s_acctbal").alias("y"))
     return op.preference_pairs(df, "i", "g", "y")
 
 
