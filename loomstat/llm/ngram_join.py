@@ -101,11 +101,12 @@ def cells(own: np.ndarray, band: int, single: bool) -> tuple[np.ndarray, bool]:
         got = own[:need]
         enough = True
     else:
-        at = ((own >> U64(32)) * U64((5 << band) >> 2)) >> U64(32)
+        number = (20 if band == SMALL else 16 if band < 9 else 12.5) * (1 << band) / 10  # too few filled: 7 deviations or more away
+        at = ((own >> U64(32)) * U64(int(number))) >> U64(32)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         enough = len(first) >= need
         got = np.bitwise_xor.reduceat(own, first)[:need]
-    return mix(got ^ (U64(band + 1) * _SEED)), enough
+    return mix(got ^ mix(np.full(1, band + 1, U64) * _SEED)), enough
 
 
 def bit_sketch(own: np.ndarray) -> bytes:
