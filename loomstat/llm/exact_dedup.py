@@ -50,6 +50,6 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that lose; all columns stay."""
-    lost = duplicate_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__lost")).distinct()
-    return docs.join(lost, docs[id_col].eqNullSafe(F.col("__lost")), "left_anti")
+    """docs without the rows that lose; all columns stay. Rows without an id cannot be told apart and stay."""
+    lost = duplicate_groups(docs, id_col, text_col).where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__lost")).distinct()
+    return docs.join(lost, docs[id_col] == F.col("__lost"), "left_anti")

@@ -442,6 +442,6 @@ def _links(base: DataFrame, seen: DataFrame, nodes: DataFrame, width: int, singl
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """docs with the row of least id of each component alone; all columns stay."""
-    lost = linked_groups(docs, id_col, text_col, width).where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__lost")).distinct()
-    return docs.join(keep(lost, "near-copies"), docs[id_col].eqNullSafe(F.col("__lost")), "left_anti")
+    """docs with the row of least id of each component alone; all columns stay. Rows without an id cannot be told apart and stay."""
+    lost = linked_groups(docs, id_col, text_col, width).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__lost")).distinct()
+    return docs.join(keep(lost, "near-copies"), docs[id_col] == F.col("__lost"), "left_anti")
