@@ -102,9 +102,21 @@ SELECT doc_id, first(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY c) A
 FROM d WINDOW w AS (PARTITION BY c ORDER BY n DESC, doc_id)"""
 
 
+OP7_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
+      WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS g FROM w),
+n AS (SELECT doc_id, len(g) AS n_shingles FROM s), e AS (SELECT doc_id, unnest(g) AS t FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n_shingles + y.n_shingles - c)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.doc_id)
+SELECT doc_id, n_shingles, min(root) AS component_id FROM r JOIN n USING (doc_id) GROUP BY ALL"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_language_id, op4_decontamination, op5_exact_dedup, op6_personal_data, op7_ngram_join, op8_token_counts, op9_sentencepiece, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op5_exact_dedup": OP5_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op7_ngram_join": OP7_SQL}
