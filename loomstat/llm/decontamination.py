@@ -59,7 +59,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     else:  # a benchmark that outgrows a broadcast: by (window, salt), so that a frequent window is split
         salted = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         hits = found.withColumn("salt", F.pmod(F.xxhash64("id", "pos"), F.lit(salts)).cast("int")).join(salted, ["h", "salt"])
-    hits = hits.select("id", "item", "item_pos", "h", piece().alias("doc_words"), "item_words")
+    hits = keep(hits.select("id", "item", "item_pos", "h", piece().alias("doc_words"), "item_words"), "window-hits")  # read twice below
     sizes = items.groupBy("item").agg(F.countDistinct("h").alias("n"))
     pairs = hits.groupBy("id", "item").agg(F.count_distinct("h").alias("got")).join(F.broadcast(sizes) if n_items <= BROADCAST_WINDOWS else sizes, "item")
     pairs = pairs.where(F.col("got") >= least_share * F.col("n")).select("id", "item", (F.col("got") / F.col("n")).alias("share"))

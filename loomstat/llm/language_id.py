@@ -142,10 +142,10 @@ def fit_language_model(docs: DataFrame, train: Column, id_col: str = "doc_id", t
     return LanguageModel(names, members, pairs, np.stack(machines).astype(np.float64))
 
 
-def _score(model: LanguageModel):
+def _score(model: LanguageModel, text_field: str | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, data, offsets in slices(b.column("text")):
+            for at, data, offsets in slices(b.column("text") if text_field is None else b.column("row").field(text_field)):
                 lang, score = model.choose(model.margins(data, offsets))
                 ascii_letter = np.concatenate([[0], np.cumsum(((data | 32) >= 97) & ((data | 32) <= 122))])
                 for i in np.flatnonzero(ascii_letter[offsets[1:]] == ascii_letter[offsets[:-1]]):
@@ -166,6 +166,6 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", least_score: float = 0.0) -> DataFrame:
     """docs without the rows that are `und` or score below least_score; all columns stay."""
     names = docs.columns
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    scored = whole.mapInArrow(_score(model), f"row {whole.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    scored = whole.mapInArrow(_score(model, text_col), f"row {whole.schema['row'].dataType.simpleString()}, lang_pred string, score double")
     return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("row.*")

@@ -32,7 +32,7 @@ from .textbytes import U64, SpanHash, ranges, slices
 MARK = 0x2581
 NEWLINE = 10
 #: Units remembered by a worker; beyond it the memory is emptied and filled anew.
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 500_000
 _LEAF = -1
 
 
@@ -276,11 +276,12 @@ def encoder(table: PieceTable) -> LatticeEncoder:
     return _encoders[table.path]
 
 
-def _encode(table: PieceTable):
+def _encode(table: PieceTable, text_field: str | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rest = [c for c in b.schema.names if c != "text"]
-            for at, data, offsets in slices(b.column("text"), 2 << 20):
+            text = b.column("text") if text_field is None else b.column("row").field(text_field)
+            for at, data, offsets in slices(text, 1 << 19):
                 own = encoder(table)
                 ids, cuts = own.encode(data, offsets)
                 back, ends = own.decode(ids, cuts)
@@ -306,6 +307,6 @@ def with_pieces(docs: DataFrame, table: PieceTable, text_col: str = "text") -> D
     """docs with n_pieces, ids_crc32, round_trip and piece_ids; columns of docs with these names are replaced."""
     made = ["n_pieces", "ids_crc32", "round_trip", "piece_ids"]
     names = [c for c in docs.columns if c not in made]
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
     spec = f"row {whole.schema['row'].dataType.simpleString()}, n_pieces long, ids_crc32 long, round_trip boolean, piece_ids array<int>"
-    return whole.mapInArrow(_encode(table), spec).select("row.*", *made)
+    return whole.mapInArrow(_encode(table, text_col), spec).select("row.*", *made)

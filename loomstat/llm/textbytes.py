@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
 
-def slices(column: pa.Array | pa.ChunkedArray, most: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows with about `most` bytes; a longer text is a run of its own. Null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -39,6 +41,14 @@ def slices(column: pa.Array | pa.ChunkedArray, most: int = 4 << 20) -> Iterator[
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield at, raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: reused workers would hold the most that any of their tasks has needed."""
+    with contextlib.suppress(OSError, AttributeError):
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:

@@ -14,7 +14,7 @@ import numpy as np
 from .textbytes import SpanHash, ranges
 
 #: Units remembered by a worker (about 25 bytes each); beyond it the memory is emptied and filled anew.
-CACHE_UNITS = 3_000_000
+CACHE_UNITS = 1_500_000
 
 _encoders: dict[str, UnitEncoder] = {}
 
