@@ -52,8 +52,9 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
 
 def lower_ascii(text: Column) -> Column:
-    """A-Z lower-cased, other letters as they are."""
-    plain = F.length(text) == F.octet_length(text)
+    """A-Z lower-cased, other letters as they are. Only a text with a capital beyond ASCII needs the slow way."""
+    capital = text.rlike(r"[\x{80}-\x{10FFFF}&&[\p{Lu}\p{Lt}\p{Nl}\p{So}\p{Cn}]]")  # all that lower() changes, and some more
+    plain = (F.length(text) == F.octet_length(text)) | ~capital
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 

@@ -26,10 +26,15 @@ def _hash(line: Column, min_chars: int) -> Column:
     return F.when(F.length(key) >= min_chars, F.md5(key))
 
 
-def frequent_lines(base: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
-    """(key, n_docs) of the line keys found in at least min_docs rows of base(id, mark, text)."""
-    keys = F.array_distinct(F.transform(F.split("text", "\n", -1), lambda x: _hash(x, min_chars)))
-    return base.select(F.explode(keys).alias("h")).where(F.col("h").isNotNull()).groupBy(F.unhex("h").alias("key")).agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
+def line_keys(base: DataFrame, min_chars: int) -> DataFrame:
+    """(id, mark, keys) of base(id, mark, text): the hash of each line's key, null where it is too short. Written, as it is read twice."""
+    keys = F.transform(F.split("text", "\n", -1), lambda x: _hash(x, min_chars))
+    return keep(base.select("id", "mark", keys.alias("keys")), "line-keys")
+
+
+def frequent_lines(keyed: DataFrame, min_docs: int) -> DataFrame:
+    """(key, n_docs) of the line keys found in at least min_docs rows of keyed."""
+    return keyed.select(F.explode(F.array_distinct("keys")).alias("h")).where(F.col("h").isNotNull()).groupBy(F.unhex("h").alias("key")).agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, salts: int = 8) -> DataFrame:
@@ -39,10 +44,11 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     threshold; large, lines are joined to them by (key, salt), which splits the rows of a very frequent line.
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
-    frequent = keep(frequent_lines(base, min_docs, min_chars), "frequent-lines")
+    keyed = line_keys(base, min_chars)
+    frequent = keep(frequent_lines(keyed, min_docs), "frequent-lines")
     salted = frequent.select("key", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    lines = base.select("id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = lines.select("id", "mark", "pos", F.unhex(_hash(F.col("line"), min_chars)).alias("key"), F.pmod(F.col("mark") + F.col("pos"), F.lit(salts)).cast("int").alias("salt")).where(F.col("key").isNotNull())
+    lines = keyed.select("id", "mark", F.posexplode("keys").alias("pos", "h")).where(F.col("h").isNotNull())
+    lines = lines.select("id", "mark", "pos", F.unhex("h").alias("key"), F.pmod(F.col("mark") + F.col("pos"), F.lit(salts)).cast("int").alias("salt"))
     drops = lines.join(salted, ["key", "salt"]).groupBy("id", "mark").agg(F.collect_set("pos").alias("drops")).select(F.col("id").alias("d_id"), F.col("mark").alias("d_mark"), "drops")
     out = base.join(drops, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("mark") == F.col("d_mark")), "left")
     # one-element transform: the lines are split once a row, not once a position

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstat.llm import exact_dedup, language_id, line_dedup, ngram_join, pii, quality, sentencepiece_lattice, token_counts, token_files
+from loomstat.llm.common import lower_ascii
 from loomstat.llm.queries import vocabulary
 from loomstat.llm.textbytes import mix
 
@@ -67,6 +68,13 @@ def test_line_dedup(table, empty):
     assert len(again) == 2 * len(docs)
 
 
+def test_only_ascii_capitals_are_folded(spark):
+    chars = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([(c, c + "Ab") for c in chars], "c string, x string")
+    bad = df.where(lower_ascii(F.col("x")) != F.concat(F.when(F.col("c").between("A", "Z"), F.lower("c")).otherwise(F.col("c")), F.lit("ab")))
+    assert bad.count() == 0
+
+
 def test_exact_dedup(table, empty):
     df, docs = table
     groups: dict[str, list] = {}
