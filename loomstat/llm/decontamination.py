@@ -40,17 +40,19 @@ def template(marked_text: Column) -> Column:
 
 
 def windows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, words, pos, h): a row a window; words are the marked words of the text, pos the window's first, from 0."""
-    base = docs.select(F.col(id_col).alias("id"), marked(F.coalesce(F.col(text_col), F.lit(""))).alias("m")).where(F.col("m") != "")
+    """(id, pos, h, piece): a row a window; piece are its marked words, pos its first word, from 0."""
+    base = docs.select(F.col(id_col).alias("id"), marked(F.coalesce(F.col(text_col), F.lit(""))).alias("m"))
     split = base.select("id", F.split("m", " ").alias("words"), F.split(template(F.col("m")), " ").alias("w"))
-    each = F.transform(F.array("w"), lambda w: F.when(F.size(w) < width, F.array(F.xxhash64(w))).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))))[0]
-    return split.select("id", "words", F.posexplode(each).alias("pos", "h"))
+    # places are exploded and each window hashed behind that, in compiled code; an empty text is one empty word
+    places = F.when((F.size("w") > 1) | (F.get("w", F.lit(0)) != ""), F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0))))
+    each = split.select("id", "words", "w", F.explode(places).alias("pos"))
+    h = F.when(F.size("w") < width, F.xxhash64("w")).otherwise(F.xxhash64(*[F.get("w", F.col("pos") + k) for k in range(width)]))
+    return each.select("id", "pos", h.alias("h"), F.slice("words", F.col("pos") + 1, F.lit(width)).alias("piece"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 5, least_share: float = 0.75, salts: int = 16) -> DataFrame:
     """(id_col, item_col, share, consistency) of the items found in documents."""
-    piece = lambda: F.slice("words", F.col("pos") + 1, F.lit(width))
-    items = windows(benchmark, item_col, item_text, width).select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "h", piece().alias("item_words"))
+    items = windows(benchmark, item_col, item_text, width).select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "h", F.col("piece").alias("item_words"))
     items = keep(items, "item-windows")
     n_items = items.count()
     found = windows(docs, id_col, text_col, width)
@@ -59,7 +61,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     else:  # a benchmark that outgrows a broadcast: by (window, salt), so that a frequent window is split
         salted = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         hits = found.withColumn("salt", F.pmod(F.xxhash64("id", "pos"), F.lit(salts)).cast("int")).join(salted, ["h", "salt"])
-    hits = keep(hits.select("id", "item", "item_pos", "h", piece().alias("doc_words"), "item_words"), "window-hits")  # read twice below
+    hits = keep(hits.select("id", "item", "item_pos", "h", F.col("piece").alias("doc_words"), "item_words"), "window-hits")  # read twice below
     sizes = items.groupBy("item").agg(F.countDistinct("h").alias("n"))
     pairs = hits.groupBy("id", "item").agg(F.count_distinct("h").alias("got")).join(F.broadcast(sizes) if n_items <= BROADCAST_WINDOWS else sizes, "item")
     pairs = pairs.where(F.col("got") >= least_share * F.col("n")).select("id", "item", (F.col("got") / F.col("n")).alias("share"))
