@@ -4,7 +4,9 @@ Numbers, names (capitalised words inside a sentence) and units after numbers bec
 five template tokens of a document is hash-joined with the windows of the benchmark items. An item leaks into a document
 when at least ``least_share`` of its distinct windows are found there and its slots are filled consistently: one value
 of an item goes with one value of the document. So a question asked again with other numbers or names is caught, a
-chance meeting of placeholders is not.
+chance meeting of placeholders is not. Both are asked of each occurrence (windows at equal or near distances from their
+place in the item) and of the document as a whole, and one that holds is enough; variants and siblings beside it take
+nothing from it. Windows found word for word need no slots.
 
 Defined results: null or empty texts have no window; an item or document of fewer than five tokens has one window of all
 of them; repeated rows get equal answers, once an (id, item); an empty table on either side gives an empty table.
@@ -12,7 +14,7 @@ of them; repeated rows get equal answers, once an (id, item); an empty table on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep
@@ -23,6 +25,8 @@ NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"  # private use, in no text tha
 UNITS = ["%", "°c", "°f", "cm", "dollars", "eur", "euros", "feet", "g", "h", "hours", "hz", "in", "inches", "kg", "kj", "km", "kwh", "l", "lb", "liters", "m", "mg", "miles", "min", "minutes", "ml", "mm", "ms", "oz", "s", "seconds", "usd", "w", "watts", "yards", "years"]
 #: Windows of benchmark items that are broadcast; more are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
+#: Words that an occurrence of an item may gain or lose and still be told from another one in the same document.
+SHIFT = 8
 
 
 def marked(text: Column) -> Column:
@@ -51,7 +55,7 @@ def windows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFram
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 5, least_share: float = 0.75, salts: int = 16) -> DataFrame:
-    """(id_col, item_col, share, consistency) of the items found in documents."""
+    """(id_col, item_col, share, consistency) of the items found in documents, by the best occurrence of each."""
     items = windows(benchmark, item_col, item_text, width).select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "h", F.col("piece").alias("item_words"))
     items = keep(items, "item-windows")
     n_items = items.count()
@@ -61,16 +65,39 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     else:  # a benchmark that outgrows a broadcast: by (window, salt), so that a frequent window is split
         salted = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         hits = found.withColumn("salt", F.pmod(F.xxhash64("id", "pos"), F.lit(salts)).cast("int")).join(salted, ["h", "salt"])
-    hits = keep(hits.select("id", "item", "item_pos", "h", F.col("piece").alias("doc_words"), "item_words"), "window-hits")  # read twice below
-    sizes = items.groupBy("item").agg(F.countDistinct("h").alias("n"))
-    pairs = hits.groupBy("id", "item").agg(F.count_distinct("h").alias("got")).join(F.broadcast(sizes) if n_items <= BROADCAST_WINDOWS else sizes, "item")
-    pairs = pairs.where(F.col("got") >= least_share * F.col("n")).select("id", "item", (F.col("got") / F.col("n")).alias("share"))
-    slots = hits.select("id", "item", F.explode(F.arrays_zip("item_words", "doc_words")).alias("s")).select("id", "item", F.col("s.item_words").alias("a"), F.col("s.doc_words").alias("b"))
+    hits = hits.select("id", "item", "item_pos", (F.col("pos") - F.col("item_pos")).alias("at"), "h", F.col("piece").alias("doc_words"), "item_words")
+    hits = keep(hits, "window-hits")  # read again below
+    own = F.when(F.exists("item_words", lambda w: ~w.rlike(f"^[{NAME}{NUMBER}{UNIT}]")), F.col("h"))  # of windows with a literal word
+    distinct = lambda c: F.size(F.collect_set(c))  # noqa: E731  (at most the windows of an item)
+    sizes = items.groupBy("item").agg(distinct("h").alias("n"), distinct(own).alias("n_own"), distinct("item_words").alias("n_words"))
+    same = F.when(F.col("doc_words") == F.col("item_words"), F.col("item_words"))
+    pairs = hits.groupBy("id", "item").agg(distinct("h").alias("got"), distinct(same).alias("got_words")).join(F.broadcast(sizes) if n_items <= BROADCAST_WINDOWS else sizes, "item")
+    pairs = pairs.where((F.col("got") >= least_share * F.col("n")) | (F.col("got_words") >= least_share * F.col("n_words")))
+    pairs = keep(pairs, "document-items")
+    word_for_word = pairs.where(F.col("got_words") >= least_share * F.col("n_words")).select("id", "item", (F.col("got_words") / F.col("n_words")).alias("share"), F.lit(1.0).alias("consistency"))
+
+    # an occurrence (kind, place): windows at one distance, at distances within SHIFT (twice, so that no bound parts them), anywhere
+    near = hits.join(pairs.where(F.col("got") >= least_share * F.col("n")).select("id", "item", "n", "n_own"), ["id", "item"])
+    near = near.withColumn("support", F.count(F.lit(1)).over(Window.partitionBy("id", "item", "at")))
+    ways = [F.col("at"), F.floor(F.col("at") / (2 * SHIFT)), F.floor((F.col("at") + SHIFT) / (2 * SHIFT)), F.lit(0)]
+    near = near.withColumn("o", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), w.cast("long").alias("place")) for k, w in enumerate(ways)])))
+    key = ["id", "item", "kind", "place"]
+    near = near.select("*", "o.kind", "o.place").drop("o")
+    shares = near.groupBy(*key, "n", "n_own").agg(distinct("h").alias("got"), distinct(own).alias("got_own"))
+    literal = (F.col("n_own") > 0) & (F.col("got_own") >= least_share * F.col("n_own"))  # placeholders alone meet by chance
+    shares = shares.where((F.col("got") >= least_share * F.col("n")) & ((F.col("kind") == len(ways) - 1) | literal)).select(*key, (F.col("got") / F.col("n")).alias("share"))
+    # a window of the item that meets several within SHIFT counts at the distance with the most windows
+    chosen = near.join(shares.select(*key), key, "left_semi")
+    chosen = chosen.withColumn("best_at", F.max(F.struct("support", "at")).over(Window.partitionBy(*key, "item_pos")))
+    chosen = chosen.where((F.col("kind") == len(ways) - 1) | (F.col("at") == F.col("best_at.at")))
+    slots = chosen.select(*key, F.explode(F.arrays_zip("item_words", "doc_words")).alias("s")).select(*key, F.col("s.item_words").alias("a"), F.col("s.doc_words").alias("b"))
     slots = slots.where(F.col("a").rlike(f"^[{NAME}{NUMBER}{UNIT}]") & F.col("b").isNotNull())
-    per = slots.groupBy("id", "item", "a", "b").agg(F.count(F.lit(1)).alias("c")).groupBy("id", "item", "a").agg(F.max("c").alias("best"), F.sum("c").alias("all"))
-    per = per.groupBy("id", "item").agg((F.sum("best") / F.sum("all")).alias("consistency"))
-    out = pairs.join(per, ["id", "item"], "left").withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
-    return out.where(F.col("consistency") >= least_share).select(F.col("id").alias(id_col), F.col("item").alias(item_col), "share", "consistency")
+    per = slots.groupBy(*key, "a", "b").agg(F.count(F.lit(1)).alias("c")).groupBy(*key, "a").agg(F.max("c").alias("best"), F.sum("c").alias("all"))
+    per = per.groupBy(*key).agg((F.sum("best") / F.sum("all")).alias("consistency"))
+    out = shares.join(per, key, "left").select("id", "item", "share", F.coalesce("consistency", F.lit(1.0)).alias("consistency"))
+    out = out.where(F.col("consistency") >= least_share).unionByName(word_for_word)
+    best = out.groupBy("id", "item").agg(F.max(F.struct(F.least("share", "consistency").alias("least"), "share", "consistency")).alias("o"))
+    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "o.share", "o.consistency")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -36,6 +36,21 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert [r["doc_id"] for r in op.leaks(docs, bench).collect()] == [2]
 
 
+def test_an_occurrence_counts_by_itself(spark):
+    variant = ITEM.replace("120", "77").replace("at 9", "at 4").replace("3 hours", "5 hours").replace("Berlin", "Paris").replace("Hamburg", "Lyon")
+    another = ITEM.replace("120", "15").replace("at 9", "at 6").replace("3 hours", "8 hours").replace("Berlin", "Rome").replace("Hamburg", "Turin")
+    longer = variant.replace("with 77", "with all of its 77")
+    series = "The first numbers of a row are 2, 4, 6, 8, 10, 12, 14, 16, 18, 20 and so on, which one follows?"
+    series_again = series.replace("2, 4, 6, 8, 10, 12, 14, 16, 18, 20", "3, 6, 9, 12, 15, 18, 21, 24, 27, 30")
+    numbers = "1, 5, 7, 8, 11, 13, 17, 19, 23, 29"
+    bench = spark.createDataFrame([(1, ITEM), (2, variant), (3, series), (4, numbers)], "item_id long, text string")
+    rows = [(1, ITEM + " And now: " + variant), (2, another + " Or else. " + longer), (3, series), (4, series_again), (5, "We saw 9, 2, 7, 1, 4, 8, 3, 6, 5, 0 on the board."), (6, numbers)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in op.leaks(docs, bench).collect()}
+    assert {(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (4, 3), (6, 4)} <= got
+    assert not {d for d, i in got} & {5} and (1, 3) not in got
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
 
