@@ -1,7 +1,10 @@
 """Benchmark decontamination by templates. DataFrame functions only.
 
-Numbers, names (capitalised words inside a sentence) and units after numbers become typed placeholders; every window of
-five template tokens of a document is hash-joined with the windows of the benchmark items. An item leaks into a document
+Numbers, names (runs of capitalised words, one placeholder a run) and units after numbers become typed placeholders; every
+window of five template tokens of a document is hash-joined with the windows of the benchmark items. A capitalised word that
+opens a sentence counts as a name too, since it cannot be told from one ('Tom has 5 ...'). So that documents in other letter
+case are found as well, an item is also read with the words that open sentences, and with all names, as plain words; the
+reading that fits best counts. An item leaks into a document
 when at least ``least_share`` of its distinct windows are found there and its slots are filled consistently: one value
 of an item goes with one value of the document. So a question asked again with other numbers or names is caught, a
 chance meeting of placeholders is not. Both are asked of each occurrence (windows at equal or near distances from their
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import keep
 
-NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"  # private use, in no text that means anything
+NAME, NUMBER, UNIT, JOINT = "\ue000", "\ue001", "\ue002", "\ue003"  # private use, in no text that means anything
 
 # Unit words and signs that may follow a number.
 UNITS = ["%", "°c", "°f", "cm", "dollars", "eur", "euros", "feet", "g", "h", "hours", "hz", "in", "inches", "kg", "kj", "km", "kwh", "l", "lb", "liters", "m", "mg", "miles", "min", "minutes", "ml", "mm", "ms", "oz", "s", "seconds", "usd", "w", "watts", "yards", "years"]
@@ -29,9 +32,20 @@ BROADCAST_WINDOWS = 500_000
 SHIFT = 8
 
 
-def marked(text: Column) -> Column:
-    """Lower-cased words, names and numbers and units behind a marker of their type, without punctuation."""
-    t = F.regexp_replace(text, r"([\p{Ll},;] )(\p{Lu}\p{Ll}[\p{L}'-]*)", f"$1{NAME}$2")  # not in capitals
+def named(text: Column) -> Column:
+    """NAME before each capitalised word (not in capitals), JOINT between the words of a run in place of the space."""
+    t = F.regexp_replace(text, r"(?<![\p{L}\p{N}]|[\p{L}\p{N}]['’-])(\p{Lu}\p{Ll}[\p{L}'-]*)", f"{NAME}$1")
+    return F.regexp_replace(t, rf"({NAME}[\p{{L}}'-]+) (?={NAME})", f"$1{JOINT}")
+
+
+def named_inside(text: Column) -> Column:
+    """As named, but the words that open a sentence stay plain."""
+    opens = rf"(?<![\p{{Ll}},;] )(?<!{JOINT}){NAME}([\p{{L}}'-]+)"
+    return F.regexp_replace(F.regexp_replace(named(text), opens + JOINT, "$1 "), opens, "$1")
+
+
+def marked(t: Column) -> Column:
+    """Lower-cased words, numbers and units behind a marker of their type, as names are in t, without punctuation."""
     t = F.regexp_replace(t, r"(^|[^\p{L}\p{N}])(\p{N}[\p{N}.,]*)", f"$1{NUMBER}$2")
     t = F.regexp_replace(t, rf"(?i)({NUMBER}[\p{{N}}.,]+ ?)({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
     t = F.regexp_replace(t, r"[\p{P}\p{S}&&[^%°]]+|\p{M}+", "")
@@ -43,45 +57,48 @@ def template(marked_text: Column) -> Column:
     return F.regexp_replace(marked_text, rf"([{NAME}{NUMBER}{UNIT}])\S+", "$1")
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, pos, h, piece): a row a window; piece are its marked words, pos its first word, from 0."""
-    base = docs.select(F.col(id_col).alias("id"), marked(F.coalesce(F.col(text_col), F.lit(""))).alias("m"))
-    split = base.select("id", F.split("m", " ").alias("words"), F.split(template(F.col("m")), " ").alias("w"))
+def windows(docs: DataFrame, id_col: str, text_col: str, width: int, readings: bool = False) -> DataFrame:
+    """(id, pos, h, piece): a row a window; piece are its marked words, pos its first word, from 0. With readings, all of them."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.col(id_col).alias("id"), F.lit(0).alias("reading"), marked(named(text)).alias("m"))
+    if readings:
+        base = docs.select(F.col(id_col).alias("id"), F.posexplode(F.array_distinct(F.array(marked(named(text)), marked(named_inside(text)), marked(text)))).alias("reading", "m"))
+    split = base.select("id", "reading", F.split("m", " ").alias("words"), F.split(template(F.col("m")), " ").alias("w"))
     # places are exploded and each window hashed behind that, in compiled code; an empty text is one empty word
     places = F.when((F.size("w") > 1) | (F.get("w", F.lit(0)) != ""), F.sequence(F.lit(0), F.greatest(F.size("w") - width, F.lit(0))))
-    each = split.select("id", "words", "w", F.explode(places).alias("pos"))
+    each = split.select("id", "reading", "words", "w", F.explode(places).alias("pos"))
     h = F.when(F.size("w") < width, F.xxhash64("w")).otherwise(F.xxhash64(*[F.get("w", F.col("pos") + k) for k in range(width)]))
-    return each.select("id", "pos", h.alias("h"), F.slice("words", F.col("pos") + 1, F.lit(width)).alias("piece"))
+    return each.select("id", "reading", "pos", h.alias("h"), F.slice("words", F.col("pos") + 1, F.lit(width)).alias("piece"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 5, least_share: float = 0.75, salts: int = 16) -> DataFrame:
     """(id_col, item_col, share, consistency) of the items found in documents, by the best occurrence of each."""
-    items = windows(benchmark, item_col, item_text, width).select(F.col("id").alias("item"), F.col("pos").alias("item_pos"), "h", F.col("piece").alias("item_words"))
+    items = windows(benchmark, item_col, item_text, width, True).select(F.col("id").alias("item"), "reading", F.col("pos").alias("item_pos"), "h", F.col("piece").alias("item_words"))
     items = keep(items, "item-windows")
     n_items = items.count()
-    found = windows(docs, id_col, text_col, width)
+    found = windows(docs, id_col, text_col, width).drop("reading")
     if n_items <= BROADCAST_WINDOWS:
         hits = found.join(F.broadcast(items), "h")
     else:  # a benchmark that outgrows a broadcast: by (window, salt), so that a frequent window is split
         salted = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         hits = found.withColumn("salt", F.pmod(F.xxhash64("id", "pos"), F.lit(salts)).cast("int")).join(salted, ["h", "salt"])
-    hits = hits.select("id", "item", "item_pos", (F.col("pos") - F.col("item_pos")).alias("at"), "h", F.col("piece").alias("doc_words"), "item_words")
+    hits = hits.select("id", "item", "reading", "item_pos", (F.col("pos") - F.col("item_pos")).alias("at"), "h", F.col("piece").alias("doc_words"), "item_words")
     hits = keep(hits, "window-hits")  # read again below
     own = F.when(F.exists("item_words", lambda w: ~w.rlike(f"^[{NAME}{NUMBER}{UNIT}]")), F.col("h"))  # of windows with a literal word
     distinct = lambda c: F.size(F.collect_set(c))  # noqa: E731  (at most the windows of an item)
-    sizes = items.groupBy("item").agg(distinct("h").alias("n"), distinct(own).alias("n_own"), distinct("item_words").alias("n_words"))
+    sizes = items.groupBy("item", "reading").agg(distinct("h").alias("n"), distinct(own).alias("n_own"), distinct("item_words").alias("n_words"))
     same = F.when(F.col("doc_words") == F.col("item_words"), F.col("item_words"))
-    pairs = hits.groupBy("id", "item").agg(distinct("h").alias("got"), distinct(same).alias("got_words")).join(F.broadcast(sizes) if n_items <= BROADCAST_WINDOWS else sizes, "item")
+    pairs = hits.groupBy("id", "item", "reading").agg(distinct("h").alias("got"), distinct(same).alias("got_words")).join(F.broadcast(sizes) if n_items <= BROADCAST_WINDOWS else sizes, ["item", "reading"])
     pairs = pairs.where((F.col("got") >= least_share * F.col("n")) | (F.col("got_words") >= least_share * F.col("n_words")))
     pairs = keep(pairs, "document-items")
     word_for_word = pairs.where(F.col("got_words") >= least_share * F.col("n_words")).select("id", "item", (F.col("got_words") / F.col("n_words")).alias("share"), F.lit(1.0).alias("consistency"))
 
     # an occurrence (kind, place): windows at one distance, at distances within SHIFT (twice, so that no bound parts them), anywhere
-    near = hits.join(pairs.where(F.col("got") >= least_share * F.col("n")).select("id", "item", "n", "n_own"), ["id", "item"])
-    near = near.withColumn("support", F.count(F.lit(1)).over(Window.partitionBy("id", "item", "at")))
+    near = hits.join(pairs.where(F.col("got") >= least_share * F.col("n")).select("id", "item", "reading", "n", "n_own"), ["id", "item", "reading"])
+    near = near.withColumn("support", F.count(F.lit(1)).over(Window.partitionBy("id", "item", "reading", "at")))
     ways = [F.col("at"), F.floor(F.col("at") / (2 * SHIFT)), F.floor((F.col("at") + SHIFT) / (2 * SHIFT)), F.lit(0)]
     near = near.withColumn("o", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), w.cast("long").alias("place")) for k, w in enumerate(ways)])))
-    key = ["id", "item", "kind", "place"]
+    key = ["id", "item", "reading", "kind", "place"]
     near = near.select("*", "o.kind", "o.place").drop("o")
     shares = near.groupBy(*key, "n", "n_own").agg(distinct("h").alias("got"), distinct(own).alias("got_own"))
     literal = (F.col("n_own") > 0) & (F.col("got_own") >= least_share * F.col("n_own"))  # placeholders alone meet by chance

@@ -51,6 +51,18 @@ def test_an_occurrence_counts_by_itself(spark):
     assert not {d for d, i in got} & {5} and (1, 3) not in got
 
 
+def test_names_of_several_words_and_at_the_start(spark):
+    two = "Mary Smith drives from Los Angeles to San Diego with 4 boxes, then Mary Smith flies to New York by night, so how far is it in all for the boxes?"
+    other = two.replace("Mary Smith", "John Allan Miller").replace("Los Angeles", "Paris").replace("San Diego", "Le Havre").replace("New York", "Santa Cruz").replace("4", "6")
+    start = "Tom has 5 apples. Mary has 7 pears. Peter eats 2 of them. How many of them are left on the table?"
+    start_again = start.replace("Tom", "Jane").replace("Mary", "Ben").replace("Peter", "Ruth").replace("5", "8").replace("7", "9").replace("2", "3")
+    bench = spark.createDataFrame([(1, two), (2, start)], "item_id long, text string")
+    rows = [(1, two), (2, other), (3, start), (4, start_again), (5, start.lower()), (6, two.upper()), (7, "Heard again: " + start_again + " Nobody knows."), (8, "Tom has a table and Mary Smith has a box.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in op.leaks(docs, bench).collect()}
+    assert got == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 2), (6, 1), (7, 2)}
+
+
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline
 
