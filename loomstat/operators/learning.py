@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..models.base import PLS, Estimator
+from .neighbours import BLOCK
 
 
 def scaled_fit(estimator: Estimator, x: np.ndarray, y: np.ndarray) -> tuple[Any, tuple]:
@@ -202,12 +203,37 @@ def locally_weighted_pls(train: tuple[np.ndarray, np.ndarray], queries: DataFram
     return queries.select(F.col(key).alias("key"), *cols).mapInPandas(run, f"key {kind}, yhat double").withColumnRenamed("key", key)
 
 
-def tune_svr(df: DataFrame, fold: str, cols: list[str], y: str, make: Callable[..., Estimator], cs: list[float], epsilons: list[float], gammas: list[float], sample: int = 500) -> tuple[float, float, float]:
-    """(C, epsilon, gamma): gamma by the variance of the Gram matrix on a bounded sample, then epsilon, C and gamma in turn."""
-    rows = df.orderBy(F.xxhash64(*cols), *cols).limit(sample).select(*cols).toPandas().to_numpy(float)
-    x = (rows - rows.mean(0)) / np.where(rows.std(0, ddof=1) > 0, rows.std(0, ddof=1), 1)
-    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
-    gamma = gammas[int(np.argmax([np.exp(-g * d2).var(ddof=1) for g in gammas]))]
+def gram_variances(df: DataFrame, cols: list[str], gammas: list[float], block: int = BLOCK) -> np.ndarray:
+    """The variance of all entries of the Gram matrix of the standardized rows, for each gamma.
+
+    Equal rows are one point with a weight; points are dealt to blocks, and a task that compares two blocks returns sums.
+    """
+    s = df.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}{i}") for i, c in enumerate(cols) for k, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    z = [((F.col(c) - F.lit(s[f"m{i}"])) / F.lit(s[f"s{i}"] or 1.0)).alias(f"z{i}") for i, c in enumerate(cols)]
+    points = df.groupBy(*cols).agg(F.count(F.lit(1)).cast("double").alias("w")).select(*z, "w", F.xxhash64(*cols).alias("deal"))
+    b = max(1, -(-points.count() // block))
+    own = F.pmod("deal", F.lit(b)).cast("int")
+    rows = points.select(*[f"z{i}" for i in range(len(cols))], "w", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("other"))
+    rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = int(key[0]), int(key[1])
+        side = lambda k: (pdf.loc[pdf["own"] == k, [f"z{i}" for i in range(len(cols))]].to_numpy(float), pdf.loc[pdf["own"] == k, "w"].to_numpy())
+        (p, u), (q, v) = side(low), side(high)
+        d2 = np.maximum(0, (p * p).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * p @ q.T)
+        grams = [np.exp(-g * d2) for g in gammas]
+        twice = 1 if low == high else 2
+        return pd.DataFrame({"g": range(len(gammas)), "a": [twice * (u @ k @ v) for k in grams], "b": [twice * (u @ (k * k) @ v) for k in grams]})
+
+    sums = rows.groupBy("low", "high").applyInPandas(run, "g int, a double, b double").groupBy("g").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    n = float(s["n"]) ** 2
+    found = {r["g"]: (r["b"] - r["a"] ** 2 / n) / max(n - 1, 1) for r in sums.collect()}  # a number a gamma
+    return np.array([found[k] for k in range(len(gammas))])
+
+
+def tune_svr(df: DataFrame, fold: str, cols: list[str], y: str, make: Callable[..., Estimator], cs: list[float], epsilons: list[float], gammas: list[float]) -> tuple[float, float, float]:
+    """(C, epsilon, gamma): gamma by the variance of the Gram matrix of all rows, then epsilon, C and gamma in turn."""
+    gamma = gammas[int(np.argmax(gram_variances(df, cols, gammas)))]
     c, epsilon = 3.0, epsilons[0]
     epsilon = grid_search(df, [make(c=c, epsilon=e, gamma=gamma) for e in epsilons], fold, cols, y)[1].epsilon
     c = grid_search(df, [make(c=v, epsilon=epsilon, gamma=gamma) for v in cs], fold, cols, y)[1].c

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..models.base import PLS, Estimator, GaussianProcess, OneClassSVM, rbf
-from .learning import grid_search, inner_search, pooled_r2, scaled_fit, scaled_predict
+from .learning import grid_search, inner_search
 from .optimization import evolve
 
 
@@ -58,20 +59,62 @@ def choose_model(df: DataFrame, candidates: list[Estimator], numbers: np.ndarray
     return candidates[bayes_grid(numbers, score, rounds, start)[0]]
 
 
-def select_by_genes(df: DataFrame, cols: list[str], y: str, population: int = 30, generations: int = 8, seed: int = 0, folds: int = 5, most_rows: int = 5000) -> list[str]:
-    """The variables (genes above 0.5) with which one-component PLS has the best pooled r2; fitness on a bounded sample of rows."""
-    rows = df.select(*cols, y).orderBy(F.xxhash64(*cols, y), *cols).limit(most_rows).toPandas().to_numpy(float)
-    x, t = rows[:, :-1], rows[:, -1]
+def fold_moments(df: DataFrame, cols: list[str], y: str, folds: int) -> np.ndarray:
+    """For each fold, dealt by the hash of a row, the sum of products of (1, cols, y), standardized over all rows: (folds, p + 2, p + 2)."""
+    names = [*cols, y]
+    s = df.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
+    mean = np.array([s[f"m{i}"] or 0.0 for i in range(len(names))])
+    spread = np.array([s[f"s{i}"] or 1.0 for i in range(len(names))])
+    side = len(names) + 1
+
+    def run(batches):
+        total = np.zeros((folds, side, side))
+        for pdf in batches:
+            v = np.column_stack([np.ones(len(pdf)), (pdf[[f"v{i}" for i in range(side - 1)]].to_numpy(float) - mean) / spread])
+            fold = pdf["fold"].to_numpy()
+            for f in range(folds):
+                total[f] += v[fold == f].T @ v[fold == f]
+        yield pd.DataFrame({"place": np.arange(total.size), "s": total.ravel()})
+
+    rows = df.select(F.pmod(F.xxhash64(*names), F.lit(folds)).cast("int").alias("fold"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)])
+    out = np.zeros(folds * side * side)
+    for r in rows.mapInPandas(run, "place long, s double").groupBy("place").agg(F.sum("s").alias("s")).collect():  # a number a fold and pair of columns
+        out[r["place"]] = r["s"]
+    return out.reshape(folds, side, side)
+
+
+def one_component_r2(moments: np.ndarray, use: np.ndarray) -> float:
+    """Pooled r2 over folds of autoscaled one-component PLS on the columns `use`, from fold_moments."""
+    total, x, t, error = moments.sum(0), np.asarray(use) + 1, moments.shape[1] - 1, 0.0
+    for own in moments:
+        rest, n = total - own, (total - own)[0, 0]
+        if own[0, 0] < 0.5:
+            continue
+        if n < 0.5:
+            return -999.0
+        mean = rest[0] / n
+        c = rest - n * np.outer(mean, mean)
+        var = np.where(np.diag(c) > 1e-12 * n, np.diag(c), np.inf)  # constant there: no part in the slope
+        r = c / np.sqrt(np.outer(var, var))
+        v, slope = r[x, t], np.zeros(len(x))
+        spread = v @ r[np.ix_(x, x)] @ v
+        if v @ v > 1e-24 and spread > 1e-24:
+            slope = v * (v @ v) / spread * np.sqrt(var[t] / var[x])
+        line = np.concatenate([slope, [-1.0]])
+        at = np.append(x, t)
+        d = own - np.outer(own[0], mean) - np.outer(mean, own[0]) + own[0, 0] * np.outer(mean, mean)
+        error += line @ d[np.ix_(at, at)] @ line
+    spread = total[t, t] - total[0, t] ** 2 / total[0, 0]
+    return float(1 - error / spread) if spread > 0 else -999.0
+
+
+def select_by_genes(df: DataFrame, cols: list[str], y: str, population: int = 30, generations: int = 8, seed: int = 0, folds: int = 5) -> list[str]:
+    """The variables (genes above 0.5) with which one-component PLS has the best pooled r2; fitness over all rows, from their moments."""
+    moments = fold_moments(df, cols, y, folds)
 
     def fitness(genes: np.ndarray) -> float:
         use = np.flatnonzero(genes > 0.5)
-        if not len(use):
-            return -999.0
-        order, out = np.arange(len(t)) % folds, np.empty(len(t))
-        for f in range(folds):
-            m = PLS(1)
-            out[order == f] = scaled_predict(m, scaled_fit(m, x[order != f][:, use], t[order != f]), x[order == f][:, use])
-        return pooled_r2(t, out)
+        return one_component_r2(moments, use) if len(use) else -999.0
 
     best, _ = evolve(fitness, np.array([[0.0, 1.0]] * len(cols)), df.sparkSession, population, generations, seed)
     return [c for c, g in zip(cols, best) if g > 0.5]
