@@ -25,10 +25,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir); where that is unset, a folder of our own, in local mode only."""
     said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if said:
         return said.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder, and a folder of one machine is of no use to a cluster")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="loomstat-")
@@ -51,6 +53,24 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def one_row_each(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one row of each (id, text) that stays; all columns stay, whatever their names.
+
+    rows(id, mark, stays) has a row for each of docs; mark is the MD5 of the text, null as empty. A row that repeats id and
+    text is taken once: these rows are grouped, with the first of each kept, so that no task gathers them.
+    """
+    each = rows.groupBy("id", "mark").agg(F.bool_or("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    odd = keep(each.where(~F.col("stays") | (F.col("n") > 1)).select("id", "mark", "stays"), "odd-rows")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("own"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("own_mark"))
+    here = F.col("own").eqNullSafe(F.col("id")) & (F.col("own_mark") == F.col("mark"))
+    out = whole.join(odd, here, "left_anti").select("row")
+    repeated = odd.where("stays")
+    if not repeated.isEmpty():
+        again = whole.join(repeated, here).groupBy("own", "own_mark").agg(F.first("row").alias("row")).select("row")
+        out = out.unionByName(again)
+    return out.select("row.*")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, other letters as they are. Only a text with a capital beyond ASCII needs the slow way."""
     capital = text.rlike(r"[\x{80}-\x{10FFFF}&&[\p{Lu}\p{Lt}\p{Nl}\p{So}\p{Cn}]]")  # all that lower() changes, and some more

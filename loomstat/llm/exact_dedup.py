@@ -5,51 +5,61 @@ merged after it, and a second grouping by (digest, content) combines the winners
 grouping key each time, so equality never rests on the digest. DataFrame functions only.
 
 Defined results: a null text counts as ""; of equal texts the one with the most code points in the original stays, then
-the smallest id, null ids last; rows that repeat an id with the same text are one document and get the same answer;
-an empty table gives an empty table; other columns of the input are not looked at.
+the smallest id, null ids last, then the text of greatest MD5 (two original texts under one id); rows that repeat id and text get the same
+answer; very long texts are values like others; an empty table gives an empty table; other columns of the input,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, without_white
-
-
-def _merge(groups: DataFrame, *by: str) -> DataFrame:
-    return groups.groupBy(*by).agg(F.max_by("best_id", "rank").alias("best_id"), F.max("rank").alias("rank"), F.sum("n").alias("n"))
+from .common import keep, one_row_each, without_white
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """Per row of docs: id_col, keep_id, group_size, kept, text_sha256 (of the text without white space)."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
+    """Per row of docs: id, mark (MD5 of the text), digest, found (more than one row is equal), keep_id, keep_mark, n."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = base.select("id", F.length("text").alias("chars"), without_white(F.col("text")).alias("content"))
-    rows = rows.select("id", "content", F.sha2("content", 256).alias("digest"), (F.col("chars").cast("decimal(10,0)") * F.lit(Decimal(2**64)) - F.coalesce("id", F.lit(2**63 - 1)).cast("decimal(20,0)")).cast("decimal(38,0)").alias("rank"))
-    salted = rows.select("digest", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"), "content", F.col("id").alias("best_id"), "rank", F.lit(1).cast("long").alias("n"))
-    groups = _merge(_merge(salted, "digest", "salt", "content"), "digest", "content")
-    by_digest = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("contents"), F.max_by("best_id", "rank").alias("best_id"), F.sum("n").alias("n")).where(F.col("n") > 1)
+    rows = base.select("id", F.md5("text").alias("mark"), F.length("text").alias("chars"), without_white(F.col("text")).alias("content"))
+    # the row that stays has the greatest rank: most characters, then least id (null last), then greatest mark
+    rank = F.struct(F.col("chars"), (-F.coalesce("id", F.lit(2**63 - 1))).alias("low"), F.col("id").isNotNull().alias("known"), "mark")
+    salt = F.pmod(F.xxhash64("mark", "id"), F.lit(salts)).cast("int").alias("salt")
+    rows = rows.select("id", "mark", "content", F.sha2("content", 256).alias("digest"), rank.alias("rank"), salt)
+    best = [F.max("rank").alias("rank"), F.sum("n").alias("n")]
+    salted = rows.select("digest", "salt", "content", "rank", F.lit(1).cast("long").alias("n")).groupBy("digest", "salt", "content").agg(*best)
+    groups = salted.groupBy("digest", "content").agg(*best)
+    by_digest = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("contents"), F.max("rank").alias("rank"), F.sum("n").alias("n")).where(F.col("n") > 1)
+    winner = [F.when(F.col("rank.known"), -F.col("rank.low")).alias("keep_id"), F.col("rank.mark").alias("keep_mark"), "n"]
     many = keep(by_digest, "exact-groups")  # groups of one row need no join
     every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    won = many.where(F.col("contents") == 1).select("digest", every.alias("salt"), F.col("best_id").alias("keep_id"), "n", F.lit(True).alias("found"))
-    ids = rows.select("id", "digest", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
-    out = ids.join(won, ["digest", "salt"], "left")
+    won = many.where(F.col("contents") == 1).select("digest", every.alias("salt"), *winner, F.lit(True).alias("found"))
+    out = rows.select("id", "mark", "digest", "salt").join(won, ["digest", "salt"], "left").drop("salt")
     clash = many.where(F.col("contents") > 1).select("digest")
     if not clash.isEmpty():  # different contents under one digest: these rows are told apart by content
-        exact = rows.join(clash, "digest", "left_semi").select("id", "digest", "content").join(groups.select("digest", "content", F.col("best_id").alias("keep_id"), "n"), ["digest", "content"])
-        out = out.join(clash, "digest", "left_anti").select("id", "digest", "keep_id", "n", "found").unionByName(exact.select("id", "digest", "keep_id", "n", F.lit(True).alias("found")))
-    return out.select(
+        exact = rows.join(clash, "digest", "left_semi").select("id", "mark", "digest", "content").join(groups.select("digest", "content", *winner), ["digest", "content"])
+        exact = exact.select("digest", "id", "mark", "keep_id", "keep_mark", "n", F.lit(True).alias("found"))
+        out = out.join(clash, "digest", "left_anti").unionByName(exact)
+    return out
+
+
+def _stays():
+    """A row of a group stays if it has the winner's id and text; a row alone always does."""
+    return F.when(F.col("found"), F.col("keep_id").eqNullSafe(F.col("id")) & (F.col("keep_mark") == F.col("mark"))).otherwise(F.lit(True))
+
+
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+    """Per row of docs: id_col, keep_id, group_size, kept, text_sha256 (of the text without white space)."""
+    return _grouped(docs, id_col, text_col, salts).select(
         F.col("id").alias(id_col),
         F.when(F.col("found"), F.col("keep_id")).otherwise(F.col("id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        F.when(F.col("found"), F.col("keep_id").eqNullSafe(F.col("id"))).otherwise(F.lit(True)).alias("kept"),
+        _stays().alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
 
 
-def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that lose; all columns stay. Rows without an id cannot be told apart and stay."""
-    lost = duplicate_groups(docs, id_col, text_col).where(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__lost")).distinct()
-    return docs.join(lost, docs[id_col] == F.col("__lost"), "left_anti")
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+    """docs with one row of each group of equal texts; all columns stay. Rows are told apart by id and text: a row that
+    repeats an id with another text is judged by its own text, and of rows that repeat both one stays."""
+    return one_row_each(docs, _grouped(docs, id_col, text_col, salts).select("id", "mark", _stays().alias("stays")), id_col, text_col)

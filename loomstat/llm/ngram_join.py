@@ -1,30 +1,35 @@
 """N-gram Jaccard join by parity sketches: groups of documents that links of similarity 3/4 or more hold together.
 
-A document is the set of its distinct shingles, as 64-bit hashes; equal sets are one node from the start. |A xor B| is
-at most d = (|A| + |B|) / 7 for a linked pair, and bounds everything below.
-
-* Cells. In a band of sizes (powers of two; a set near the next band takes part in both) the shingles are dealt by hash
-  to cells, and each cell keeps the XOR of its shingles: a shingle in one set alone changes one cell. So two linked sets
-  differ in at most d cells. A set sends its first |A|/3 + 1 + X cells that are not empty, X = 0.08 |A|; by the
-  pigeonhole principle, linked sets share at least X + 1 of them. Small bands send single shingles.
-* Only cells that two nodes share matter. Of these a node may leave out its 0.06 |A| most frequent ones (the two still
-  share one): passages that many documents hold lose their cells here, and documents that have nothing else drop out.
-* Within a cell's nodes no pairs are listed. First all are compared with one leader, the node with the most shared cells, and
-  linked nodes become components. Then only nodes of different components are compared, in blocks, by bit sketches (the
-  parity of shingles a bit, so Hamming distance <= |A xor B|): first each node's nearest, then all that the bound lets by.
-* Every pair that is left is verified on the whole shingle sets.
-
-Links inside a component are not all listed; no link between components is missed. Hashes stand for shingles; two
-different shingles share one with a chance of 2**-64.
+A document is the set of its distinct shingles, as 64-bit hashes; sets that agree in two independent 64-bit sums are one
+node from the start. |A xor B| is at most d = (|A| + |B|) / 7 for a linked pair, and bounds everything below.
+
+* Join sketch. In a band of sizes (powers of two; a set near the next band takes part in both) every shingle toggles one
+  bit of a long parity sketch: its hash picks a segment, and the bit within it out of 2^64. Such a sketch is nearly empty,
+  so a segment is kept as the XOR of the hashes that fell into it, which names its set bits (toggled twice, a bit is gone
+  from both). A shingle in one set alone changes one segment, so linked sets differ in at most d segments, and by the
+  pigeonhole principle agree in all others: segments are the join key. A set sends its first d + 1 + X that are not empty
+  in hash order, X = 0.12 |A|; linked sets then share at least 0.09 |A| + 1 of the sent ones.
+* Sets that fill too few segments for that (small ones, now and then) send the first of their single shingles as well,
+  where only such sets meet. No other set is touched by it.
+* Only segments that two nodes share matter. Of these a node leaves out its 0.09 |A| most frequent ones (the two still
+  share one): passages that many documents hold lose their segments here, and documents that have nothing else drop out.
+* Within a segment's nodes no pairs are listed. First all are compared with one leader, the node with the most shared
+  segments, and linked nodes become components. Then only nodes of different components are compared, the largest one with
+  the rest, in blocks, by a short sketch (parity of four bits a shingle, whose Hamming distance is at most |A xor B|): each
+  node's nearest is verified, while that still joins components. What is left is compared in blocks on whole sets, and a
+  block hands on a spanning forest of the links it finds, never more rows than it has nodes.
+
+Links inside a component are not all listed; no link between components is missed. Within a pair two different shingles
+would have to share one of 2^64 hashes to change a count.
 
 Defined results: a text without words has 0 shingles and is linked with nothing; fewer words than a shingle are one
-shingle; rows that repeat an id are copies like any other; null ids never name a component unless it has no other;
-an empty table gives an empty table; other columns of the input are not looked at.
+shingle; rows that repeat an id are documents of their own, copies or not; null ids never name a component unless it has
+no other; very long texts are sets like others (about 16 bytes a word in a task); an empty table gives an empty table;
+other columns of the input, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,19 +37,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
-from .textbytes import U64, SpanHash, mix, slices
+from .common import keep, one_row_each
+from .textbytes import U64, folded, mix, slices, span_hashes
 
-#: Bands below this power of two send single shingles.
-SMALL = 6
-#: Nodes of one cell compared in one block.
+#: Nodes of one segment compared in one block; fewer where sets are large (see _block_size).
 BLOCK = 1024
-#: A cell with so many nodes in one slice of a task is frequent: the slice sends one of them to the cell's bin.
-LOCAL = 32
+#: A segment with so many nodes in one slice of a task is frequent: the slice sends one of them to the segment's bin.
+LOCAL = 64
+#: Shingles whose segments are in a bin, which one task holds at a time (about 40 bytes each).
+BIN = 2_000_000
+#: Bytes of text whose segments are dealt to bins together.
+SLICE = 1 << 22
 #: Rows of (node, value) that may be broadcast (16 bytes each).
 BROADCAST_NODES = 1_000_000
+#: Turns in which each node's nearest is verified, before whole sets are compared.
+TURNS = 3
 FREQUENT = 2**31 - 1
 _SEED = U64(0xA0761D6478BD642F)
+#: A node's roles are told apart by its lowest bits: own band, next band, single shingles.
+_ROLES, _SINGLE = 3, 2
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +67,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     cut[offsets] = True
     start = np.flatnonzero(~white[1:-1] & (white[:-2] | cut[:-1]))
     end = np.flatnonzero(~white[1:-1] & (white[2:] | cut[1:])) + 1
-    words = SpanHash(data, fold=True)(start, end)
+    words = span_hashes(folded(data), start, end)
     first = np.searchsorted(start, offsets)
     count = np.diff(first)
     grams = np.zeros(max(0, len(words) - width + 1), U64)
@@ -82,92 +93,116 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     return np.concatenate(parts) if parts else np.zeros(0, U64), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def node_of(own: np.ndarray) -> int:
-    """An id of the set: even, since the lowest bit tells a node's two bands apart."""
-    h = mix(np.array([np.add.reduce(mix(own ^ _SEED)) + U64(len(own))], U64))
-    return int(h.view(np.int64)[0]) & ~1
+def names_of(hashes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent sums of each set, 0 for an empty one. The two lowest bits of the first are 0, for the roles of a node."""
+    size = np.diff(cuts)
+    full = np.flatnonzero(size)
+    out = np.zeros((2, len(size)), U64)
+    for k, s in enumerate((_SEED, ~_SEED)):
+        if len(full):
+            out[k, full] = mix(np.add.reduceat(mix(hashes ^ s), cuts[full]) + size[full].astype(U64))
+    one, two = out.view(np.int64)
+    return one & ~_ROLES, two
 
 
-def bands(n: int) -> list[int]:
-    j = n.bit_length() - 1
-    return [j, j + 1] if 2 * n >= 3 << j else [j]
+def nodes_of(hashes: np.ndarray, cuts: np.ndarray, clashing: np.ndarray) -> np.ndarray:
+    """The node of each set: its first sum, or the second where different sets share the first."""
+    one, two = names_of(hashes, cuts)
+    return np.where(np.isin(one, clashing), two & ~_ROLES, one)
 
 
-def cells(own: np.ndarray, band: int, single: bool) -> tuple[np.ndarray, bool]:
-    """The cells that a set sends in a band, hashed with the band; whether there were enough."""
+def segments(own: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(role, segments sent) of a set: own band, the next band where the set is near it, single shingles where a band fails."""
     n = len(own)
-    need = n // 3 + 1 + int(0.08 * n)
-    if band < SMALL or single:
-        got = own[:need]
-        enough = True
-    else:
-        number = (20 if band == SMALL else 16 if band < 9 else 12.5) * (1 << band) / 10  # too few filled: 7 deviations or more away
-        at = ((own >> U64(32)) * U64(int(number))) >> U64(32)
+    j = n.bit_length() - 1
+    upper = 2 * n >= 3 << j
+    # in its own band a set near the next one has only smaller partners left to meet
+    bands = [(j, (n + (3 << j) // 2) // 7 if upper else n // 3)] + ([(j + 1, n // 3)] if upper else [])
+    more, out, lack = 1 + 12 * n // 100, [], False
+    for role, (band, d) in enumerate(bands):
+        number = (11 * (1 << band)) // 10 + 8
+        at = ((own >> U64(32)) * U64(number)) >> U64(32)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        enough = len(first) >= need
-        got = np.bitwise_xor.reduceat(own, first)[:need]
-    return mix(got ^ mix(np.full(1, band + 1, U64) * _SEED)), enough
+        got = np.bitwise_xor.reduceat(own, first)
+        lack |= len(got) < d + more
+        out.append((role, _tagged(got, band)[: d + more]))
+    if lack:
+        out.append((_SINGLE, _tagged(own, 99)[: n // 3 + more]))
+    return out
+
+
+def _tagged(values: np.ndarray, tag: int) -> np.ndarray:
+    return mix(values ^ mix(np.full(1, tag + 1, U64) * _SEED))
 
 
 def bit_sketch(own: np.ndarray) -> bytes:
-    """Parity of the shingles of each bit: 64 to 1024 bits, at least two a shingle up to there."""
-    bits = min(1024, max(64, 1 << (2 * len(own) - 1).bit_length()))
+    """Parity of the shingles of each bit: a power of two of bits, at least 64 and four a shingle."""
+    bits = max(64, 1 << (4 * len(own) - 1).bit_length())
     odd = np.bincount((own & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
-    for at, data, offsets in slices(batch.column("text")):
-        hashes, cuts = shingle_sets(data, offsets, width)
-        for i in range(len(cuts) - 1):
-            yield at + i, hashes[cuts[i] : cuts[i + 1]]
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+    return 100 * both >= 75 * (len(x) + len(y) - both)
 
 
 def _profile(width: int):
-    """(id, node, n, lack): lack where a band's cells are too few for the pigeonhole bound."""
+    """(id, mark, one, two, n) of every text: its set's sums and size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, n, lack = [], [], []
-            for _, own in _sets(b, width):
-                node.append(node_of(own) if len(own) else None)
-                n.append(len(own))
-                lack.append(not all(cells(own, j, False)[1] for j in bands(len(own))) if len(own) else False)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(lack, pa.bool_())], ["id", "node", "n", "lack"])
+            for at, data, offsets in slices(b.column("text")):
+                hashes, cuts = shingle_sets(data, offsets, width)
+                one, two = names_of(hashes, cuts)
+                n = np.diff(cuts)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, len(n)) for c in ("id", "mark")), pa.array(one), pa.array(two), pa.array(n)], ["id", "mark", "one", "two", "n"])
 
     return run
 
 
-_BLOB = pa.schema([("bin", pa.int32()), ("hot", pa.bool_()), ("cells", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("runs", pa.binary())])
-_BLOB_SQL = "bin int, hot boolean, cells binary, nodes binary, sizes binary, runs binary"
+_BLOB = pa.schema([("bin", pa.int64()), ("hot", pa.bool_()), ("cells", pa.binary()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("runs", pa.binary()), ("among", pa.binary())])
+_BLOB_SQL = "bin long, hot boolean, cells binary, nodes binary, sizes binary, runs binary, among binary"
 
 
-def _blob(bin_: int, hot: bool, cell: np.ndarray, node: np.ndarray, n: np.ndarray) -> dict:
+def _blob(bin_: int, hot: bool, cell: np.ndarray, node: np.ndarray, n: np.ndarray, among: np.ndarray | None = None) -> dict:
     """Rows in order of node, its id once a run."""
     first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-    return {"bin": bin_, "hot": hot, "cells": cell.tobytes(), "nodes": node[first].tobytes(), "sizes": n[first].astype("<i4").tobytes(), "runs": np.diff(np.append(first, len(node))).astype("<i4").tobytes()}
+    return {"bin": bin_, "hot": hot, "cells": cell.tobytes(), "nodes": node[first].tobytes(), "sizes": n[first].astype("<i4").tobytes(), "runs": np.diff(np.append(first, len(node))).astype("<i4").tobytes(), "among": b"" if among is None else among.astype("<i4").tobytes()}
+
 
+def _rows(r: dict) -> tuple[np.ndarray, ...]:
+    runs = np.frombuffer(r["runs"], "<i4")
+    return np.frombuffer(r["cells"], "<u8"), np.repeat(np.frombuffer(r["nodes"], "<i8"), runs), np.repeat(np.frombuffer(r["sizes"], "<i4"), runs)
 
-def _send(width: int, bins: int, single: bool):
-    """A row a slice of texts and bin: the cells of the slice's nodes that belong to the bin."""
+
+def _dealt(where: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    order = np.argsort(where, kind="stable")
+    found, at = np.unique(where[order], return_index=True)
+    for k, s in zip(found, np.split(order, at[1:])):
+        yield int(k), [c[s] for c in columns]
+
+
+def _send(width: int, bins: int, clashing: np.ndarray):
+    """A row a slice of texts and bin: the segments of the slice's nodes that belong to the bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            for _, data, offsets in slices(b.column("text")):
+            for _, data, offsets in slices(b.column("text"), SLICE):
                 hashes, cuts = shingle_sets(data, offsets, width)
+                keys = nodes_of(hashes, cuts, clashing).tolist()
                 cell, node, size, runs = [], [], [], []
                 for i in np.flatnonzero(np.diff(cuts)):
-                    own = hashes[cuts[i] : cuts[i + 1]]
-                    key = node_of(own)
+                    own, key = hashes[cuts[i] : cuts[i + 1]], keys[i]
                     if key in seen:  # a copy
                         continue
                     seen.add(key)
-                    for role, j in enumerate(bands(len(own))):
-                        cell.append(cells(own, j, single)[0])
+                    for role, got in segments(own):
+                        cell.append(got)
                         node.append(key | role)
                         size.append(len(own))
-                        runs.append(len(cell[-1]))
+                        runs.append(len(got))
                 if not cell:
                     continue
                 c, v, n = np.concatenate(cell), np.repeat(np.array(node, np.int64), runs), np.repeat(np.array(size, np.int64), runs)
@@ -180,67 +215,101 @@ def _send(width: int, bins: int, single: bool):
                     hot[order] = np.repeat(count >= LOCAL, count)
                     kept = ~hot
                     kept[order[first]] = True
-                    rows += [_blob(int(v[0]) % bins, True, c[hot], v[hot], n[hot])]
+                    for k, (cs, vs, ns) in _dealt((v[hot] >> 2) % bins, c[hot], v[hot], n[hot]):
+                        rows.append(_blob(k, True, cs, vs, ns))
                     flag = np.zeros(len(c), bool)
                     flag[order[first]] = count >= LOCAL
                     c, v, n, flag = c[kept], v[kept], n[kept], flag[kept]
-                    n = np.where(flag, -n, n)  # a size below 0: the cell is frequent
-                where = (c >> U64(40)).astype(np.int64) % bins
-                order = np.argsort(where, kind="stable")
-                at = np.searchsorted(where[order], np.arange(bins + 1))
-                for k in range(bins):
-                    s = order[at[k] : at[k + 1]]
-                    for part in (s[n[s] > 0], s[n[s] < 0]):
-                        if len(part):
-                            rows.append(_blob(k, False, c[part], v[part], n[part]))
+                    n = np.where(flag, -n, n)  # a size below 0: the segment is frequent
+                for k, (cs, vs, ns) in _dealt((c >> U64(20)).astype(np.int64) % bins, c, v, n):
+                    for part in (ns > 0, ns < 0):
+                        if part.any():
+                            rows.append(_blob(k, False, cs[part], vs[part], ns[part]))
                 yield pa.RecordBatch.from_pylist(rows, schema=_BLOB)
 
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (cell, node, n, among) of cells that several nodes share; all rows of a cell are in one partition, but
-    for those that a slice passed on as frequent."""
-    got: list[tuple[np.ndarray, ...]] = []
+def _by_bin(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of one bin after the other; they come in order of bin."""
+    held: list[dict] = []
     for b in batches:
         for r in b.to_pylist():
-            runs = np.frombuffer(r["runs"], "<i4")
-            n = np.repeat(np.frombuffer(r["sizes"], "<i4"), runs)
-            row = (np.frombuffer(r["cells"], "<u8"), np.repeat(np.frombuffer(r["nodes"], "<i8"), runs), n)
-            if r["hot"]:
-                yield _shared(*row, np.full(len(n), FREQUENT, np.int32))
-            else:
-                got.append(row)
-    if not got:
-        return
-    cell, node, n = (np.concatenate(x) for x in zip(*got))
-    got.clear()
-    order = np.lexsort((n, node, cell))
-    cell, node, n = cell[order], node[order], n[order]
-    fresh = np.concatenate([[True], (cell[1:] != cell[:-1]) | (node[1:] != node[:-1])])  # frequent (below 0) comes first
-    cell, node, n = cell[fresh], node[fresh], n[fresh]
-    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-    count = np.diff(np.append(first, len(cell)))
-    often = np.minimum.reduceat(n, first) < 0
-    among = np.repeat(np.where(often, FREQUENT, count), count)
-    many = among > 1
-    for a in range(0, int(many.sum()), 100_000):
-        s = np.flatnonzero(many)[a : a + 100_000]
-        yield _shared(cell[s], node[s], np.abs(n[s]), among[s].astype(np.int32))
-
-
-def _shared(cell: np.ndarray, node: np.ndarray, n: np.ndarray, among: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(node), pa.array(n.astype(np.int32)), pa.array(among)], ["cell", "node", "n", "among"])
-
-
-def _describe(width: int):
+            if held and held[-1]["bin"] != r["bin"]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
+
+
+def _meet(bins: int):
+    """The rows of segments that several nodes share, dealt anew to bins of nodes. All rows of a segment are in one bin, but
+    for those that a slice passed on as frequent."""
+
+    def out(cell: np.ndarray, node: np.ndarray, n: np.ndarray, among: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(node, kind="stable")
+        cell, node, n, among = cell[order], node[order], n[order], among[order]
+        rows = [_blob(k, False, *columns) for k, columns in _dealt((node >> 2) % bins, cell, node, n, among)]
+        return pa.RecordBatch.from_pylist(rows, schema=_BLOB)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_bin(batches):
+            for r in rows:
+                if r["hot"]:
+                    cell, node, n = _rows(r)
+                    yield out(cell, node, n, np.full(len(n), FREQUENT, np.int32))
+            got = [_rows(r) for r in rows if not r["hot"]]
+            if not got:
+                continue
+            cell, node, n = (np.concatenate(x) for x in zip(*got))
+            got.clear()
+            order = np.lexsort((n, node, cell))
+            cell, node, n = cell[order], node[order], n[order]
+            fresh = np.concatenate([[True], (cell[1:] != cell[:-1]) | (node[1:] != node[:-1])])  # frequent (below 0) comes first
+            cell, node, n = cell[fresh], node[fresh], n[fresh]
+            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            count = np.diff(np.append(first, len(cell)))
+            often = np.minimum.reduceat(n, first) < 0
+            among = np.repeat(np.where(often, FREQUENT, count), count)
+            s = np.flatnonzero(among > 1)
+            if len(s):
+                yield out(cell[s], node[s], np.abs(n[s]), among[s])
+
+    return run
+
+
+def _rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, node, n, w): a node's shared segments without the most frequent ones; w is their number."""
+    for rows in _by_bin(batches):
+        cell, node, n = (np.concatenate(x) for x in zip(*map(_rows, rows)))
+        among = np.concatenate([np.frombuffer(r["among"], "<i4") for r in rows])
+        order = np.lexsort((cell, among, node))
+        cell, node, n, among = cell[order], node[order], n[order], among[order]
+        fresh = np.concatenate([[True], (cell[1:] != cell[:-1]) | (node[1:] != node[:-1])])  # a frequent one comes from several tasks
+        cell, node, n = cell[fresh], node[fresh], n[fresh]
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        count = np.diff(np.append(first, len(node)))
+        nth = np.arange(len(node)) - np.repeat(first, count)
+        left = np.repeat(count, count) - 9 * n.astype(np.int64) // 100
+        s = np.flatnonzero(nth < left)
+        for a in range(0, len(s), 100_000):
+            k = s[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(cell[k].view(np.int64)), pa.array(node[k] & ~_ROLES), pa.array(n[k]), pa.array(left[k].astype(np.int32))], ["cell", "node", "n", "w"])
+
+
+def _describe(width: int, clashing: np.ndarray):
     """(node, n, sketch, grams) of the texts asked for."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary()), ("grams", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [{"node": node_of(own), "n": len(own), "sketch": bit_sketch(own), "grams": own.tobytes()} for _, own in _sets(b, width) if len(own)]
-            for a in range(0, len(rows), 500):
-                yield pa.RecordBatch.from_pylist(rows[a : a + 500], schema=pa.schema([("node", pa.int64()), ("n", pa.int32()), ("sketch", pa.binary()), ("grams", pa.binary())]))
+            for _, data, offsets in slices(b.column("text")):
+                hashes, cuts = shingle_sets(data, offsets, width)
+                keys = nodes_of(hashes, cuts, clashing)
+                sets = ((int(keys[i]), hashes[cuts[i] : cuts[i + 1]]) for i in np.flatnonzero(np.diff(cuts)))
+                rows = [{"node": key, "n": len(own), "sketch": bit_sketch(own), "grams": own.tobytes()} for key, own in sets]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run
 
@@ -264,54 +333,112 @@ def _near_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(keep_, pa.bool_()))
 
 
-def _compare(nearest: bool):
-    """Rows (cell, i, j, side, node, n, comp, sketch) in order of (cell, i, j): pairs of different components, of sides i
-    and j where these differ, that the sketches let by; with nearest, only the nearest of each node."""
-
-    def pairs(node: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, sketch: list[bytes]) -> Iterator[np.ndarray]:
-        width = np.array([len(s) // 8 for s in sketch])
-        near = {}
-        for w in np.unique(width):
-            one = np.flatnonzero(width == w)
-            own = np.frombuffer(b"".join(sketch[i] for i in one), U64).reshape(-1, w)
-            two = np.flatnonzero(width == 2 * w)
-            other, words = np.concatenate([one, two]), own
-            if len(two):
-                words = np.concatenate([own, _fold(np.frombuffer(b"".join(sketch[i] for i in two), U64).reshape(-1, 2 * w))])
-            step = max(1, 2_000_000 // (len(other) * int(w)))
-            for a in range(0, len(one), step):
-                x = one[a : a + step]
-                far = np.bitwise_count(own[a : a + step, None] ^ words[None]).sum(2, dtype=np.int64)
-                nx, ny = n[x][:, None].astype(np.int64), n[other][None].astype(np.int64)
-                ok = (7 * far <= nx + ny) & (4 * np.minimum(nx, ny) >= 3 * np.maximum(nx, ny)) & (comp[x][:, None] != comp[other][None])
-                if side.any() and not side.all():
-                    ok &= side[x][:, None] != side[other][None]
-                if not nearest:
-                    i, j = np.nonzero(ok)
-                    yield np.stack([node[x[i]], node[other[j]]])
-                    continue
-                far = np.where(ok, far, 1 << 40)
-                for best, who, whom in ((far.argmin(1), x, other), (far.argmin(0), other, x)):
-                    low = far.min(1 if who is x else 0)
-                    for p in np.flatnonzero(low < 1 << 40):
-                        if low[p] < near.get(who[p], (1 << 40,))[0]:
-                            near[who[p]] = (low[p], whom[best[p]])
-        if near:
-            yield np.stack([node[list(near)], node[[v[1] for v in near.values()]]])
-
-    def flush(rows: list[pa.RecordBatch]) -> np.ndarray:
+def _allowed(n: np.ndarray, comp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    nx, ny = n[i].astype(np.int64), n[j].astype(np.int64)
+    return (comp[i] != comp[j]) & (4 * np.minimum(nx, ny) >= 3 * np.maximum(nx, ny))
+
+
+def _pairs(node: np.ndarray, n: np.ndarray, comp: np.ndarray, side: np.ndarray, cut: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of the rows of each block (between cuts) that are of different components, and of both sides where it has
+    both. Small blocks are taken together, and what two nodes have in common there is looked at once."""
+    size = np.diff(cut)
+    held = []
+    for s in np.unique(size[(size > 1) & (size <= 32)]):
+        x, y = np.triu_indices(s, 1)
+        first = cut[:-1][size == s]
+        i, j = (first[:, None] + x).ravel(), (first[:, None] + y).ravel()
+        # of a block with both sides, pairs across
+        total = side[first[:, None] + np.arange(s)].sum(1)[:, None]
+        mixed = np.broadcast_to((total > 0) & (total < s), (len(first), len(x))).ravel()
+        ok = _allowed(n, comp, i, j) & (~mixed | (side[i] != side[j]))
+        held.append(np.stack([i[ok], j[ok]]))
+    if held:
+        i, j = np.concatenate(held, 1)
+        swap = node[i] > node[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        order = np.lexsort((node[j], node[i]))
+        i, j = i[order], j[order]
+        fresh = np.ones(len(i), bool)
+        fresh[1:] = (node[i][1:] != node[i][:-1]) | (node[j][1:] != node[j][:-1])
+        yield i[fresh], j[fresh]
+    for k in np.flatnonzero(size > 32):
+        a, z = int(cut[k]), int(cut[k + 1])
+        both = side[a:z].any() and not side[a:z].all()
+        for top in range(a, z, 64):
+            i, j = (m.ravel() for m in np.meshgrid(np.arange(top, min(top + 64, z)), np.arange(a, z), indexing="ij"))
+            ok = (i < j) & _allowed(n, comp, i, j)
+            if both:
+                ok &= side[i] != side[j]
+            yield i[ok], j[ok]
+
+
+def _near(n: np.ndarray, words: np.ndarray, at: np.ndarray, width: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(i, j, distance) of the pairs that the sketches let by: words[at:at + width] of each row, widths powers of two."""
+    wide = width[i] < width[j]
+    i, j = np.where(wide, j, i), np.where(wide, i, j)
+    out = []
+    for w, v in np.unique(np.stack([width[i], width[j]]), axis=1).T if len(i) else ():
+        of = np.flatnonzero((width[i] == w) & (width[j] == v))
+        step = max(1, 1_000_000 // int(w))
+        for k in range(0, len(of), step):
+            p, q = i[of[k : k + step]], j[of[k : k + step]]
+            x = words[at[p][:, None] + np.arange(w)]
+            while x.shape[1] > v:
+                x = _fold(x)
+            far = np.bitwise_count(x ^ words[at[q][:, None] + np.arange(v)]).sum(1, dtype=np.int64)
+            ok = 7 * far <= n[p].astype(np.int64) + n[q]
+            out.append((p[ok], q[ok], far[ok]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def _nearest(node: np.ndarray, comp: np.ndarray, near: Iterator[tuple[np.ndarray, ...]], _: pa.Table) -> list[tuple[int, int]]:
+    """Each node's nearest of another component."""
+    best: dict[int, tuple[int, int]] = {}
+    for i, j, far in near:
+        for who, other in ((i, j), (j, i)):
+            order = np.lexsort((far, node[who]))
+            key = node[who][order]
+            first = order[np.concatenate([[True], key[1:] != key[:-1]])] if len(order) else order
+            for k, f, o in zip(node[who[first]].tolist(), far[first].tolist(), node[other[first]].tolist()):
+                if k not in best or f < best[k][0]:
+                    best[k] = (f, o)
+    return [(k, o) for k, (_, o) in best.items()]
+
+
+def _forest(node: np.ndarray, comp: np.ndarray, near: Iterator[tuple[np.ndarray, ...]], rows: pa.Table) -> list[tuple[int, int]]:
+    """Links between components, verified on whole sets: a spanning forest of all that blocks have."""
+    parent = {int(c): int(c) for c in np.unique(comp)}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out, grams = [], rows["grams"]
+    for i, j, _ in near:
+        for p, q in zip(i.tolist(), j.tolist()):
+            a, b = root(int(comp[p])), root(int(comp[q]))
+            if a != b and linked(np.frombuffer(grams[p].as_buffer(), U64), np.frombuffer(grams[q].as_buffer(), U64)):
+                parent[a] = b
+                out.append((int(node[p]), int(node[q])))
+    return out
+
+
+def _in_blocks(find):
+    """Rows (cell, i, j, side, node, n, comp, sketch, grams) in order of (cell, i, j); find says which pairs to hand on."""
+
+    def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()
         key = np.stack([t[c].to_numpy() for c in ("cell", "i", "j")])
         cut = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0), [True]]))
         node, n, comp, side = (t[c].to_numpy() for c in ("node", "n", "comp", "side"))
         sketch = t["sketch"].to_pylist()
-        out = [p for a, z in zip(cut, cut[1:]) if z - a > 1 for p in pairs(node[a:z], n[a:z], comp[a:z], side[a:z] != key[1, a], sketch[a:z])]
-        if not out:
-            return np.zeros((2, 0), np.int64)
-        p = np.sort(np.concatenate(out, 1), 0)
-        return np.unique(p, axis=1) if p.shape[1] else p
-
-    def batch(p: np.ndarray) -> pa.RecordBatch:
+        width = np.array([len(x) // 8 for x in sketch])
+        words, at = np.frombuffer(b"".join(sketch), U64), np.cumsum(width) - width
+        near = (_near(n, words, at, width, i, j) for i, j in _pairs(node, n, comp, side, cut))
+        p = np.sort(np.array(find(node, comp, near, t), np.int64).reshape(-1, 2).T, 0)
+        p = np.unique(p, axis=1) if p.shape[1] else p
         return pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,127 +448,181 @@ def _compare(nearest: bool):
                 continue
             key = np.stack([b.column(c).to_numpy() for c in ("cell", "i", "j")])
             change = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0))
-            # the last cell of a batch may go on in the next
+            # the last block of a batch may go on in the next
             if held and (np.array([held[-1].column(c)[-1].as_py() for c in ("cell", "i", "j")]) != key[:, 0]).any():
-                yield batch(flush(held))
+                yield flush(held)
                 held = []
             if len(change):
                 last = int(change[-1]) + 1
-                yield batch(flush([*held, b.slice(0, last)]))
+                yield flush([*held, b.slice(0, last)])
                 held = []
                 b = b.slice(last)
             held.append(b)
         if held:
-            yield batch(flush(held))
+            yield flush(held)
 
     return run
 
 
+def _open_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (a, b): each once, as a and as b."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([b.column("a"), b.column("b")]).unique()], ["node"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (a, b, ga, gb): the pairs whose whole sets are linked."""
     for b in batches:
-        keep_ = []
-        for ga, gb in zip(b.column("ga"), b.column("gb")):
-            x, y = np.frombuffer(ga.as_buffer(), U64), np.frombuffer(gb.as_buffer(), U64)
-            both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-            keep_.append(100 * both >= 75 * (len(x) + len(y) - both))
+        keep_ = [linked(np.frombuffer(ga.as_buffer(), U64), np.frombuffer(gb.as_buffer(), U64)) for ga, gb in zip(b.column("ga"), b.column("gb"))]
         yield b.select(["a", "b"]).filter(pa.array(keep_, pa.bool_()))
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """A written table; what it was made from can be let go, shuffle files too."""
-    out = keep(df, name)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a kept table where it is small, checked by its count."""
+    """Broadcast a written table of two numbers a row where its count shows that it is small."""
     return F.broadcast(df) if df.count() <= BROADCAST_NODES else df
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of the nodes of links(a, b); comp is the least node reachable. Least neighbour, then a jump, until it settles."""
-    edges = _kept(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    edges = keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("comp"))
-    label = _kept(label, "labels")
+    label = keep(label, "labels")
     while True:
         least = edges.join(label.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
         low = label.join(least, "node").select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("low"))
         jump = label.select(F.col("node").alias("low"), F.col("comp").alias("there"))
-        new = _kept(low.join(jump, "low").select("node", "was", F.least("low", "there").alias("comp")), "labels")
+        new = keep(low.join(jump, "low").select("node", "was", F.least("low", "there").alias("comp")), "labels")
         label = new.select("node", "comp")
         if new.where(F.col("was") != F.col("comp")).isEmpty():
             return label
 
 
-def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """Per row of docs: id_col, n_shingles, component_id (the least id that links reach)."""
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    seen = keep(base.mapInArrow(_profile(width), "id long, node long, n long, lack boolean"), "profiles")
-    nodes = seen.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    comps = components(_links(base, seen, nodes, width, not seen.where("lack").isEmpty()))
-    # only nodes with copies or links need a join back; a hot node's rows are dealt to several salts
+def _salt(name: str, salts: int = 16):
+    return F.pmod(F.xxhash64(F.col(name)), F.lit(salts)).cast("int").alias("salt")
+
+
+def _salted(salts: int = 16):
+    return F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+
+
+def row_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """Per row of docs: id, mark (MD5 of the text), n (shingles), group (least id that links reach), first (the mark of that row)."""
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("mark", F.md5("text"))
+    seen = keep(base.mapInArrow(_profile(width), "id long, mark string, one long, two long, n long"), "profiles")
+    # the least row of a node: least id, null last, then least mark
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+    nodes = keep(seen.where(F.col("n") > 0).groupBy("one", "two", "n").agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("copies")), "nodes")
+    # first sums of different sets: of 5e10 sets about 300 are expected to share one
+    clashing = [r["one"] for r in nodes.groupBy("one").count().where(F.col("count") > 1).collect()]
+    bad = F.col("one").isin(clashing) if clashing else F.lit(False)
+    node = F.when(bad, F.col("two").bitwiseAND(~_ROLES)).otherwise(F.col("one"))
+    nodes = nodes.select(node.alias("node"), "least", "copies", "n")
+    comps = _components_of(base, nodes, width, np.array(clashing, np.int64))
+    # only nodes with copies or links need a join back; rows of a hot component or node are dealt to several salts
     whole = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = whole.groupBy("comp").agg(F.min("least").alias("component_id"), F.sum("copies").alias("size")).where(F.col("size") > 1)
-    named = whole.join(least, "comp").select("node", "component_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
+    least = whole.groupBy("comp").agg(F.min("least").alias("group"), F.sum("copies").alias("size")).where(F.col("size") > 1)
+    named = whole.select("node", "comp", _salt("node")).join(least.select("comp", "group", _salted()), ["comp", "salt"]).select("node", "group", _salted())
     named = keep(named, "components")
-    rows = seen.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(8)).cast("int"))
+    rows = seen.select("id", "mark", "n", node.alias("node")).withColumn("salt", _salt("mark"))
     out = rows.join(named, ["node", "salt"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    alone = F.col("group").isNull()
+    return out.select("id", "mark", "n", F.when(alone, F.col("id")).otherwise(F.col("group.id")).alias("group"), F.when(alone, F.col("mark")).otherwise(F.col("group.mark")).alias("first"))
+
+
+def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """Per row of docs: id_col, n_shingles, component_id (the least id that links reach)."""
+    return row_groups(docs, id_col, text_col, width).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("group", "id").alias("component_id"))
 
 
-def _links(base: DataFrame, seen: DataFrame, nodes: DataFrame, width: int, single: bool) -> DataFrame:
-    """Verified links (a, b) that hold each component together."""
+def _components_of(base: DataFrame, nodes: DataFrame, width: int, clashing: np.ndarray) -> DataFrame:
+    """(node, comp) of the nodes that have links, all of them verified."""
     spark = base.sparkSession
-    bins = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = base.mapInArrow(_send(width, bins, single), _BLOB_SQL).repartition("bin")
-    shared = _kept(sent.mapInArrow(_meet, "cell long, node long, n int, among int").distinct(), "shared-cells")
-    # leave out the most frequent cells of each node and band
-    ranked = shared.selectExpr("cell", "node", "n", "row_number() OVER (PARTITION BY node ORDER BY among, cell) AS nth", "count(*) OVER (PARTITION BY node) AS c")
-    left = ranked.where(F.col("nth") <= F.col("c") - F.floor(F.col("n") * 6 / 100)).select("cell", F.col("node").bitwiseAND(-2).alias("node"), "n")
-    left = _kept(left, "kept-cells")
-    weight = left.groupBy("node").agg(F.count(F.lit(1)).alias("w"))
-    chosen = _kept(weight.join(nodes, "node").select("node", "least", "w"), "candidates")
+    sent = nodes.agg(F.sum("n")).first()[0] or 0
+    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sent // BIN)
+    sent = base.mapInArrow(_send(width, bins, clashing), _BLOB_SQL).repartition("bin").sortWithinPartitions("bin")
+    shared = sent.mapInArrow(_meet(bins), _BLOB_SQL).repartition("bin").sortWithinPartitions("bin")
+    left = keep(shared.mapInArrow(_rarest, "cell long, node long, n int, w int"), "kept-segments")
+    lead = left.groupBy("cell").agg(F.max(F.struct("w", "node")).alias("top"), F.count(F.lit(1)).alias("g")).where(F.col("g") > 1).select("cell", F.col("top.node").alias("leader"))
+    pairs = left.join(lead, "cell").where(F.col("node") != F.col("leader"))
+    star = keep(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "stars")
+    ends = star.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    chosen = keep(ends.join(nodes, "node").select("node", F.col("least.id").alias("id"), F.col("least.mark").alias("mark")), "candidates")
     if chosen.isEmpty():
-        return chosen.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    wanted = _small(_kept(chosen.select(F.col("least").alias("wanted")).distinct(), "wanted"))
-    texts = base.join(wanted, base["id"].eqNullSafe(F.col("wanted")), "left_semi")
-    told = texts.mapInArrow(_describe(width), "node long, n int, sketch binary, grams binary")
-    told = _kept(told.join(_small(chosen.select("node")), "node", "left_semi").dropDuplicates(["node"]), "candidate-sets")
+        return chosen.select("node", F.col("node").alias("comp"))
+    wanted = _small(chosen.select("id").distinct())
+    texts = base.join(wanted, base["id"].eqNullSafe(wanted["id"]), "left_semi")
+    told = texts.mapInArrow(_describe(width, clashing), "node long, n int, sketch binary, grams binary")
+    told = keep(told.join(_small(chosen.select("node")), "node", "left_semi").dropDuplicates(["node"]), "candidate-sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         a = told.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
         b = told.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
-        return _kept(pairs.join(a, "a").join(b, "b").select("a", "b", "ga", "gb").mapInArrow(_verify, "a long, b long"), name)
+        return keep(pairs.join(a, "a").join(b, "b").select("a", "b", "ga", "gb").mapInArrow(_verify, "a long, b long"), name)
 
-    # every node of a cell with the cell's leader
-    ranks = left.join(_small(chosen.select("node", "w")), "node").select("cell", "node", F.struct("w", "node").alias("rank"))
-    lead = ranks.groupBy("cell").agg(F.max("rank").alias("top"), F.count(F.lit(1)).alias("g")).where(F.col("g") > 1).select("cell", F.col("top.node").alias("leader"))
-    star = left.join(lead, "cell").where(F.col("node") != F.col("leader")).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     a = told.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     b = told.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    star = _kept(star, "stars").join(a, "a").join(b, "b").mapInArrow(_near_pairs, "a long, b long")
-    links = verified(star, "links")
-    sketches = told.select("node", "sketch")
-    for nearest in (True, False):
+    links = verified(star.join(a, "a").join(b, "b").mapInArrow(_near_pairs, "a long, b long"), "links")
+    comp = components(links)
+    for turn in range(TURNS + 1):
+        split = _blocks(left, comp)
+        if split.isEmpty():
+            return comp
+        near = _found(split, told, _nearest, False)
+        if near.isEmpty():
+            return comp
+        new = verified(near, "links") if turn < TURNS else near.limit(0)
+        last = new.isEmpty()
+        if last:  # only nodes that have a near one of another component take part, with their whole sets
+            some = keep(near.mapInArrow(_open_nodes, "node long").distinct(), "open-nodes")
+            new = _found(split.join(some, "node", "left_semi"), told, _forest, True)
+            if new.isEmpty():
+                return comp
+        links = keep(links.unionByName(new), "links")
         comp = components(links)
-        rows = left.join(_small(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = rows.groupBy("cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("g")).where(F.col("low") != F.col("high")).select("cell", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks"))
-        rows = _kept(rows.join(mixed, "cell").select("cell", "node", "n", "comp", "blocks"), "open-cells")
-        if rows.isEmpty():
-            break
-        left = rows.select("cell", "node", "n")
-        split = rows.withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        split = split.select("cell", F.least("side", "k").alias("i"), F.greatest("side", "k").alias("j"), "side", "node", "n", "comp").join(sketches, "node")
-        split = split.select("cell", "i", "j", "side", "node", "n", "comp", "sketch").repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-        found = _kept(split.mapInArrow(_compare(nearest), "a long, b long").distinct(), "near-pairs")
-        links = _kept(links.unionByName(verified(found, "links")), "links")
-    return links
+        if last:
+            return comp
+        left = split.select("cell", "node", "n").distinct()
+
+
+def _found(split: DataFrame, told: DataFrame, find, whole: bool) -> DataFrame:
+    more = ["sketch", "grams"] if whole else ["sketch"]
+    rows = split.join(told.select("node", *more), "node").select("cell", "i", "j", "side", "node", "n", "comp", *more)
+    dealt = rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    return keep(dealt.mapInArrow(_in_blocks(find), "a long, b long").distinct(), "near-pairs")
+
+
+def _blocks(left: DataFrame, comp: DataFrame) -> DataFrame:
+    """(cell, i, j, side, node, n, comp) of the segments that hold several components, dealt to blocks so that each two
+    nodes of different components meet in one. A segment that outgrows a block has its largest component on one side, and
+    all others on the other side and among themselves; the largest is not compared with itself."""
+    rows = left.join(_small(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    names = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"f{k}") for k in (0, 1)]
+    each = rows.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), *names)
+    size = F.least(F.lit(BLOCK), F.greatest(F.lit(64), F.floor(F.lit(1 << 22) / F.max("n"))))
+    cells = each.groupBy("cell").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("comps"), size.alias("size"), *[F.bit_xor(f"f{k}").alias(f"f{k}") for k in (0, 1)]).where(F.col("comps") > 1)
+    # of segments with the same nodes (by two hashes of them) one will do
+    cells = cells.groupBy("f0", "f1", "all").agg(F.min(F.struct("cell", "top", "size")).alias("x")).select("x.*", "all")
+    chunks = lambda c: F.ceil(c / F.col("size")).cast("int")
+    one = F.col("all") <= F.col("size")
+    cells = cells.select("cell", F.when(one, F.lit(None)).otherwise(F.col("top.comp")).alias("main"), F.when(one, 1).otherwise(chunks(F.col("top.c"))).alias("nm"), F.when(one, 1).otherwise(chunks(F.col("all") - F.col("top.c"))).alias("nr"), one.alias("single"))
+    rows = rows.join(cells, "cell")
+    h = F.xxhash64("node")
+    own = F.pmod(h, F.col("nr")).cast("int")
+    to = lambda n: F.sequence(F.lit(0), n - 1)
+    block = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    main = F.transform(to(F.col("nr")), lambda j: block(F.pmod(h, F.col("nm")), j, F.lit(0)))
+    rest = F.concat(
+        F.transform(to(F.col("nm")), lambda i: block(i, own, F.lit(1))),
+        F.transform(to(F.col("nr")), lambda k: block(F.col("nm") + F.least(own, k), F.greatest(own, k), own > k)),
+    )
+    alone = F.array(block(F.lit(0), F.lit(0), F.lit(0)))
+    where = F.when(F.col("single"), alone).when(F.col("comp") == F.col("main"), main).otherwise(rest)
+    return keep(rows.select("cell", "node", "n", "comp", F.explode(where).alias("b")).select("cell", "b.i", "b.j", "b.side", "node", "n", "comp"), "open-segments")
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """docs with the row of least id of each component alone; all columns stay. Rows without an id cannot be told apart and stay."""
-    lost = linked_groups(docs, id_col, text_col, width).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__lost")).distinct()
-    return docs.join(keep(lost, "near-copies"), docs[id_col] == F.col("__lost"), "left_anti")
+    """docs with one row of each component, that of the least id (null last), then least MD5 of the text; all columns stay.
+    Rows are told apart by id and text, so rows that repeat an id with other texts are judged one by one; of rows that
+    repeat both, one stays."""
+    rows = row_groups(docs, id_col, text_col, width)
+    return one_row_each(docs, rows.select("id", "mark", (F.col("id").eqNullSafe(F.col("group")) & (F.col("mark") == F.col("first"))).alias("stays")), id_col, text_col)

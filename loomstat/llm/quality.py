@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep
-from .textbytes import SpanHash, slices
+from .textbytes import folded, slices, span_hashes
 
 STATISTICS = ["bytes", "words", "word_length", "word_spread", "short_words", "distinct_words", "upper", "digits", "stops", "symbols", "symbol_ends", "line_breaks", "wide", "stop_words"]
 #: Bins over raw scores from -0.5 to 1.5.
@@ -49,7 +49,7 @@ def text_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     words = np.bincount(own, minlength=n).astype(float)
     per = lambda v: np.bincount(own, v, minlength=n) / np.maximum(1, words)
     mean = per(length)
-    seen = _distinct(own, SpanHash(data, fold=True)(start, end))
+    seen = _distinct(own, span_hashes(folded(data), start, end))
     letter = (((data | 32) >= 97) & ((data | 32) <= 122)) | (data >= 0x80)
     plain = letter | white | ((data >= 48) & (data <= 57)) | (data == 46) | (data == 44)
     odd_end = ~plain[end - 1] if len(end) else np.zeros(0, bool)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbytes import U64, SpanHash, ranges, slices
+from ._old import U64, SpanHash, ranges, slices
 
 MARK = 0x2581
 NEWLINE = 10

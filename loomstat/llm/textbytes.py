@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_ODD = U64(0x9E3779B97F4A7C15)
-_ODD_INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Spans of more bytes are hashed one by one.
+LONG = 512
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -21,7 +22,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(32))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U64) * _ODD)
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -51,24 +52,28 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-class SpanHash:
-    """64-bit hashes of spans of one byte buffer: polynomial sums over random values of the bytes, mixed with the length."""
-
-    def __init__(self, data: np.ndarray, fold: bool = False) -> None:
-        """data: bytes, or code points as 32-bit words."""
-        values = mix(data.astype(U64) + U64(1)) if data.dtype.itemsize == 4 else _BYTE[_FOLD[data] if fold else data]
-        self.sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(values * _powers(_ODD, len(data))[:-1], out=self.sums[1:])
-        self.inverse = _powers(_ODD_INV, len(data))
-
-    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + mix((end - start).astype(U64)))
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the spans data[start:end] of bytes: eight bytes at a time, each step a bijection of the hash so far
+    and of those bytes, so that spans of one length of up to eight bytes never share one. Spans beyond LONG bytes are
+    hashed by BLAKE2b. Two seeds give two hashes that have nothing to do with each other."""
+    size = end - start
+    words = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    h = mix(size.astype(U64) + U64((2 * seed + 1) * 0x9E3779B97F4A7C15 % 2**64))
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left = start[live], size[live]
+    while len(live):
+        h[live] = mix(h[live] ^ (words[at] & _LOW[np.minimum(left, 8)]))
+        go = left > 8
+        live, at, left = live[go], at[go] + 8, left[go] - 8
+    for i in np.flatnonzero(size > LONG):
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little"))
+        h[i] = int.from_bytes(digest.digest(), "little")
+    return h
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return _FOLD[data]
 
 
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@
 A place between a character that is no white space and a following space is a token boundary whatever stands left or
 right of it: no pre-token of the byte-level pattern holds white space behind other characters, and the pattern never
 looks back. So the ids of a text are the ids of its units, one after the other, and a worker encodes equal units once.
+Units are equal when two independent 64-bit hashes are; a clash of one of them alone is seen, and other hashes are taken.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import os
 
 import numpy as np
 
-from .textbytes import SpanHash, ranges
+from .textbytes import ranges, span_hashes
 
 #: Units remembered by a worker (about 25 bytes each); beyond it the memory is emptied and filled anew.
 CACHE_UNITS = 1_500_000
@@ -50,17 +51,19 @@ class UnitEncoder:
         vocab = self.lib.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
+        self.seed = 0
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.keys, self.proof = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool: np.ndarray = np.zeros(1 << 16, self.type)
         self.used = 0
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.type) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+    def _learn(self, keys: np.ndarray, proof: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """Units that open with their only space are encoded side by side and told apart by the ids that open with a space."""
         got, sizes = [], np.zeros(len(keys), np.int32)
         odd = np.concatenate([[0], np.cumsum((data <= 32) | (data == 60) | (data >= 0xC2) & (data <= 0xE3) & (data != 0xC3))])
@@ -90,7 +93,8 @@ class UnitEncoder:
         at[order] = self.used + np.cumsum(sizes[order]) - sizes[order]
         self.used += len(new)
         place = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.n = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.n, place, sizes)
+        self.keys, self.proof = np.insert(self.keys, place, keys), np.insert(self.proof, place, proof)
+        self.at, self.n = np.insert(self.at, place, at), np.insert(self.n, place, sizes)
 
     def lookup(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Units of the texts data[offsets[i]:offsets[i + 1]]: byte start, place of their ids in the pool, number of ids; and each text's first unit."""
@@ -100,13 +104,21 @@ class UnitEncoder:
         opens[boundaries(data)] = opens[offsets] = True
         start = np.flatnonzero(opens[:-1])
         end = np.append(start[1:], len(data)) if len(start) else start
-        keys, one, back = np.unique(SpanHash(data)(start, end), return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, keys)
-        new = np.append(self.keys, np.uint64(0))[place] != keys if len(self.keys) else np.ones(len(keys), bool)
-        if len(self.keys):
-            new |= place == len(self.keys)
+        while True:
+            hashes, proofs = (span_hashes(data, start, end, self.seed + k) for k in (0, 1))
+            keys, one, back = np.unique(hashes, return_index=True, return_inverse=True)
+            place = np.searchsorted(self.keys, keys)
+            new = np.ones(len(keys), bool)
+            old = np.flatnonzero(place < len(self.keys))
+            new[old] = self.keys[place[old]] != keys[old]
+            known = ~new
+            same = (self.proof[place[known]] == proofs[one[known]]).all() and (proofs[one][back] == proofs).all()
+            if same:
+                break
+            self.seed += 2  # two units share a hash: begin anew with other ones
+            self._forget()
         if new.any():
-            self._learn(keys[new], data, start[one[new]], end[one[new]])
+            self._learn(keys[new], proofs[one[new]], data, start[one[new]], end[one[new]])
             place = np.searchsorted(self.keys, keys)
         return start, self.at[place][back], self.n[place][back], np.searchsorted(start, offsets)
 

@@ -126,19 +126,23 @@ def test_ngram_join(table, empty, monkeypatch, block):
         assert ngram_join.linked_groups(empty).count() == 0
 
 
-def test_cells_keep_the_pigeonhole_bound():
+def test_segments_keep_the_pigeonhole_bound():
     rng = np.random.default_rng(0)
-    for n in (1, 2, 3, 5, 17, 64, 95, 96, 130, 400):
-        for _ in range(30):
+    for n in (1, 2, 3, 4, 5, 7, 11, 17, 47, 64, 95, 96, 130, 400):
+        for _ in range(60):
             a = np.unique(mix(rng.integers(0, 2**63, n, dtype=np.uint64)))
             d = int(len(a) * 0.25)
             b = np.unique(np.concatenate([a[rng.permutation(len(a))[: len(a) - rng.integers(0, d + 1)]], mix(rng.integers(0, 2**63, rng.integers(0, d + 1), dtype=np.uint64))]))
             both = len(np.intersect1d(a, b))
             if not len(b) or 4 * both < 3 * (len(a) + len(b) - both):
                 continue
-            shared = {int(c) for j in ngram_join.bands(len(a)) for c in ngram_join.cells(a, j, False)[0]} & {int(c) for j in ngram_join.bands(len(b)) for c in ngram_join.cells(b, j, False)[0]}
-            assert all(ngram_join.cells(x, j, False)[1] for x in (a, b) for j in ngram_join.bands(len(x)))
-            assert len(shared) > int(0.08 * min(len(a), len(b)))
+            sent = [{(int(c), role) for role, got in ngram_join.segments(x) for c in got} for x in (a, b)]
+            # a node drops 9 % of its size of a role's segments: so many and one more are shared in some pair of roles
+            most = max(len({c for c, r in sent[0] if r == p} & {c for c, r in sent[1] if r == q}) for p in range(3) for q in range(3))
+            assert most > 9 * max(len(a), len(b)) // 100
+    a = np.arange(1, 21, dtype=np.uint64)  # all in one segment: single shingles are sent as well
+    sent = [dict(ngram_join.segments(x)) for x in (a, a[:18])]
+    assert all(2 in s for s in sent) and len(np.intersect1d(sent[0][2], sent[1][2])) > 1
 
 
 def test_personal_data(table, empty):
