@@ -16,8 +16,8 @@ node from the start. |A xor B| is at most d = (|A| + |B|) / 7 for a linked pair,
 * Within a segment's nodes no pairs are listed. First all are compared with one leader, the node with the most shared
   segments, and linked nodes become components. Then only nodes of different components are compared, the largest one with
   the rest, in blocks, by a short sketch (parity of four bits a shingle, whose Hamming distance is at most |A xor B|): each
-  node's nearest is verified, while that still joins components. What is left is compared in blocks on whole sets, and a
-  block hands on a spanning forest of the links it finds, never more rows than it has nodes.
+  node's nearest is verified. Nodes of different components that may still be linked are compared in the same blocks on
+  whole sets, and a block hands on a spanning forest of the links it finds, never more rows than it has nodes.
 
 Links inside a component are not all listed; no link between components is missed. Within a pair two different shingles
 would have to share one of 2^64 hashes to change a count.
@@ -50,8 +50,6 @@ BIN = 2_000_000
 SLICE = 1 << 22
 #: Rows of (node, value) that may be broadcast (16 bytes each).
 BROADCAST_NODES = 1_000_000
-#: Turns in which each node's nearest is verified, before whole sets are compared.
-TURNS = 3
 FREQUENT = 2**31 - 1
 _SEED = U64(0xA0761D6478BD642F)
 #: A node's roles are told apart by its lowest bits: own band, next band, single shingles.
@@ -177,7 +175,7 @@ def _rows(r: dict) -> tuple[np.ndarray, ...]:
 
 
 def _dealt(where: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    order = np.argsort(where, kind="stable")
+    order = np.argsort(where.astype(np.uint16) if len(where) and where.max() < 1 << 16 else where, kind="stable")
     found, at = np.unique(where[order], return_index=True)
     for k, s in zip(found, np.split(order, at[1:])):
         yield int(k), [c[s] for c in columns]
@@ -207,20 +205,17 @@ def _send(width: int, bins: int, clashing: np.ndarray):
                     continue
                 c, v, n = np.concatenate(cell), np.repeat(np.array(node, np.int64), runs), np.repeat(np.array(size, np.int64), runs)
                 rows = []
-                order = np.argsort(c, kind="stable")
-                first = np.flatnonzero(np.concatenate([[True], c[order][1:] != c[order][:-1]]))
-                count = np.diff(np.append(first, len(c)))
-                if (count >= LOCAL).any():
-                    hot = np.zeros(len(c), bool)
-                    hot[order] = np.repeat(count >= LOCAL, count)
-                    kept = ~hot
-                    kept[order[first]] = True
+                flat = np.sort(c)
+                edge = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1], [True]]))
+                often = flat[edge[:-1]][np.diff(edge) >= LOCAL]
+                if len(often):
+                    hot = np.isin(c, often)
                     for k, (cs, vs, ns) in _dealt((v[hot] >> 2) % bins, c[hot], v[hot], n[hot]):
                         rows.append(_blob(k, True, cs, vs, ns))
-                    flag = np.zeros(len(c), bool)
-                    flag[order[first]] = count >= LOCAL
-                    c, v, n, flag = c[kept], v[kept], n[kept], flag[kept]
-                    n = np.where(flag, -n, n)  # a size below 0: the segment is frequent
+                    one = np.flatnonzero(hot)[np.unique(c[hot], return_index=True)[1]]
+                    n[one] *= -1  # a size below 0: the segment is frequent
+                    hot[one] = False
+                    c, v, n = c[~hot], v[~hot], n[~hot]
                 for k, (cs, vs, ns) in _dealt((c >> U64(20)).astype(np.int64) % bins, c, v, n):
                     for part in (ns > 0, ns < 0):
                         if part.any():
@@ -264,7 +259,12 @@ def _meet(bins: int):
                 continue
             cell, node, n = (np.concatenate(x) for x in zip(*got))
             got.clear()
-            order = np.lexsort((n, node, cell))
+            order = np.argsort(cell)
+            alike = cell[order][1:] == cell[order][:-1]
+            order = order[np.append(alike, False) | np.insert(alike, 0, False)]  # the others are of one row
+            if not len(order):
+                continue
+            order = order[np.lexsort((n[order], node[order], cell[order]))]
             cell, node, n = cell[order], node[order], n[order]
             fresh = np.concatenate([[True], (cell[1:] != cell[:-1]) | (node[1:] != node[:-1])])  # frequent (below 0) comes first
             cell, node, n = cell[fresh], node[fresh], n[fresh]
@@ -563,25 +563,19 @@ def _components_of(base: DataFrame, nodes: DataFrame, width: int, clashing: np.n
     b = told.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     links = verified(star.join(a, "a").join(b, "b").mapInArrow(_near_pairs, "a long, b long"), "links")
     comp = components(links)
-    for turn in range(TURNS + 1):
-        split = _blocks(left, comp)
-        if split.isEmpty():
-            return comp
-        near = _found(split, told, _nearest, False)
-        if near.isEmpty():
-            return comp
-        new = verified(near, "links") if turn < TURNS else near.limit(0)
-        last = new.isEmpty()
-        if last:  # only nodes that have a near one of another component take part, with their whole sets
-            some = keep(near.mapInArrow(_open_nodes, "node long").distinct(), "open-nodes")
-            new = _found(split.join(some, "node", "left_semi"), told, _forest, True)
-            if new.isEmpty():
-                return comp
-        links = keep(links.unionByName(new), "links")
+    split = _blocks(left, comp)
+    near = _found(split, told, _nearest, False)
+    if near.isEmpty():
+        return comp
+    some = keep(near.mapInArrow(_open_nodes, "node long").distinct(), "open-nodes")
+    more = verified(near, "links")
+    if not more.isEmpty():
+        links = keep(links.unionByName(more), "links")
         comp = components(links)
-        if last:
-            return comp
-        left = split.select("cell", "node", "n").distinct()
+    # nodes that have a near one of another component take part with their whole sets
+    split = split.drop("comp").join(some, "node", "left_semi").join(_small(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    more = _found(split, told, _forest, True)
+    return comp if more.isEmpty() else components(links.unionByName(more))
 
 
 def _found(split: DataFrame, told: DataFrame, find, whole: bool) -> DataFrame:
