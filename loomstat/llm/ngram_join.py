@@ -483,18 +483,36 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp) of the nodes of links(a, b); comp is the least node reachable. Least neighbour, then a jump, until it settles."""
-    edges = keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("comp"))
-    label = keep(label, "labels")
-    while True:
-        least = edges.join(label.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("low"))
-        low = label.join(least, "node").select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("low"))
-        jump = label.select(F.col("node").alias("low"), F.col("comp").alias("there"))
-        new = keep(low.join(jump, "low").select("node", "was", F.least("low", "there").alias("comp")), "labels")
-        label = new.select("node", "comp")
-        if new.where(F.col("was") != F.col("comp")).isEmpty():
-            return label
+    """(node, comp) of the nodes of links(a, b); comp is one node of each component.
+
+    Each node points to its least neighbour, pointers are followed once more, and what points to one node is drawn
+    together: the links left between such groups are the next, smaller turn."""
+    edges = keep(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where(F.col("a") != F.col("b")).distinct(), "edges")
+    maps = []
+    while not edges.isEmpty():
+        low = keep(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("low")), "pointers")
+        next_ = low.select(F.col("node").alias("low"), F.col("low").alias("comp"))
+        maps.append(keep(low.join(next_, "low").select("node", "comp"), "labels"))
+        x, y = (maps[-1].select(F.col("node").alias(k), F.col("comp").alias(f"{k}_comp")) for k in "ab")
+        drawn = edges.join(x, "a").join(y, "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+        edges = keep(drawn.where(F.col("a") != F.col("b")).distinct(), "edges")
+    return _composed(maps) if maps else edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+
+
+def _composed(maps: list[DataFrame]) -> DataFrame:
+    """(node, comp) of labels of nodes, labels of these labels, and so on."""
+    out = maps[0]
+    for m in maps[1:]:
+        out = out.join(m.select(F.col("node").alias("comp"), F.col("comp").alias("above")), "comp", "left").select("node", F.coalesce("above", "comp").alias("comp"))
+    return keep(out, "labels")
+
+
+def _joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp with more links between its components, or with nodes outside them, drawn together."""
+    ends = links.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    more = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    fresh = more.join(comp.select("node"), "node", "left_anti")
+    return _composed([comp.unionByName(fresh), more])
 
 
 def _salt(name: str, salts: int = 16):
@@ -543,7 +561,7 @@ def _components_of(base: DataFrame, nodes: DataFrame, width: int, clashing: np.n
     shared = sent.mapInArrow(_meet(bins), _BLOB_SQL).repartition("bin").sortWithinPartitions("bin")
     left = keep(shared.mapInArrow(_rarest, "cell long, node long, n int, w int"), "kept-segments")
     lead = left.groupBy("cell").agg(F.max(F.struct("w", "node")).alias("top"), F.count(F.lit(1)).alias("g")).where(F.col("g") > 1).select("cell", F.col("top.node").alias("leader"))
-    pairs = left.join(lead, "cell").where(F.col("node") != F.col("leader"))
+    pairs = left.join(lead.hint("merge"), "cell").where(F.col("node") != F.col("leader"))
     star = keep(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "stars")
     ends = star.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = keep(ends.join(nodes, "node").select("node", F.col("least.id").alias("id"), F.col("least.mark").alias("mark")), "candidates")
@@ -570,12 +588,11 @@ def _components_of(base: DataFrame, nodes: DataFrame, width: int, clashing: np.n
     some = keep(near.mapInArrow(_open_nodes, "node long").distinct(), "open-nodes")
     more = verified(near, "links")
     if not more.isEmpty():
-        links = keep(links.unionByName(more), "links")
-        comp = components(links)
+        comp = _joined(comp, more)
     # nodes that have a near one of another component take part with their whole sets
     split = split.drop("comp").join(some, "node", "left_semi").join(_small(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     more = _found(split, told, _forest, True)
-    return comp if more.isEmpty() else components(links.unionByName(more))
+    return comp if more.isEmpty() else _joined(comp, more)
 
 
 def _found(split: DataFrame, told: DataFrame, find, whole: bool) -> DataFrame:
@@ -599,7 +616,7 @@ def _blocks(left: DataFrame, comp: DataFrame) -> DataFrame:
     chunks = lambda c: F.ceil(c / F.col("size")).cast("int")
     one = F.col("all") <= F.col("size")
     cells = cells.select("cell", F.when(one, F.lit(None)).otherwise(F.col("top.comp")).alias("main"), F.when(one, 1).otherwise(chunks(F.col("top.c"))).alias("nm"), F.when(one, 1).otherwise(chunks(F.col("all") - F.col("top.c"))).alias("nr"), one.alias("single"))
-    rows = rows.join(cells, "cell")
+    rows = rows.join(cells.hint("merge"), "cell")
     h = F.xxhash64("node")
     own = F.pmod(h, F.col("nr")).cast("int")
     to = lambda n: F.sequence(F.lit(0), n - 1)
