@@ -6,8 +6,11 @@ boundary that holds whatever stands around it (see units.py). Where an overlap h
 overlaps are widened and it is cut anew, until at last one chunk holds it all. Chunks of one document are rows, so they
 are encoded by many tasks; what meets again is one small row a chunk.
 
-Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows each get their row; an empty table gives
-an empty table; other columns of the input are not looked at.
+Places are byte offsets and the ids between two of them never depend on what stands outside, so an overlap fails only
+where it holds no such place (a long run without spaces); token offsets are compared by way of the counts before each.
+
+Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows each get their row; very long texts are cut
+in one linear pass; an empty table gives an empty table; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from .textbytes import slices
 from .units import boundaries, encoder
 
 _COUNTED = "id long, n_bytes long, n_tokens long"
-_CHUNK = "row long, id long, k int, chunks int, n_bytes long, n_tokens long, left_at array<int>, left_n array<long>, right_at array<int>, right_n array<long>"
+_CUT_SQL = "row string, id long, k int, chunks int, left int, right int, text string"
+_CHUNK = "row string, id long, k int, chunks int, n_bytes long, n_tokens long, left_at array<int>, left_n array<long>, right_at array<int>, right_n array<long>"
 
 
 def _count_whole(path: str):
@@ -53,18 +57,34 @@ def _count_chunks(path: str):
                     cuts, tokens = cuts[cuts > a], before[first[i] : first[i + 1]][cuts > a] - before[first[i]]
                     left, right = cuts - a < own["left"], cuts - a >= z - a - own["right"]
                     out.append({k: own[k] for k in ("row", "id", "k", "chunks")} | {"n_bytes": z - a - own["right"], "n_tokens": int(before[first[i + 1]] - before[first[i]]), "left_at": (cuts[left] - a).tolist(), "left_n": tokens[left].tolist(), "right_at": (cuts[right] - (z - own["right"])).tolist(), "right_n": tokens[right].tolist()})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("row", pa.int64()), ("id", pa.int64()), ("k", pa.int32()), ("chunks", pa.int32()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), *((f"{s}_{x}", pa.list_(t)) for s in ("left", "right") for x, t in (("at", pa.int32()), ("n", pa.int64())))]))
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("row", pa.string()), ("id", pa.int64()), ("k", pa.int32()), ("chunks", pa.int32()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), *((f"{s}_{x}", pa.list_(t)) for s in ("left", "right") for x, t in (("at", pa.int32()), ("n", pa.int64())))]))
 
     return run
 
 
-def _cut(huge: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """A row a chunk: text from k * chunk on, with `overlap` characters of the next one; left, right: bytes of its overlaps."""
-    k = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int")))
-    rows = huge.select("row", "id", F.floor((F.length("text") - 1) / chunk).cast("int").alias("last"), k.alias("k"), "text")
-    part = lambda n: F.substring(F.col("text"), F.col("k") * chunk + 1, F.lit(n))
-    tail = F.octet_length(F.substring(F.col("text"), (F.col("k") + 1) * chunk + 1, F.lit(overlap)))
-    return rows.select("row", "id", "k", (F.col("last") + 1).alias("chunks"), F.when(F.col("k") > 0, F.octet_length(part(overlap))).otherwise(0).alias("left"), tail.alias("right"), part(chunk + overlap).alias("text"))
+_CUT = pa.schema([("row", pa.string()), ("id", pa.int64()), ("k", pa.int32()), ("chunks", pa.int32()), ("left", pa.int32()), ("right", pa.int32()), ("text", pa.string())])
+
+
+def _cut(chunk: int, overlap: int):
+    """A row a chunk: text from character k * chunk on, with `overlap` characters of the next one; left, right: bytes of its
+    overlaps. One pass over each text, which is handed on in pieces of about a MB."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, data, offsets in slices(b.column("text"), 0):
+                opens = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+                edge = lambda i: opens[np.minimum(i, len(opens) - 1)]
+                first = np.arange(0, max(1, len(opens) - 1), chunk)
+                begin, over, end, both = (edge(first + n) for n in (0, overlap, chunk, chunk + overlap))
+                own, rows = b.slice(at, 1).to_pylist()[0], []
+                for k in range(len(first)):
+                    text = data[begin[k] : both[k]].tobytes().decode()
+                    rows.append({"row": own["row"], "id": own["id"], "k": k, "chunks": len(first), "left": int(over[k] - begin[k]) if k else 0, "right": int(both[k] - end[k]), "text": text})
+                    if len(rows) * chunk >= 1 << 20 or k + 1 == len(first):
+                        yield pa.RecordBatch.from_pylist(rows, schema=_CUT)
+                        rows = []
+
+    return run
 
 
 def _splice(chunks: DataFrame) -> DataFrame:
@@ -90,13 +110,13 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """Per row of docs: id_col, n_bytes, n_tokens under the vocabulary file at path."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = base.where(F.length("text") <= chunk_chars).mapInArrow(_count_whole(path), _COUNTED)
-    left = base.where(F.length("text") > chunk_chars).withColumn("row", F.xxhash64("id", "text"))
+    left = base.where(F.length("text") > chunk_chars).withColumn("row", F.md5("text"))
     while True:
-        chunks = _cut(left, chunk_chars, overlap_chars).repartition("row", "k").mapInArrow(_count_chunks(path), _CHUNK)
+        chunks = left.select("row", "id", "text").mapInArrow(_cut(chunk_chars, overlap_chars), _CUT_SQL).repartition("row", "id", "k").mapInArrow(_count_chunks(path), _CHUNK)
         done = keep(_splice(chunks), "spliced")
         copies = F.explode(F.array_repeat(F.struct("id", "n_bytes", "n_tokens"), F.col("copies"))).alias("x")
         out = out.unionByName(done.where(F.col("n_tokens").isNotNull()).select(copies).select("x.*"))
-        failed = done.where(F.col("n_tokens").isNull()).select("row")
+        failed = done.where(F.col("n_tokens").isNull()).select("row").distinct()
         if failed.isEmpty():
             return out.withColumnRenamed("id", id_col)
         left = left.join(failed, "row", "left_semi")

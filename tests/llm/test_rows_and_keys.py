@@ -100,3 +100,43 @@ def test_words_that_simple_hashes_confuse(spark, tmp_path):
     assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(df, path).collect()} == want
     token_files.write_token_files(df, path, str(tmp_path / "f"))
     assert {r["doc_id"]: r["n_tokens"] - 1 for r in token_files.read_token_files(spark, str(tmp_path / "f")).collect()} == want
+
+
+def test_leaks_of_rows_that_share_an_id(spark):
+    from loomstat.llm import decontamination as op
+
+    rng = random.Random(9)
+    item = say(rng, 24)
+    half, rest = " ".join(item.split()[:12]), " ".join(item.split()[12:])
+    bench = spark.createDataFrame([(1, item), (1, say(rng, 20))], "item_id long, text string")
+    rows = [(1, f"{half} {say(rng, 9)}"), (1, f"{say(rng, 9)} {rest}"), (2, f"so {item} then"), (2, say(rng, 30)), (None, item), (None, say(rng, 30)), (None, half), (None, rest)]
+    df = spark.createDataFrame([(i, t, "r", 1, "b") for i, t in rows], "doc_id long, text string, row string, key int, bad string")
+    assert {(r["doc_id"], r["item_id"]) for r in op.leaks(df, bench).collect()} == {(2, 1), (None, 1)}
+    left = op.drop_leaks(df, bench)
+    assert left.columns == df.columns
+    assert {(r["doc_id"], r["text"]) for r in left.collect()} == {r for k, r in enumerate(rows) if k not in (2, 4)}
+    assert op.drop_leaks(df.limit(0), bench).count() == 0
+
+
+def test_slots_are_held_from_either_side(spark):
+    from loomstat.llm import decontamination as op
+
+    item = "the jar had 11 beans the cup had 22 beans the box had 33 beans the bag had 44 beans so which had most of all"
+    same = item.replace("22", "11").replace("33", "11").replace("44", "11")
+    other = item.replace("11", "61").replace("22", "72").replace("33", "83").replace("44", "94")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    df = spark.createDataFrame([(1, other), (2, same)], "doc_id long, text string")
+    assert {r["doc_id"] for r in op.leaks(df, bench).collect()} == {1}
+
+
+def test_huge_text_without_and_with_spaces(spark):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    rng = random.Random(2)
+    words = [say(rng, 1) for _ in range(5000)]
+    docs = {1: " ".join(rng.choice(words) for _ in range(400_000)), 2: "ab" * 40_000, 3: "é" * 33_000 + " x"}
+    lib = Tokenizer.from_file(path)
+    want = {i: (len(t.encode()), len(lib.encode(t, add_special_tokens=False).ids)) for i, t in docs.items()}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in token_counts.count_tokens(df, path).collect()} == want
