@@ -1,12 +1,16 @@
 """Language identification in two steps: the family first, then the language within it.
 
 A text is the share of each hashed byte trigram in it. One linear support vector machine a family (against the rest)
-picks the family; within it, one machine for each pair of languages votes. The machines are fitted on the driver on a
-bounded sample: the ``per_language`` rows of least hash of each of the ``max_languages`` most frequent languages. Every
-text is then scored in its own task by adding up weights, with no shuffle.
+picks the family; within it, one machine for each pair of languages votes. Families come from a table; a language that is
+not in it joins the family, or the other such languages, that its mean text is most like. The machines are fitted on the
+driver on a bounded sample: of each language, however many there are, the distinct texts of least hash, ``per_language``
+at most and ``sample_rows`` in all (one a language at least). Every text is then scored in its own task by adding up
+weights, with no shuffle.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; with nothing to learn from every text is
-`und`; repeated rows get equal answers; ties go to the language that sorts first; an empty table gives an empty table.
+`und`, and none with a letter is dropped; repeated rows get equal answers and are learnt from once; ids are not looked
+at; ties go to the language that sorts first; very long texts are added up like others; an empty table gives an empty
+table; other columns, whatever their names, are not looked at and stay where rows are kept.
 """
 
 from __future__ import annotations
@@ -21,21 +25,41 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import keep
 from .textbytes import slices
 
 BUCKET_BITS = 12
 SHARPNESS = 4.0
 
-# Languages of a family, by ISO 639-1 code. A language not listed is a family of its own.
+# Languages of a family, by ISO 639-1 code.
 FAMILIES = {
-    "germanic": ["da", "de", "en", "is", "nl", "no", "sv"],
-    "romance": ["ca", "es", "fr", "gl", "it", "pt", "ro"],
-    "slavic": ["be", "bg", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"],
+    "baltic": ["lt", "lv"],
+    "bantu": ["sn", "st", "sw", "xh", "zu"],
+    "celtic": ["br", "cy", "ga", "gd", "gv", "kw"],
+    "dravidian": ["kn", "ml", "ta", "te"],
+    "germanic": ["af", "da", "de", "en", "fo", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv", "yi"],
+    "indic": ["as", "bn", "gu", "hi", "mr", "ne", "or", "pa", "sa", "sd", "si", "ur"],
+    "iranian": ["fa", "ku", "ps", "tg"],
+    "malayic": ["id", "jv", "mg", "mi", "ms", "su", "tl"],
+    "romance": ["ca", "co", "es", "fr", "gl", "it", "la", "oc", "pt", "rm", "ro", "sc"],
+    "semitic": ["am", "ar", "he", "mt", "ti"],
+    "slavic": ["be", "bg", "bs", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"],
+    "turkic": ["az", "ba", "kk", "ky", "tk", "tr", "tt", "ug", "uz"],
+    "uralic": ["et", "fi", "hu", "se"],
 }
+#: Cosine of mean texts from which a language outside the table joins others.
+LIKE = 0.6
 
 
-def family(lang: str) -> str:
-    return next((f for f, members in FAMILIES.items() if lang in members), f"only {lang}")
+def families(means: dict[str, np.ndarray]) -> dict[str, str]:
+    """The family of each language."""
+    out = {x: next((f for f, members in FAMILIES.items() if x in members), "") for x in sorted(means)}
+    unit = {x: m / max(1e-12, float(np.linalg.norm(m))) for x, m in means.items()}
+    for x in out:
+        if not out[x]:
+            near = max(((float(unit[x] @ unit[y]), out[y]) for y in out if out[y]), default=(0.0, ""))
+            out[x] = near[1] if near[0] >= LIKE else f"like {x}"
+    return out
 
 
 def _trigrams(data: np.ndarray) -> np.ndarray:
@@ -113,27 +137,39 @@ class LanguageModel:
         return lang, score
 
 
-def fit_language_model(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, max_languages: int = 64) -> LanguageModel:
+def _sample(known: DataFrame, per_language: int, sample_rows: int) -> DataFrame:
+    """(lang, text) to learn from, of known(lang, text): distinct texts, those of least hash in each language.
+
+    A hash bound that follows from each language's number of distinct texts leaves about twice the rows wanted before any
+    are ranked, so no task sees more of a frequent language than of another."""
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
+    counts = keep(counts, "languages")  # a row a language
+    per = max(1, min(per_language, sample_rows // max(1, counts.count())))
+    bound = F.broadcast(counts.select("lang", ((2 * per + 50) / F.col("n")).alias("share")))
+    some = known.join(bound, "lang").where(F.pmod(F.col("h"), F.lit(1 << 31)) / (1 << 31) < F.col("share"))
+    once = some.groupBy("lang", "h").agg(F.first("text").alias("text"))  # copies of a text meet as one
+    rank = Window.partitionBy("lang").orderBy(F.pmod(F.col("h"), F.lit(1 << 31)), "h")
+    return once.withColumn("nth", F.row_number().over(rank)).where(F.col("nth") <= per).select("lang", "text")
+
+
+def fit_language_model(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", per_language: int = 400, sample_rows: int = 12_800) -> LanguageModel:
     """Learn from the rows of docs for which train holds and the language is known."""
     known = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.where(F.col("lang").isin(langs)).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("id", "lang").distinct()
-    # at most per_language * max_languages rows
-    texts = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), ["id", "lang"])
-    got = texts.select("lang", "text").mapInArrow(_features, "lang string, x binary").collect()
+    known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    got = _sample(known, per_language, sample_rows).mapInArrow(_features, "lang string, x binary").collect()
     if not got:
         return LanguageModel()
     y = np.array([r["lang"] for r in got])
     x = np.stack([np.frombuffer(r["x"], "<f4") for r in got])
+    del got
     order = np.lexsort((x @ np.linspace(0, 1, x.shape[1], dtype=x.dtype), y))  # rows come in any order
     x, y = x[order], y[order]
+    kin_of = families({lang: x[y == lang].mean(0) for lang in sorted(set(y))})
     members: dict[str, list[str]] = {}
-    for lang in sorted(set(y)):
-        members.setdefault(family(lang), []).append(lang)
+    for lang in sorted(kin_of):
+        members.setdefault(kin_of[lang], []).append(lang)
     names = sorted(members)
-    kin = np.array([family(lang) for lang in y])
+    kin = np.array([kin_of[lang] for lang in y])
     machines = [fit_svm(x, np.where(kin == f, 1, -1).astype(x.dtype)) for f in names]
     pairs = [p for f in names for p in combinations(members[f], 2)]
     for a, b in pairs:
@@ -164,8 +200,10 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", least_score: float = 0.0) -> DataFrame:
-    """docs without the rows that are `und` or score below least_score; all columns stay."""
-    names = docs.columns
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    """docs without the rows that are `und` or score below least_score; all columns stay. A model that has learnt nothing
+    rejects only texts without a letter."""
+    if not model.families:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     scored = whole.mapInArrow(_score(model, text_col), f"row {whole.schema['row'].dataType.simpleString()}, lang_pred string, score double")
     return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("row.*")

@@ -1,13 +1,17 @@
 """Personal data: exact base patterns, then bootstrapped contextual extraction.
 
 The base patterns find email, ip, card and phone in every text. The same pass lists candidate tokens (words that hold a
-digit or an @) with the two words before them; base finds among them are seeds. Spark then scores the graph of patterns
-(contexts) and instances (tokens) in turns: a pattern is as good as the mean score of the distinct instances it
-introduces, an instance as good as the best of its patterns that is well supported, seeds stay at 1. Patterns with a high
-score and enough distinct seeds discover what else they introduce, as spans of kind `id`.
-
-Defined results: a null text is empty; spans count code points, end exclusive; a discovered span that overlaps a base
-span is dropped; rows that repeat an id with the same text get equal answers; an empty table gives an empty table.
+digit or an @) with two lexical patterns each: the two words before and the two words after (the ends of a text count as
+words). Tokens that base spans cover are seeds of that kind. Spark then scores the graph of patterns and instances
+(distinct tokens) in turns: a pattern is worth the mean score of the distinct instances it surrounds and is good if that is
+high and enough of them are confident; an instance scores as its best good pattern, seeds stay at 1. Confident instances
+count as seeds of the next turn, with the kind of their pattern, so patterns that no base seed has met can follow. The good
+patterns of the last turn discover what else they surround, as spans of the kind that most of their instances have.
+
+Defined results: a null text is empty; spans count code points, end exclusive; a discovered span never overlaps a base
+span; of several good patterns the one of greatest worth names the kind, then the first in the order of kinds; rows that
+repeat an id are judged by their own text, with equal answers for equal texts; very long texts and words are read whole, in
+linear time; an empty table gives an empty table; other columns of the input, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +36,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_MARKED = re.compile(r"[0-9@]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = "\"'`.,;:!?()[]{}<>*#$%&|"
 
@@ -74,27 +79,49 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     return [mail, ip, card, phone]
 
 
-def candidates(text: str, taken: list[tuple[int, int]]) -> list[dict]:
-    """Tokens with a digit or an @: context of two words, the bare token, its span, whether a base span covers it."""
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode(), digest_size=12).hexdigest()
+
+
+def candidates(text: str, spans: list[list[tuple[int, int]]]) -> list[dict]:
+    """Tokens with a digit or an @: the patterns left and right of them, the bare token, its span, the kind of a base span
+    that meets it."""
+    marks = [m.start() for m in _MARKED.finditer(text)]
+    if not marks:
+        return []
+    words = [m.span() for m in _WORD.finditer(text)]
+    starts = [a for a, _ in words]
+    taken = sorted((a, z, k) for k, s in zip(KINDS, spans) for a, z in s)
+    say = lambda i: text[words[i][0] : words[i][1]].strip(_EDGE).lower() if 0 <= i < len(words) else "\n"
     out: list[dict] = []
-    taken = sorted(taken)
-    for m in _TOKEN.finditer(text) if "@" in text or _DIGITS.search(text) else ():
-        raw = m.group()
+    done, first = -1, 0
+    for at in marks:
+        i = bisect_right(starts, at) - 1
+        if i <= done:
+            continue
+        done = i
+        a, z = words[i]
+        raw = text[a:z]
         bare = raw.strip(_EDGE)
-        if len(bare) < 4:
+        if not bare:
             continue
-        start = m.start() + raw.index(bare)
+        start = a + raw.index(bare)
         end = start + len(bare)
-        before = _WORD.findall(text, max(0, m.start() - 80), m.start())[-2:]
-        if len(before) == 2:
-            seed = any(a < end and start < z for a, z in taken)
-            out.append({"context": " ".join(before).lower()[-64:], "token": hashlib.blake2b(bare.encode(), digest_size=8).hexdigest(), "start": start, "end": end, "seed": seed})
+        while first < len(taken) and taken[first][1] <= start:
+            first += 1
+        kind, last = None, i
+        if first < len(taken) and taken[first][0] < end:  # a base span may go over several words: they are one instance
+            x, y, kind = taken[first]
+            bare, last = text[x:y], max(i, bisect_right(starts, y - 1) - 1)
+            done, start, end = last, min(start, x), max(end, y)
+        left, right = (_digest(f"{side} {say(p)} {say(p + 1)}") for side, p in (("<", i - 2), (">", last + 1)))
+        out.append({"left": left, "right": right, "token": _digest(bare), "start": start, "end": end, "kind": kind})
     return out
 
 
-_CAND = pa.list_(pa.struct([("context", pa.string()), ("token", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_())]))
-_BASE = pa.schema([("id", pa.int64()), ("mark", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base", pa.string()), ("found", _CAND)])
-_BASE_SQL = "id long, mark long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, found array<struct<context:string,token:string,start:int,end:int,seed:boolean>>"
+_CAND = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string()), ("token", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+_BASE = pa.schema([("id", pa.int64()), ("mark", pa.string()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base", pa.string()), ("found", _CAND)])
+_BASE_SQL = "id long, mark string, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, found array<struct<left:string,right:string,token:string,start:int,end:int,kind:string>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,32 +135,48 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, s in zip(KINDS, spans):
                 cols[f"n_{k}"].append(len(s))
             cols["base"].append(",".join(f"{k}:{a}:{z}" for k, s in zip(KINDS, spans) for a, z in s))
-            cols["found"].append(candidates(text, [x for s in spans for x in s]))
+            cols["found"].append(candidates(text, spans))
         yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) for f in _BASE], schema=_BASE)
 
 
 def good_patterns(occurrences: DataFrame, rounds: int, least_score: float, least_seeds: int) -> DataFrame:
-    """(context) of the patterns that may discover, from occurrences(context, token, seed)."""
-    edges = keep(occurrences.groupBy("context", "token").agg(F.max("seed").alias("seed")), "pattern-edges")
-    seen = edges.groupBy("context").agg(F.count_if("seed").alias("seeds"), F.count(F.lit(1)).alias("n"))
-    alive = edges.join(seen.where(F.col("seeds") > 0).select("context"), "context", "left_semi")  # others never score
-    score = alive.groupBy("token").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    """(pattern, worth, rank) of the patterns that may discover, from occurrences(pattern, token, rank); rank is the kind's place
+    in KINDS, null where it is not known."""
+    edges = occurrences.groupBy("pattern", "token").agg(F.min("rank").alias("rank"))
+    # a pattern with fewer instances than it needs seeds can never be good
+    wide = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_seeds).select("pattern")
+    edges = keep(edges.join(wide, "pattern", "left_semi"), "pattern-edges")
+    seeds = edges.groupBy("token").agg(F.min("rank").alias("rank")).select("token", "rank", F.col("rank").isNotNull().cast("double").alias("score"))
+    score = seeds
+    sure = F.col("score") >= least_score
     for turn in range(rounds):
-        pattern = alive.join(score, "token").groupBy("context").agg(F.avg("score").alias("worth"), F.count_if("seed").alias("seeds"))
+        counts = [F.count_if(sure & (F.col("rank") == k)).alias(f"k{k}") for k in range(len(KINDS))]
+        worth = edges.select("pattern", "token").join(score, "token").groupBy("pattern").agg(F.avg("score").alias("worth"), F.count_if(sure).alias("sure"), *counts)
+        most = F.greatest(*[F.col(f"k{k}") for k in range(len(KINDS))])
+        kind = F.coalesce(*[F.when(F.col(f"k{k}") == most, F.lit(k)) for k in range(len(KINDS))])
+        good = keep(worth.where((F.col("worth") >= least_score) & (F.col("sure") >= least_seeds)).select("pattern", "worth", kind.alias("rank")), "good-patterns")
         if turn + 1 < rounds:
-            better = alive.join(pattern.where(F.col("seeds") >= least_seeds), "context")
-            score = keep(alive.join(better.groupBy("token").agg(F.max("worth").alias("best")), "token", "left").groupBy("token").agg(F.max(F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0)))).alias("score")), "instance-scores")
-    return pattern.where((F.col("worth") >= least_score) & (F.col("seeds") >= least_seeds)).select("context")
+            best = edges.select("pattern", "token").join(good, "pattern").groupBy("token").agg(F.max(F.struct("worth", (-F.col("rank")).alias("low"))).alias("best"))
+            known = F.col("rank").isNotNull()
+            joined = seeds.join(best, "token", "left")
+            score = keep(joined.select("token", F.when(known, F.col("rank")).otherwise(-F.col("best.low")).alias("rank"), F.when(known, 1.0).otherwise(F.coalesce("best.worth", F.lit(0.0))).alias("score")), "instance-scores")
+    return good
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, least_score: float = 0.75, least_seeds: int = 5) -> DataFrame:
-    """Per row of docs: id_col, n_email, n_ip, n_card, n_phone, base (spans of the patterns), discovered (spans found by context)."""
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    """Per row of docs: id_col, n_email, n_ip, n_card, n_phone, base (spans of the patterns), discovered (spans found by
+    context), spans (both), each kind:start:end by kind and start."""
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("mark", F.md5("text"))
     scanned = keep(base.mapInArrow(_scan, _BASE_SQL), "base-spans")
-    found = scanned.select("id", "mark", F.explode("found").alias("c")).select("id", "mark", "c.*")
-    good = good_patterns(found.select("context", "token", "seed"), rounds, least_score, least_seeds)
-    new = found.where(~F.col("seed")).join(good, "context").groupBy("id", "mark").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("new"))
-    text = F.array_join(F.transform("new", lambda s: F.concat(F.lit("id:"), s["start"], F.lit(":"), s["end"])), ",")
-    new = new.select(F.col("id").alias("n_id"), F.col("mark").alias("n_mark"), text.alias("new"))
+    kinds = F.array(*map(F.lit, KINDS))
+    found = scanned.select("id", "mark", F.explode("found").alias("c")).select("id", "mark", "c.*").withColumn("rank", (F.array_position(kinds, F.col("kind")) - 1).cast("int"))
+    sides = found.select("id", "mark", "token", "start", "end", "rank", F.explode(F.array("left", "right")).alias("pattern"))
+    good = good_patterns(sides.select("pattern", "token", "rank"), rounds, least_score, least_seeds)
+    new = sides.where(F.col("rank").isNull()).drop("rank").join(good, "pattern").groupBy("id", "mark", "start", "end").agg(F.max(F.struct("worth", (-F.col("rank")).alias("low"))).alias("best"))
+    new = new.groupBy(F.col("id").alias("n_id"), F.col("mark").alias("n_mark")).agg(F.array_sort(F.collect_set(F.struct((-F.col("best.low")).alias("rank"), "start", "end"))).alias("new"))
     out = scanned.drop("found").join(new, F.col("id").eqNullSafe(F.col("n_id")) & (F.col("mark") == F.col("n_mark")), "left")
-    return out.select(F.col("id").alias(id_col), *[f"n_{k}" for k in KINDS], "base", F.coalesce("new", F.lit("")).alias("discovered"))
+    told = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat(F.get(kinds, s["rank"]), F.lit(":"), s["start"], F.lit(":"), s["end"])), ",")
+    split = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.split(x, ":"))
+    structs = F.transform(split, lambda x: F.struct((F.array_position(kinds, x[0]) - 1).cast("int").alias("rank"), x[1].cast("int").alias("start"), x[2].cast("int").alias("end")))
+    both = F.when(F.col("new").isNull(), F.col("base")).otherwise(told(F.array_sort(F.concat(structs, F.col("new")))))
+    return out.select(F.col("id").alias(id_col), *[f"n_{k}" for k in KINDS], "base", F.coalesce(told(F.col("new")), F.lit("")).alias("discovered"), both.alias("spans"))

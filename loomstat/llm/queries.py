@@ -59,8 +59,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_personal_data(read(spark, sf_dir, "documents"))
-    spans = F.concat_ws(",", *[F.when(F.col(c) != "", F.col(c)) for c in ("base", "discovered")])
-    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"))
+    return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,9 +166,27 @@ def test_personal_data(table, empty):
 
 
 def test_contexts_discover_identifiers(spark):
-    rows = [(i, f"please write to u{i}@mail.example.org today") for i in range(30)] + [(100, "please write to user#4711x today"), (101, "room to 4711 today")]
-    got = collected(pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")))
-    assert got[100]["discovered"] == "id:16:26" and got[101]["discovered"] == "" and got[3]["discovered"] == ""
+    rows = [(i, f"please write to u{i}@mail.example.org today") for i in range(30)] + [(100, "please write to user#4711x today"), (101, "room to 4711 gone")]
+    # a right pattern alone, the start of a text, a short token, and a second generation: seeds teach "call desk", its
+    # finds teach "reach me", which no seed has met
+    rows += [(200 + i, f"call desk +1 555 010 {1000 + i} now") for i in range(8)] + [(300 + i, f"call desk x{i}7 now") for i in range(2)]
+    rows += [(400, "7# now"), (401, "nothing 77 here")]
+    df = spark.createDataFrame([(*r, 1, "r", "p") for r in rows], "doc_id long, text string, left int, rank string, pattern string")
+    got = collected(pii.find_personal_data(df))
+    at = rows[30][1].index("user#")
+    assert got[100]["discovered"] == got[100]["spans"] == f"email:{at}:{at + len('user#4711x')}" and got[101]["discovered"] == got[401]["discovered"] == ""
+    assert all(got[i]["spans"] == got[i]["base"] != "" for i in range(30))
+    assert {got[i]["discovered"].split(":")[0] for i in (300, 301)} == {"phone"}
+    assert [c["token"] for c in pii.candidates("a 7", [[], [], [], []])] and pii.candidates("", [[], [], [], []]) == []
+
+
+def test_discovered_instances_teach_new_patterns(spark):
+    rows = [(i, f"code for u{i}@x.org end") for i in range(10)] + [(20 + i, f"code for k{i}7 end") for i in range(6)]
+    rows += [(40 + i, f"badge is k{i}7 or") for i in range(6)] + [(60, "badge is zz99 or"), (61, "badge was zz99 and")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    once, thrice = (collected(pii.find_personal_data(df, rounds=r, least_score=0.6)) for r in (1, 3))
+    assert once[20]["discovered"] and not once[60]["discovered"]
+    assert thrice[60]["discovered"] == "email:9:13" and not thrice[61]["discovered"]
 
 
 def test_token_counts_and_files(table, empty, tmp_path):
@@ -225,7 +243,12 @@ def test_language_id(spark, empty):
     assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[902]["lang_pred"] != "und"
     kept = language_id.keep_identified(df, model)
     assert kept.columns == df.columns and {900, 901}.isdisjoint(r["doc_id"] for r in kept.collect())
+    many = spark.createDataFrame([(i, f"{'abcdefghij'[i % 10] * 3} {'klmnopq'[i % 7] * 3} {i % 70}", f"x{i % 70:02}") for i in range(700)], "doc_id long, text string, lang string")
+    all_of = language_id.fit_language_model(many.unionByName(many), F.lit(True), per_language=5)
+    assert sum(map(len, all_of.members.values())) == 70
+    assert language_id.families({"en": np.eye(3)[0], "qa": np.array([0.0, 1, 0.1]), "qb": np.array([0.0, 1, 0.2]), "qc": np.array([1.0, 0.1, 0]), "qd": np.eye(3)[2]}) == {"en": "germanic", "qa": "like qa", "qb": "like qa", "qc": "germanic", "qd": "like qd"}
     none = language_id.fit_language_model(empty, F.lit(True))
+    assert {r["doc_id"] for r in language_id.keep_identified(df, none).collect()} == {r[0] for r in rows} - {900, 901}
     assert language_id.identify(empty, none).count() == 0 and {r["lang_pred"] for r in language_id.identify(df, none).collect()} == {"und"}
 
 
