@@ -229,9 +229,38 @@ def test_sentencepiece(table, empty):
     got = collected(sentencepiece_lattice.encode_pieces(df, pieces))
     assert {i: r["piece_ids"] for i, r in got.items()} == {i: lib.encode(t) for i, t in docs.items()}
     assert all(r["round_trip"] for r in got.values())
+    none = collected(sentencepiece_lattice.encode_pieces(df, pieces, dictionary_units=0))  # all folded in tasks
+    assert {i: r["piece_ids"] for i, r in none.items()} == {i: r["piece_ids"] for i, r in got.items()}
+    kept = sentencepiece_lattice.with_pieces(df.withColumn("n_pieces", F.lit("x")).withColumn("unit", F.lit(1)), pieces)
+    assert kept.columns == [*df.columns, "unit", *sentencepiece_lattice.MADE] and kept.where("round_trip").count() == len(docs)
     assert sentencepiece_lattice.encode_pieces(empty, pieces).count() == 0
 
 
+def test_lattice_folds_as_the_library_merges(spark):
+    """Every kind of unit through the Spark joins: words, indents, texts without spaces, emoji, rare characters."""
+    import sentencepiece
+
+    path = vocabulary("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    table = sentencepiece_lattice.load_pieces(path)
+    rng = random.Random(4)
+    letters = "etaoinshrdlucmfwypvbgkqjxz" * 3 + "ETAéüß中文字日本🙂0123456789.,-()"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(1500)]
+    words += [p.strip() for p in table.pieces[300:] if p.strip()][::9]
+    words += ["token", "tokenization", "international", "aaaa", "aaaaaaaaaaaaa", "the" * 9, "日本語中文字" * 4]
+    units = [" " * rng.choice([1, 1, 1, 2, 3, 5, 8, 17]) + w for w in words] + words
+    units = sorted({u for u in units if len(u) <= sentencepiece_lattice.LONGEST and " " not in u.lstrip(" ") and "\n" not in u})
+    rows = sentencepiece_lattice.folded(sentencepiece_lattice.lattice(spark.createDataFrame([(u,) for u in units], "unit string"), table), table).collect()
+    want = {u: lib.encode(u[1:]) if u[0] == " " else lib.encode("\n" + u)[2:] for u in units}
+    assert {r["unit"]: r["ids"] for r in rows} == want
+    texts = ["  def f(x):\n        return x\n\n\tif y:  z   \n", "日本語の文章には空白がない。" * 400, "x" * 3000, "ab" * 900 + " " + "thequickbrownfox" * 90, "▁▁lit▁eral ▁", "\n\n", " ", *(" ".join(rng.choice(units) for _ in range(60)) for _ in range(30))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (300_000, 0):
+        got = collected(sentencepiece_lattice.encode_pieces(df, table, dictionary_units=most))
+        assert {i: r["piece_ids"] for i, r in got.items()} == {i: lib.encode(t) for i, t in enumerate(texts)}
+        assert all(r["round_trip"] for r in got.values())
+
+
 def test_language_id(spark, empty):
     rng = random.Random(0)
     say = {"en": ["the", "and", "thing", "ation", "with"], "de": ["der", "und", "schung", "keit", "mit"], "fr": ["le", "et", "eaux", "tion", "avec"], "es": ["el", "y", "ción", "mente", "con"]}
