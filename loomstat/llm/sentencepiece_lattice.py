@@ -115,7 +115,8 @@ def load_pieces(path: str) -> PieceTable:
 def lattice(units: DataFrame, table: PieceTable) -> DataFrame:
     """(unit, edges) of units(unit), which are distinct: substrings joined to the pieces, grouped by unit, in order of fold."""
     pieces = F.broadcast(table.relation(units.sparkSession))  # a row a piece: bounded by the vocabulary
-    at = units.repartition("unit").select("unit", F.length("unit").alias("size"), F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = units.repartition(parts, "unit").select("unit", F.length("unit").alias("size"), F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
     each = at.select("unit", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.col("s") + table.longest, F.col("size")))).alias("e"))
     each = each.withColumn("part", F.substring(F.col("unit"), F.col("s") + 1, F.col("e") - F.col("s")))
     edges = each.join(pieces, each["part"] == F.col("piece"), "left").where(F.col("piece_id").isNotNull() | (F.col("e") == F.col("s") + 1))
@@ -282,14 +283,16 @@ class LatticeEncoder:
             self.rare = Dictionary.none()
         data, bounds, first = self.units.of(data, offsets)
         start, end = bounds[:-1], bounds[1:]
-        both = np.stack([span_hashes(data, start, end, k) for k in (0, 1)], 1)
-        order = np.lexsort((both[:, 1], both[:, 0]))
+        keys, proof = (span_hashes(data, start, end, k) for k in (0, 1))
+        order = np.argsort(keys)
+        if ((keys[order][1:] == keys[order][:-1]) & (proof[order][1:] != proof[order][:-1])).any():
+            order = np.lexsort((proof, keys))  # units that share one hash
         fresh = np.ones(len(order), bool)
-        fresh[1:] = (both[order[1:]] != both[order[:-1]]).any(1)
+        fresh[1:] = (keys[order][1:] != keys[order][:-1]) | (proof[order][1:] != proof[order][:-1])
         back = np.empty(len(order), np.int64)
         back[order] = np.cumsum(fresh) - 1
         one = order[fresh]
-        keys, proof = both[one].T
+        keys, proof = keys[one], proof[one]
         place = self.frequent.place(keys, proof)
         left = np.flatnonzero(place < 0)
         new = left[self.rare.place(keys[left], proof[left]) < 0]
@@ -378,7 +381,7 @@ def _encode(table: PieceTable, frequent: Broadcast, text_field: str | None = Non
         for b in batches:
             rest = [c for c in b.schema.names if c != "text"]
             text = b.column("text") if text_field is None else b.column("row").field(text_field)
-            for at, data, offsets in slices(text, 1 << 21):
+            for at, data, offsets in slices(text, 1 << 22):
                 own = encoder(table, frequent)
                 data, offsets = spaced(data, offsets)
                 ids, cuts = own.encode(data, offsets)
