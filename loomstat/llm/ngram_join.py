@@ -43,11 +43,11 @@ from .textbytes import U64, folded, mix, slices, span_hashes
 #: Nodes of one segment compared in one block; fewer where sets are large (see _block_size).
 BLOCK = 1024
 #: A segment with so many nodes in one slice of a task is frequent: the slice sends one of them to the segment's bin.
-LOCAL = 64
+LOCAL = 32
 #: Shingles whose segments are in a bin, which one task holds at a time (about 40 bytes each).
 BIN = 2_000_000
 #: Bytes of text whose segments are dealt to bins together.
-SLICE = 1 << 22
+SLICE = 1 << 21
 #: Rows of (node, value) that may be broadcast (16 bytes each).
 BROADCAST_NODES = 1_000_000
 FREQUENT = 2**31 - 1
@@ -573,8 +573,10 @@ def _components_of(base: DataFrame, nodes: DataFrame, width: int, clashing: np.n
     told = keep(told.join(_small(chosen.select("node")), "node", "left_semi").dropDuplicates(["node"]), "candidate-sets")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        a = told.select(F.col("node").alias("a"), F.col("grams").alias("ga"))
-        b = told.select(F.col("node").alias("b"), F.col("grams").alias("gb"))
+        pairs = keep(pairs, "pairs")
+        ends = _small(pairs.mapInArrow(_open_nodes, "node long").distinct())
+        a = told.join(ends, "node", "left_semi").select(F.col("node").alias("a"), F.col("grams").alias("ga"))
+        b = a.select(F.col("a").alias("b"), F.col("ga").alias("gb"))
         return keep(pairs.join(a, "a").join(b, "b").select("a", "b", "ga", "gb").mapInArrow(_verify, "a long, b long"), name)
 
     a = told.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
@@ -590,8 +592,8 @@ def _components_of(base: DataFrame, nodes: DataFrame, width: int, clashing: np.n
     if not more.isEmpty():
         comp = _joined(comp, more)
     # nodes that have a near one of another component take part with their whole sets
-    split = split.drop("comp").join(some, "node", "left_semi").join(_small(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    more = _found(split, told, _forest, True)
+    some = _small(some)
+    more = _found(_fewer_blocks(split.join(some, "node", "left_semi"), comp), told.join(some, "node", "left_semi"), _forest, True)
     return comp if more.isEmpty() else _joined(comp, more)
 
 
@@ -602,6 +604,16 @@ def _found(split: DataFrame, told: DataFrame, find, whole: bool) -> DataFrame:
     return keep(dealt.mapInArrow(_in_blocks(find), "a long, b long").distinct(), "near-pairs")
 
 
+def _fewer_blocks(split: DataFrame, comp: DataFrame) -> DataFrame:
+    """split, what is left of each block, with components as they are now: without blocks of one component, and one of the
+    blocks that hold the same nodes (by two hashes of them). All pairs of a block are looked at, whatever their sides."""
+    rows = split.drop("comp", "side").join(_small(comp), "node", "left").withColumn("comp", F.coalesce("comp", "node")).withColumn("side", F.lit(0))
+    names = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"f{k}") for k in (0, 1)]
+    each = rows.groupBy("cell", "i", "j").agg(F.count(F.lit(1)).alias("all"), F.min("comp").alias("low"), F.max("comp").alias("high"), *names).where(F.col("low") != F.col("high"))
+    one = each.groupBy("f0", "f1", "all").agg(F.min(F.struct("cell", "i", "j")).alias("x")).select("x.*")
+    return keep(rows.join(one, ["cell", "i", "j"]), "open-again")
+
+
 def _blocks(left: DataFrame, comp: DataFrame) -> DataFrame:
     """(cell, i, j, side, node, n, comp) of the segments that hold several components, dealt to blocks so that each two
     nodes of different components meet in one. A segment that outgrows a block has its largest component on one side, and

@@ -41,7 +41,7 @@ MARK = "▁"
 #: Characters of a unit whose places fit a state.
 LONGEST = 61
 #: Units that a worker remembers beside the dictionary; beyond it the memory is emptied and filled anew.
-CACHE_UNITS = 500_000
+CACHE_UNITS = 300_000
 MADE = ["n_pieces", "ids_crc32", "round_trip", "piece_ids"]
 _MADE_SQL = "n_pieces long, ids_crc32 long, round_trip boolean, piece_ids array<int>"
 
@@ -297,7 +297,8 @@ class LatticeEncoder:
         left = np.flatnonzero(place < 0)
         new = left[self.rare.place(keys[left], proof[left]) < 0]
         if len(new):
-            self.rare = self.rare.added(keys[new], proof[new], *self.fold(data, start[one[new]], end[one[new]]))
+            made = [self.fold(data, start[part], end[part]) for part in np.array_split(one[new], 1 + len(new) // 10_000)]
+            self.rare = self.rare.added(keys[new], proof[new], *(np.concatenate(x) for x in zip(*made)))
         near = self.rare.place(keys[left], proof[left])
         pool = np.concatenate([self.frequent.ids, self.rare.ids]) if len(left) else self.frequent.ids
         at, n = self.frequent.at[np.maximum(place, 0)] if len(self.frequent.keys) else np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
@@ -323,11 +324,11 @@ def _count_units(table: PieceTable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units(table)
         for b in batches:
-            for _, data, offsets in slices(b.column("text"), 1 << 22):
+            for _, data, offsets in slices(b.column("text"), 1 << 21):
                 data, bounds, _ = units.of(*spaced(data, offsets))
                 start, end = bounds[:-1], bounds[1:]
                 keys, one, n = np.unique(span_hashes(data, start, end), return_index=True, return_counts=True)
-                # what a slice of 4 MB has once is not frequent; a clash of hashes only mistakes a count
+                # what a slice of 2 MB has once is not frequent; a clash of hashes only mistakes a count
                 one, n = one[n > 1], n[n > 1]
                 size = end[one] - start[one]
                 own = pa.LargeStringArray.from_buffers(len(one), pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(data[ranges(start[one], size)]))
@@ -381,7 +382,7 @@ def _encode(table: PieceTable, frequent: Broadcast, text_field: str | None = Non
         for b in batches:
             rest = [c for c in b.schema.names if c != "text"]
             text = b.column("text") if text_field is None else b.column("row").field(text_field)
-            for at, data, offsets in slices(text, 1 << 22):
+            for at, data, offsets in slices(text):
                 own = encoder(table, frequent)
                 data, offsets = spaced(data, offsets)
                 ids, cuts = own.encode(data, offsets)
