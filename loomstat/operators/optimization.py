@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.normal import cdf, pdf
+from ..functions.normal import between, cdf, pdf
 from ..models.base import GaussianProcess
 
 
@@ -19,7 +19,7 @@ def acquisition(name: str, mu: Column, sd: Column, best: float = 0.0, low: float
         "mi": lambda: mu + np.sqrt(np.log(2 / delta)) * (F.sqrt(sd**2 + cumulative) - np.sqrt(cumulative)),
         "ei": lambda: (mu - best - xi) * cdf(z) + sd * pdf(z),
         "pi": lambda: cdf(z),
-        "ptr": lambda: cdf((F.lit(high) - mu) / sd) - cdf((F.lit(low) - mu) / sd),
+        "ptr": lambda: between((F.lit(low) - mu) / sd, (F.lit(high) - mu) / sd),
     }[name]()
     return value if name == "mean" else F.when(sd > 0, value).otherwise(0.0)
 
@@ -62,7 +62,7 @@ def joint_log_probability(df: DataFrame, goals: list[tuple[str, str, float, floa
     parts = []
     for name, way, low, high in goals:
         mu, sd = F.col(f"mu_{name}"), F.col(f"sd_{name}")
-        parts.append({"max": 1 - cdf((F.lit(low) - mu) / sd), "min": cdf((F.lit(high) - mu) / sd), "range": cdf((F.lit(high) - mu) / sd) - cdf((F.lit(low) - mu) / sd)}[way])
+        parts.append({"max": cdf((mu - F.lit(low)) / sd), "min": cdf((F.lit(high) - mu) / sd), "range": between((F.lit(low) - mu) / sd, (F.lit(high) - mu) / sd)}[way])
     total = sum((F.log(p) for p in parts[1:]), F.log(parts[0]))
     bad = parts[0] <= 0
     for p in parts[1:]:

@@ -26,7 +26,7 @@ def b1_b3_acquisitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", score("ei", best=0.5), score("pi", best=0.5), score("mi"), score("ptr", low=0.0, high=1.0))
 
 
-@query(f"""WITH p AS (SELECT p_partkey, 1 - {normal.cdf_sql(f'((0.2 - {_MU}) / {_SD})')} AS a, {normal.cdf_sql('((0.8 - 0.5) / (p_size / 50.0))::DOUBLE')} - {normal.cdf_sql('((0.1 - 0.5) / (p_size / 50.0))::DOUBLE')} AS b FROM part)
+@query(f"""WITH p AS (SELECT p_partkey, {normal.cdf_sql(f'(({_MU} - 0.2) / {_SD})')} AS a, {normal.cdf_sql('((0.8 - 0.5) / (p_size / 50.0))::DOUBLE')} - {normal.cdf_sql('((0.1 - 0.5) / (p_size / 50.0))::DOUBLE')} AS b FROM part)
 SELECT p_partkey, CASE WHEN a <= 0 OR b <= 0 THEN -1e100 ELSE round(ln(a) + ln(b), 4) END AS logp FROM p""")
 def b4_m19_joint_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     mu, sd = _mu()

@@ -26,12 +26,24 @@ def samples(spark):
 
 
 def test_normal_functions(spark):
-    xs = np.linspace(-4, 4, 41)
+    xs = np.linspace(-37, 8, 451)
     df = spark.createDataFrame([(float(x),) for x in xs], "x double").select("x", normal.cdf(F.col("x")).alias("c")).withColumn("back", normal.ppf(F.col("c"))).toPandas()
-    assert np.abs(df["c"] - [0.5 * (1 + math.erf(x / math.sqrt(2))) for x in df["x"]]).max() < 2e-7
+    exact = np.array([math.erfc(-x / math.sqrt(2)) / 2 for x in df["x"]])
+    error = np.abs(df["c"] / exact - 1)
+    assert error.max() < 3e-8 and error[np.abs(df["x"]) < 2.5].max() < 5e-15
     assert np.abs(df["back"] - df["x"])[np.abs(df["x"]) < 3].max() < 1e-4
 
 
+def test_joint_probability_far_from_the_mean(spark):
+    # the goals are 20 deviations off, on either side, and a range on the upper side
+    df = spark.createDataFrame([(0.0, 1.0)], "mu_a double, sd_a double")
+    tail = lambda x: math.erfc(x / math.sqrt(2)) / 2
+    for goal, p in ((("a", "max", 20.0, 0.0), tail(20)), (("a", "min", 0.0, -20.0), tail(20)), (("a", "range", 20.0, 20.01), tail(20) - tail(20.01))):
+        got = df.select(optimization.joint_log_probability(df, [goal]).alias("p")).first()["p"]
+        assert abs(got - math.log(p)) < 1e-6
+    assert df.select(optimization.joint_log_probability(df, [("a", "max", 50.0, 0.0)]).alias("p")).first()["p"] == -1e100
+
+
 def test_constant_variable_is_named(spark):
     with pytest.raises(ValueError, match="flat"):
         frame.Autoscaler.fit(spark.range(5).select(F.col("id").alias("v"), F.lit(1.0).alias("flat")), ["v", "flat"])
