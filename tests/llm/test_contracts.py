@@ -213,10 +213,17 @@ def test_token_counts_and_files(table, empty, tmp_path):
 
 def test_elias_fano():
     rng = np.random.default_rng(0)
-    for n, top in ((1, 0), (5, 3), (100, 10**9), (1000, 1000)):
+    for n, top in ((1, 0), (5, 3), (100, 10**9), (1000, 1000), (20_000, 40), (20_000, 10**12)):
         v = np.sort(rng.integers(0, top + 1, n))
-        low, high = token_files.ef_encode(v, top)
-        assert (token_files.ef_select(low, high, n, top, np.arange(n)) == v).all()
+        for values in (v, np.where(v < top // 2, 0, top)):  # the second leaves stretches without a one
+            code = token_files.ef_encode(values, top)
+            assert len(code[2]) <= 4 + len(code[1]) // 64
+            assert (token_files.ef_select(*code, n, top, np.arange(n)) == values).all()
+            for i in {0, n // 2, n - 1}:
+                assert token_files.ef_select(*code, n, top, np.array([i])) == values[i]
+            mixed = rng.permutation(n)[:50]
+            assert (token_files.ef_select(*code, n, top, mixed) == values[mixed]).all()
+    assert not len(token_files.ef_select(*token_files.ef_encode(np.zeros(0, np.int64), 0), 0, 0, np.zeros(0)))
 
 
 def test_sentencepiece(table, empty):
