@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,6 +62,17 @@ def farthest_from_mean(df: DataFrame, key: str, vector: str) -> DataFrame:
     return each.groupBy(key).agg(F.sum((F.col("x") - F.col("m")) ** 2).alias("d2")).orderBy(F.desc("d2"), key).limit(1)
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the shared folder (spark.checkpoint.dir); local mode takes a folder of its own where none is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        said = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not said and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder, and a folder of one machine is of no use to a cluster")
+        context.setCheckpointDir(said or tempfile.mkdtemp(prefix="loomstat-"))
+    return df.checkpoint()
+
+
 def kennard_stone(df: DataFrame, key: str, vector: str, n: int) -> DataFrame:
     """(key, place): farthest from the mean, then again and again the row farthest from all chosen; ties to the least key.
 
@@ -88,7 +101,7 @@ def kennard_stone(df: DataFrame, key: str, vector: str, n: int) -> DataFrame:
             near = [F.aggregate(F.zip_with("v", F.array(*map(F.lit, c)), lambda a, b: (a - b) ** 2), F.lit(0.0), lambda s, t: s + t) for c in vectors[-1:]][0]
             far = far.withColumn("d", F.least("d", near) if "d" in far.columns else near)
             if len(picks) % 10 == 0:
-                far = far.checkpoint()
+                far = _cut(far)
             top = far.where(~F.col("k").isin(picks)).orderBy(F.desc("d"), "k").limit(1).first()
             picks.append(top["k"])
             vectors.append(top["v"])

@@ -81,15 +81,15 @@ def test_nearest_over_blocks(spark):
 
 def test_kennard_stone(spark, samples, monkeypatch):
     df = samples[0].select("id", F.array("a", "b", "c").alias("v"))
-    small = splits.kennard_stone(df, "id", "v", 8).orderBy("place").toPandas()["id"].tolist()
+    small = splits.kennard_stone(df, "id", "v", 12).orderBy("place").toPandas()["id"].tolist()
     x = samples[1][["a", "b", "c"]].to_numpy()
     want = [int(((x - x.mean(0)) ** 2).sum(1).argmax())]
-    while len(want) < 8:
+    while len(want) < 12:
         d = ((x[:, None] - x[want][None]) ** 2).sum(2).min(1)
         d[want] = -1
         want.append(int(d.argmax()))
     monkeypatch.setattr(splits, "SMALL", 10)
-    assert small == want == splits.kennard_stone(df, "id", "v", 8).orderBy("place").toPandas()["id"].tolist()
+    assert small == want == splits.kennard_stone(df, "id", "v", 12).orderBy("place").toPandas()["id"].tolist()
 
 
 def test_folds_and_groups(spark, samples):
