@@ -17,6 +17,7 @@ from .ngram_join import linked_groups
 from .pii import KINDS, find_personal_data
 from .quality import document_statistics, fit_quality, score_quality
 from .sentencepiece_lattice import encode_pieces, load_pieces
+from .spelling import spelling_variants
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
 
@@ -82,6 +83,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read(spark, sf_dir, "documents"), min_length=6, min_count=5, ratio=5, typo_every=199)
+
+
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -114,7 +119,7 @@ SELECT doc_id, n_shingles, min(root) AS component_id FROM r JOIN n USING (doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_language_id, op4_decontamination, op5_exact_dedup, op6_personal_data, op7_ngram_join, op8_token_counts, op9_sentencepiece, op10_token_files)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_language_id, op4_decontamination, op5_exact_dedup, op6_personal_data, op7_ngram_join, op8_token_counts, op9_sentencepiece, op10_token_files, op11_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
