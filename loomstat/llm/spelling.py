@@ -20,7 +20,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +59,7 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return counted.where((F.col("n") >= min_count) & (F.length("word") >= min_length))
 
 
-def _packed(words: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+def _packed(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The words' code points as bytes, and where each begins."""
     data = [w.encode("latin-1") for w in words]
     ends = np.cumsum([0, *map(len, data)], dtype=np.int64)
@@ -80,7 +80,7 @@ def _sums(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return before - np.repeat(before[first], size + 1), power, first
 
 
-def word_hashes(words: pd.Series) -> np.ndarray:
+def word_hashes(words: list[str]) -> np.ndarray:
     data, ends = _packed(words)
     sums, _, first = _sums(data, ends)
     return mix(sums[first + np.diff(ends)])
@@ -100,7 +100,7 @@ def passes(h: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
     return left
 
 
-def neighbourhood(words: pd.Series, alphabet: np.ndarray, least: int = 0) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def neighbourhood(words: list[str], alphabet: np.ndarray, least: int = 0) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Slabs of (kind, hash, word, place, letter) of all distinct deletions, replacements and insertions of the words.
 
     A deletion or insertion beside an equal letter is made at one place only, so every candidate comes once. Candidates
@@ -143,11 +143,12 @@ def _filter(vocabulary: DataFrame, bits: int) -> np.ndarray:
     """The bit table of the vocabulary's hashes as 64-bit words: bits are set by an aggregation, bits / 64 rows at most come back."""
 
     def places(batches):
-        for pdf in batches:
-            at = np.unique(np.concatenate(probes(word_hashes(pdf["word"]), bits)))
-            yield pd.DataFrame({"slot": at >> 6, "bit": np.left_shift(U64(1), (at & 63).astype(U64)).view(np.int64)})
+        for batch in batches:
+            at = np.unique(np.concatenate(probes(word_hashes(batch.column("word").to_pylist()), bits)))
+            bit = np.left_shift(U64(1), (at & 63).astype(U64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(bit)], ["slot", "bit"])
 
-    found = vocabulary.select("word").mapInPandas(places, "slot long, bit long").groupBy("slot").agg(F.bit_or("bit").alias("bit")).toArrow()
+    found = vocabulary.select("word").mapInArrow(places, "slot long, bit long").groupBy("slot").agg(F.bit_or("bit").alias("bit")).toArrow()
     table = np.zeros(bits // 64, U64)
     table[found["slot"].to_numpy()] = found["bit"].to_numpy().view(U64)
     return table
@@ -167,17 +168,18 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
 
     def generate(batches):
         table = sent.value
-        for pdf in batches:
-            for a in range(0, len(pdf), 1024):
-                part = pdf.iloc[a : a + 1024]
-                words, n = part["word"].tolist(), part["n"].to_numpy()
-                for kind, h, own, at, letter in neighbourhood(part["word"], alphabet, least):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                words, n = part.column("word").to_pylist(), part.column("n").to_numpy()
+                for kind, h, own, at, letter in neighbourhood(words, alphabet, least):
                     on = passes(h, table, bits)
-                    near = [_spelled(words[i], kind, p, c) for i, p, c in zip(own[on].tolist(), at[on].tolist(), letter[on].tolist())]
-                    yield pd.DataFrame({"word": [words[i] for i in own[on].tolist()], "n": n[own[on]], "near": near})
+                    own = own[on]
+                    near = [_spelled(words[i], kind, p, c) for i, p, c in zip(own.tolist(), at[on].tolist(), letter[on].tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in own.tolist()], pa.string()), pa.array(n[own], pa.int64()), pa.array(near, pa.string())], ["word", "n", "near"])
 
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    candidates = vocabulary.repartition(tasks, "word").mapInPandas(generate, schema)
+    candidates = vocabulary.repartition(tasks, "word").mapInArrow(generate, schema)
     return candidates.join(vocabulary.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
 
 
