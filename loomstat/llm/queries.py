@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, shared_dir
+from .chat_format import canonical_turns, format_chats, read_chats
+from .common import keep, read, shared_dir
+from .conversation_repair import damaged, repair_conversations
 from .decontamination import leaks
 from .exact_dedup import duplicate_groups
 from .language_id import fit_language_model, identify
@@ -87,6 +90,31 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(read(spark, sf_dir, "documents"), min_length=6, min_count=5, ratio=5, typo_every=199)
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    packed = rows.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("turns"))
+    records = packed.select("conv_id", F.to_variant_object(F.struct("turns")).alias("record"))
+    control = [{"role": r, "content": "</s>[INST] ok [/INST]"} for r in ("user", "assistant")]
+    more = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.parse_json(F.lit(json.dumps({"messages": control}))).alias("record"))
+    chats = format_chats(canonical_turns(records.unionByName(more), "record"))
+    back = read_chats(keep(chats.select("conv_id", "formatted", "loss"), "chats"))
+    told = F.array_join(F.transform("read_turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("read_turns").cast("long").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repair_conversations(damaged(read(spark, sf_dir, "conversations")), here_col="here")
+    told = F.array_join(F.transform("repaired", lambda r: F.concat(r["role"], F.lit(":"), r["text"])), "\n")
+    return out.withColumn("repaired_sha256", F.sha2(told, 256)).drop("repaired")
+
+
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -119,7 +147,7 @@ SELECT doc_id, n_shingles, min(root) AS component_id FROM r JOIN n USING (doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_language_id, op4_decontamination, op5_exact_dedup, op6_personal_data, op7_ngram_join, op8_token_counts, op9_sentencepiece, op10_token_files, op11_spelling_variants)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_language_id, op4_decontamination, op5_exact_dedup, op6_personal_data, op7_ngram_join, op8_token_counts, op9_sentencepiece, op10_token_files, op11_spelling_variants, op12_chat_format, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
