@@ -36,12 +36,6 @@ def g4_g8_inverse_true_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.predict(_scaled(spark, sf_dir), model, "id", ["price"], _ORDER, true_mode=True)
 
 
-@query()
-def g11_variational_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, _ = _mixture(spark, sf_dir, 6, prior=-5.0 / 6 + 0.9)
-    return spark.createDataFrame([(i, float(w)) for i, w in enumerate(model.weights)], "component int, weight double")
-
-
 @query()
 def g12_semi_supervised(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _scaled(spark, sf_dir)
