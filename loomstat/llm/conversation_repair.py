@@ -98,7 +98,7 @@ def cheapest_edits(initial: np.ndarray, gone: np.ndarray, cut: np.ndarray, size:
         back.append(each[best].astype(np.int8))
     # the last run of insertions; a finished conversation is empty or ends with an assistant
     ended = np.isin(_END_TARGET, (NONE, AFTER_A))
-    key = np.where(ended[None], (cost[:, :, None] + _END_COST) * 64 + rank[:, :, None] * len(ENDS) + np.arange(len(ENDS)), _FAR * 64).reshape(n, -1)
+    key = np.where(ended[None], (cost[:, :, None] + _END_COST) * 64 + rank[:, :, None] * len(ENDS) + np.arange(len(ENDS)), _FAR * 64).reshape(n, 4 * len(ENDS))
     at = key.argmin(1)
     total, scripts = np.zeros(n, np.int64), [""] * n
     for i in range(n):

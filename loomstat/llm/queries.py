@@ -146,9 +146,69 @@ r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT u.b, r.root FROM r
 SELECT doc_id, n_shingles, min(root) AS component_id FROM r JOIN n USING (doc_id) GROUP BY ALL"""
 
 
+# crc32 of a string by its table, a byte at a time
+_CRC_TABLE = "t AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS tab FROM range(256) r(i))"
+_CRC = "xor(list_reduce(list_transform(range(1, length(hex(encode({0}))) // 2 + 1), lambda i: ('0x' || substr(hex(encode({0})), 2 * i - 1, 2))::BIGINT), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+OP11_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE}, r AS (SELECT doc_id, {_FOLD.format("unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+'))")} AS run FROM documents),
+g AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS k, run, count(*) AS n FROM r WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, n, {_CRC.format("k")} AS h FROM g, t),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+d AS MATERIALIZED (SELECT word, p, left(word, p) || substr(word, p + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS p FROM v)),
+e AS (SELECT a.word, b.word AS near FROM d a JOIN d b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+      UNION SELECT d.word, v.word FROM d JOIN v ON d.rest = v.word UNION SELECT v.word, d.word FROM d JOIN v ON d.rest = v.word),
+b AS (SELECT e.word, count(*) AS n_near, min({{'rank': -v.n, 'form': v.word}}) AS best FROM e JOIN v ON v.word = e.near GROUP BY e.word),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.rank >= 5 * v.n THEN best.form END AS form, CASE WHEN -best.rank >= 5 * v.n THEN -best.rank END AS form_n FROM v LEFT JOIN b USING (word)),
+c(word, stop, form) AS (SELECT word, word, form FROM f UNION ALL SELECT c.word, f.word, f.form FROM c JOIN f ON f.word = c.form)
+SELECT f.word, f.form, c.stop AS root, f.n, f.n_near, f.form_n FROM f JOIN c ON c.word = f.word AND c.form IS NULL"""
+
+_MARKED = r"regexp_replace(regexp_replace({}, '(<\\*)(/s>|s>|<SYS>>|</SYS>>|\|start\|>|\|message\|>|\|end\|>|\|im_start\|>|\|im_end\|>|\|endoftext\|>)', '\1\\\2', 'g'), '(\[\\*)(INST\]|/INST\])', '\1\\\2', 'g')"
+
+OP12_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length({_MARKED.format("role")}) + length({_MARKED.format("text")}) + length('<|start|><|message|><|end|>'))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+OP13_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE}, k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT conv_id, turn, role, text, {_CRC.format("k")} % 20 AS h FROM k, t),
+g AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE h WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE h <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, {_WS}) AS shown, left(role, 1) AS a FROM g),
+x AS (SELECT *, shown = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen, lag(a) OVER (PARTITION BY conv_id ORDER BY i) AS b FROM o),
+r AS MATERIALIZED (SELECT conv_id, i, turn, role, text, a, blank, seen AND NOT blank AS twice, NOT blank AND NOT seen AND right(shown, 1) NOT IN ('.', '!', '?') AS cut, b IS NOT NULL AND b || a NOT IN ('su', 'ua', 'au') AS wrong FROM x),
+s AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (twice) AS duplicate, count(*) FILTER (cut) AS truncated, count(*) FILTER (wrong) AS illegal FROM r GROUP BY conv_id),
+p(conv_id, i, state, best) AS (
+  SELECT conv_id, 0::BIGINT, '', {{'cost': 0::BIGINT, 'audit': '', 'said': []::VARCHAR[]}} FROM s
+  UNION ALL
+  SELECT conv_id, i, state, min(best) FROM (
+    SELECT m.conv_id, r.i, CASE e WHEN 'D' THEN m.state WHEN 'K' THEN a ELSE need END AS state,
+           {{'cost': m.cost + CASE e WHEN 'D' THEN 3 WHEN 'K' THEN 0 ELSE 2 END + CASE WHEN e <> 'D' AND cut THEN 1 ELSE 0 END, 'audit': m.audit || e,
+             'said': CASE e WHEN 'D' THEN m.said WHEN 'K' THEN list_append(m.said, role || ':' || text) ELSE list_append(m.said, CASE need WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text) END}} AS best
+    FROM (SELECT *, CASE state WHEN 'u' THEN 'a' ELSE 'u' END AS need FROM (
+      SELECT conv_id, i, state, best.cost AS cost, best.audit AS audit, best.said AS said FROM p
+      UNION ALL SELECT conv_id, i, CASE state WHEN 'u' THEN 'a' ELSE 'u' END, best.cost + 2, best.audit || 'I', list_append(best.said, CASE state WHEN 'u' THEN 'assistant:' ELSE 'user:' END) FROM p
+      UNION ALL SELECT conv_id, i, CASE state WHEN 'u' THEN 'u' ELSE 'a' END, best.cost + 4, best.audit || 'II', list_append(list_append(best.said, CASE state WHEN 'u' THEN 'assistant:' ELSE 'user:' END), CASE state WHEN 'u' THEN 'user:' ELSE 'assistant:' END) FROM p)) m
+    JOIN r ON r.conv_id IS NOT DISTINCT FROM m.conv_id AND r.i = m.i + 1, (SELECT unnest(['D', 'K', 'R']) AS e)
+    WHERE e = 'D' OR NOT (blank OR twice) AND (e = 'R' OR a = need OR a = 's' AND m.state = '')) GROUP BY ALL),
+z AS (SELECT p.conv_id, state, best.cost AS cost, best.audit AS audit, best.said AS said FROM p JOIN s ON s.conv_id IS NOT DISTINCT FROM p.conv_id WHERE i = n),
+w AS (SELECT conv_id, min({{'cost': cost, 'audit': audit, 'said': said}}) AS best FROM (
+  SELECT * FROM z WHERE state IN ('', 'a')
+  UNION ALL SELECT conv_id, 'a', cost + 2, audit || 'I', list_append(said, 'assistant:') FROM z WHERE state = 'u'
+  UNION ALL SELECT conv_id, 'a', cost + 4, audit || 'II', list_append(list_append(said, 'user:'), 'assistant:') FROM z WHERE state IN ('', 's', 'a')) GROUP BY conv_id)
+SELECT q.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM q.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM q.conv_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_language_id, op4_decontamination, op5_exact_dedup, op6_personal_data, op7_ngram_join, op8_token_counts, op9_sentencepiece, op10_token_files, op11_spelling_variants, op12_chat_format, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op7_ngram_join": OP7_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op7_ngram_join": OP7_SQL, "op11_spelling_variants": OP11_SQL, "op12_chat_format": OP12_SQL, "op13_conversation_repair": OP13_SQL}
