@@ -4,7 +4,7 @@ Lines are exploded, their keys hashed, distinct documents counted for each hash,
 put together again by position. DataFrame functions only.
 
 Defined results: a null or empty text is one empty line; keys under ``min_chars`` code points are never dropped;
-a repeated row is a document of its own when documents are counted; a document all of whose lines go keeps "";
+rows of one id count as one document (rows without an id too), and each gets its own answer; very long texts are split like others; a document all of whose lines go keeps "";
 an empty table gives an empty table; other columns of the input are not looked at.
 """
 
@@ -33,8 +33,17 @@ def line_keys(base: DataFrame, min_chars: int) -> DataFrame:
 
 
 def frequent_lines(keyed: DataFrame, min_docs: int) -> DataFrame:
-    """(key, n_docs) of the line keys found in at least min_docs rows of keyed."""
-    return keyed.select(F.explode(F.array_distinct("keys")).alias("h")).where(F.col("h").isNotNull()).groupBy(F.unhex("h").alias("key")).agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
+    """(key, n_docs) of the line keys found in at least min_docs documents of keyed; rows of one id are one document.
+
+    Where no id repeats, rows are counted, which combines in the tasks; only lines of repeated ids are made distinct by id.
+    """
+    lines = keyed.select("id", F.explode(F.array_distinct("keys")).alias("h")).where(F.col("h").isNotNull())
+    repeated = keep(keyed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias("again")), "repeated-ids")
+    counted = lines.select("h")
+    if not repeated.isEmpty():
+        same = F.col("id").eqNullSafe(F.col("again"))
+        counted = lines.join(repeated, same, "left_anti").select("h").unionByName(lines.join(repeated, same, "left_semi").distinct().select("h"))
+    return counted.groupBy(F.unhex("h").alias("key")).agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs)
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, salts: int = 8) -> DataFrame:
