@@ -1,7 +1,8 @@
-"""Validation and ensemble learning: every model fit is one task over its rows, scores are aggregates.
+"""Validation and ensemble learning: linear models come from moments, others fit in tasks, scores are aggregates.
 
-A cell (parameters, fold, repeat) gets its rows through a shuffle, fits in its task with the statistics of its own training
-rows, and returns predictions. Scores pool the predictions of all folds.
+PLS and ridge are fitted on the driver from sums of products that one scan adds up by fold or bag, so no row is copied. For
+other estimators a cell (parameters, fold, repeat) gets its rows through a shuffle, fits in its task with the statistics of
+its own training rows, and returns predictions. Scores pool the predictions of all folds.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..models.base import PLS, Estimator
+from ..tables import keep
+from . import linear
+from .forest import drawn, subspace
 from .neighbours import BLOCK
 
 
@@ -51,6 +55,10 @@ def inner_search(candidates: list[Estimator], x: np.ndarray, y: np.ndarray, fold
 def grid_search(df: DataFrame, candidates: list[Estimator], fold: str, cols: list[str], y: str) -> tuple[DataFrame, Estimator]:
     """((candidate, r2) by pooled held-out predictions, the best candidate; the first wins a tie)."""
     spark = df.sparkSession
+    if all(isinstance(c, linear.Linear) for c in candidates):
+        products = linear.fold_products(df, cols, y, F.col(fold))
+        r2 = [linear.pooled_r2(linear.fold_lines(c, products), products) for c in candidates]
+        return spark.createDataFrame(list(enumerate(r2)), "candidate int, r2 double"), candidates[int(np.argmax(np.nan_to_num(r2, nan=-1e10)))]
     n = df.agg(F.max(fold)).first()[0] + 1
     cells = spark.createDataFrame([(c, f) for c in range(len(candidates)) for f in range(n)], "candidate int, cell int")
 
@@ -69,8 +77,10 @@ def grid_search(df: DataFrame, candidates: list[Estimator], fold: str, cols: lis
 
 
 def double_cross_validation(df: DataFrame, candidates: list[Estimator], key: str, outer: str, cols: list[str], y: str, inner_folds: int = 5, seed: int = 0) -> DataFrame:
-    """(key, y, yhat, fold): each outer fold is predicted by a model chosen and fitted on the others, in one task."""
+    """(key, y, yhat, fold): each outer fold is predicted by a model chosen and fitted on the others."""
     spark = df.sparkSession
+    if all(isinstance(c, linear.Linear) for c in candidates):
+        return _double_by_moments(df, candidates, key, outer, cols, y, inner_folds, seed)
     cells = spark.createDataFrame([(r[0],) for r in df.select(outer).distinct().collect()], "cell int")
     kind = df.schema[key].dataType.simpleString()
 
@@ -86,6 +96,22 @@ def double_cross_validation(df: DataFrame, candidates: list[Estimator], key: str
     return rows.groupBy("cell").applyInPandas(run, f"key {kind}, y double, yhat double, fold int").withColumnRenamed("key", key)
 
 
+def _double_by_moments(df: DataFrame, candidates: list[linear.Linear], key: str, outer: str, cols: list[str], y: str, inner_folds: int, seed: int) -> DataFrame:
+    """One scan for all (outer, inner) folds; inner folds are dealt by the hash of the key."""
+    inner = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(inner_folds)).cast("int")
+    products = linear.fold_products(df, cols, y, F.col(outer) * inner_folds + inner)
+    lines = {}
+    for o in sorted({code // inner_folds for code in products}):
+        rest = {code: s for code, s in products.items() if code // inner_folds != o}
+        if not rest:
+            continue
+        parts = {i: sum(own) for i in range(inner_folds) if (own := [s for code, s in rest.items() if code % inner_folds == i])}
+        r2 = [linear.pooled_r2(linear.fold_lines(c, parts), parts) if len(parts) > 1 else 0.0 for c in candidates]
+        lines[o] = linear.solve(candidates[int(np.argmax(np.nan_to_num(r2, nan=-1e10)))], sum(rest.values()))
+    told = linear.predicted(lines, F.col(outer), cols)
+    return df.select(F.col(key), F.col(y).cast("double").alias("y"), told.alias("yhat"), F.col(outer).cast("int").alias("fold"))
+
+
 def y_randomization(df: DataFrame, candidates: list[Estimator], key: str, cols: list[str], y: str, repeats: int = 30, seed: int = 0, folds: int = 5) -> DataFrame:
     """(repeat, mae, r2) of models fitted to permuted targets; repeat -1 is the true target."""
     cells = df.sparkSession.range(-1, repeats).select(F.col("id").cast("int").alias("repeat"))
@@ -112,32 +138,65 @@ def mae_cce(df: DataFrame, candidates: list[Estimator], key: str, cols: list[str
     return scores.where("repeat >= 0").select("repeat", (F.lit(true) + F.lit(mean_error) - F.col("mae")).alias("mae_cce"))
 
 
-def bagging(train: DataFrame, test: DataFrame, estimator: Estimator, key: str, cols: list[str], y: str, models: int = 100, seed: int = 0, subspace: int | None = None) -> DataFrame:
-    """(key, model, yhat) of every test row by every bag's model; a bag and its variables are one task."""
-    from .splits import bootstrap
-
-    bags = bootstrap(train.select(key), key, models, seed)
-    rows = bags.join(train.select(key, *cols, y), key).select("model", "weight", *cols, F.col(y).alias("y"))
-
-    def fit(cell: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*cols, "y"]).loc[lambda d: d.index.repeat(d["weight"])]
-        own = sorted(np.random.default_rng([seed, int(cell[0])]).choice(len(cols), subspace or len(cols), replace=False))
-        fitted = scaled_fit(estimator, pdf[cols].to_numpy(float)[:, own], pdf["y"].to_numpy(float))
-        return pd.DataFrame({"model": [int(cell[0])], "state": [pickle.dumps((own, fitted))]})
+def bagging(train: DataFrame, test: DataFrame, estimator: Estimator, key: str, cols: list[str], y: str, models: int = 100, seed: int = 0, subspace_size: int | float = 1.0) -> DataFrame:
+    """(key, model, yhat) of every test row by every bag's model, which sees subspace_size variables (a number, or a share rounded up).
 
-    states = {r["model"]: r["state"] for r in rows.groupBy("model").applyInPandas(fit, "model int, state binary").collect()}  # models
+    Linear models come from weighted moments of all bags in one scan; others are one task a bag.
+    """
+    own = [subspace(len(cols), subspace_size, seed, b) for b in range(models)]
+    if isinstance(estimator, linear.Linear):
+        states = {b: linear.solve(estimator, s) for b, s in _bag_products(train, key, cols, y, own, seed).items()}
+        apply = lambda b, x: states[b][0] + x[:, own[b]] @ states[b][1:]
+    else:
+        states = _fit_bags(train, estimator, key, cols, y, models, seed, own)
+        apply = lambda b, x: scaled_predict(estimator, pickle.loads(states[b]), x[:, own[b]])
     kind = test.schema[key].dataType.simpleString()
 
     def predict(batches):
-        ready = {m: pickle.loads(s) for m, s in states.items()}
         for pdf in batches:
             x = pdf[cols].to_numpy(float)
-            for m, (own, fitted) in ready.items():
-                yield pd.DataFrame({"key": pdf["key"], "model": m, "yhat": scaled_predict(estimator, fitted, x[:, own])})
+            for m in states:
+                yield pd.DataFrame({"key": pdf["key"], "model": m, "yhat": apply(m, x)})
 
     return test.select(F.col(key).alias("key"), *cols).mapInPandas(predict, f"key {kind}, model int, yhat double").withColumnRenamed("key", key)
 
 
+def _bag_products(train: DataFrame, key: str, cols: list[str], y: str, own: list[np.ndarray], seed: int) -> dict[int, np.ndarray]:
+    """For each bag the sums of products of (1, its variables, y), rows weighted by how often the bag draws them."""
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            v = np.column_stack([np.ones(len(pdf)), pdf[[*cols, "y"]].to_numpy(float)])
+            h = pdf["h"].to_numpy()
+            for b, use in enumerate(own):
+                at = v[:, [0, *(use + 1), v.shape[1] - 1]]
+                s = (at * drawn(h, b, seed)[:, None]).T @ at
+                total[b] = total[b] + s if b in total else s
+        yield pd.DataFrame({"bag": list(total), "s": [s.tobytes() for s in total.values()]})
+
+    def add(bag: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"bag": [bag[0]], "s": [sum(np.frombuffer(s) for s in pdf["s"]).tobytes()]})
+
+    rows = train.select(F.xxhash64(key).alias("h"), *[F.col(c).cast("double").alias(c) for c in cols], F.col(y).cast("double").alias("y")).dropna()
+    found = rows.mapInPandas(run, "bag long, s binary").groupBy("bag").applyInPandas(add, "bag long, s binary").collect()  # one matrix a bag
+    return {r["bag"]: np.frombuffer(r["s"]).reshape(len(own[r["bag"]]) + 2, -1) for r in found}
+
+
+def _fit_bags(train: DataFrame, estimator: Estimator, key: str, cols: list[str], y: str, models: int, seed: int, own: list[np.ndarray]) -> dict[int, bytes]:
+    from .splits import bootstrap
+
+    bags = bootstrap(train.select(key), key, models, seed)
+    rows = bags.join(train.select(key, *cols, y), key).select("model", "weight", *cols, F.col(y).alias("y"))
+
+    def fit(cell: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*cols, "y"]).loc[lambda d: d.index.repeat(d["weight"])]
+        fitted = scaled_fit(estimator, pdf[cols].to_numpy(float)[:, own[int(cell[0])]], pdf["y"].to_numpy(float))
+        return pd.DataFrame({"model": [int(cell[0])], "state": [pickle.dumps(fitted)]})
+
+    return {r["model"]: r["state"] for r in rows.groupBy("model").applyInPandas(fit, "model int, state binary").collect()}  # models
+
+
 def combine(predictions: DataFrame, key: str, robust: bool = True) -> DataFrame:
     """(key, yhat, std): median and 1.4826 MAD of the models, or mean and population deviation."""
     if not robust:
@@ -155,20 +214,18 @@ def outlier_flags(df: DataFrame, key: str, y: str, yhat: str) -> DataFrame:
 
 def ensemble_outliers(df: DataFrame, estimator: Estimator, key: str, cols: list[str], y: str, models: int = 100, rounds: int = 30, seed: int = 0) -> DataFrame:
     """(key, outlier): bag on the rows that are no outliers, flag anew, until the flags repeat."""
-    flags, before = None, None
-    spark = df.sparkSession
+    flags = None
     for r in range(rounds):
-        train = df if flags is None else df.join(flags.where("outlier").select(key), key, "left_anti")
-        every = bagging(train, df, estimator, key, cols, y, models, seed + r)
+        train = df if flags is None else df.join(flags.where("outlier"), key, "left_anti")
+        every = keep(bagging(train, df, estimator, key, cols, y, models, seed + r), "bagged")
         centre = every.groupBy(key).agg(F.median("yhat").alias("m"))
         middle = centre.agg(F.median("m")).first()[0]
         spread = 1.4826 * every.agg(F.median(F.abs(F.col("yhat") - middle))).first()[0]
-        out = sorted(x[0] for x in df.select(key, y).join(centre, key).where(F.abs(F.col(y) - F.col("m")) > 3 * spread).select(key).collect())
-        kind = df.schema[key].dataType.simpleString()
-        flags = df.select(key).join(spark.createDataFrame([(k, True) for k in out], f"{key} {kind}, outlier boolean"), key, "left").select(key, F.coalesce("outlier", F.lit(False)).alias("outlier"))
-        if out == before:
+        found = keep(df.select(key, y).join(centre, key).select(key, (F.abs(F.col(y) - F.col("m")) > 3 * spread).alias("outlier")), "outliers")
+        changed = flags is None or not found.join(flags.withColumnRenamed("outlier", "before"), key).where("outlier <> before").isEmpty()
+        flags = found
+        if not changed:
             break
-        before = out
     return flags
 
 

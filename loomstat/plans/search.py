@@ -48,13 +48,6 @@ def f11_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(v,) for v in search.select_by_genes(df, ["nation", "rest", "double"], "y", 12, 3)], "variable string")
 
 
-@query()
-def f10_importance_power(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _accounts(spark, sf_dir).orderBy("id").toPandas()
-    p = search.scaled_by_importance(x[["nation", "rest"]].to_numpy(), x["y"].to_numpy(), np.array([1.0, 0.3]), lambda: PLS(1), [0.0, 1.0, 2.0, 3.0])
-    return spark.createDataFrame([(float(p),)], "power double")
-
-
 @query()
 def v10_one_class_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _accounts(spark, sf_dir).orderBy("id").toPandas()
