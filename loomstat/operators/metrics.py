@@ -56,10 +56,3 @@ def symbol_codes(df: DataFrame, symbol: str) -> DataFrame:
     """df with the place of its symbol in the sorted alphabet."""
     alphabet = df.select(symbol).distinct().withColumn("code", F.row_number().over(Window.orderBy(symbol)) - 1)
     return df.join(alphabet, symbol)
-
-
-def kendall(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """Kendall's tau-b over all pairs of rows; for score tables of models, which are small."""
-    a, b = df.alias("a"), df.alias("b")
-    pairs = a.join(b, F.col(f"a.{key}") < F.col(f"b.{key}")).select(F.signum(F.col(f"a.{x}") - F.col(f"b.{x}")).alias("sx"), F.signum(F.col(f"a.{y}") - F.col(f"b.{y}")).alias("sy"))
-    return pairs.agg((F.sum(F.col("sx") * F.col("sy")) / F.sqrt(F.sum(F.abs("sx")) * F.sum(F.abs("sy")))).alias("tau"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normal
 from ..operators import metrics as op
+from ..operators.ranks import kendall
 from ..registry import query, table
 
 _LINE = """WITH s AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem),
@@ -192,8 +193,17 @@ SELECT round(sum(sx * sy) / sqrt(sum(abs(sx)) * sum(abs(sy))), 6) AS tau FROM p"
 
 @query(_TAU)
 def m18_kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), F.col("s_nationkey").alias("x"), F.col("s_acctbal").alias("y"))
-    return op.kendall(df, "i", "x", "y").select(F.round("tau", 6).alias("tau"))
+    return spark.createDataFrame([(round(kendall(table(spark, sf_dir, "supplier"), "s_nationkey", "s_acctbal"), 6),)], "tau double")
+
+
+@query("""WITH g AS (SELECT l_quantity AS x, l_extendedprice AS y, count(*)::HUGEINT AS n FROM lineitem GROUP BY ALL),
+x AS (SELECT sum(n * (n - 1) // 2) AS t FROM (SELECT sum(n) AS n FROM g GROUP BY x)), y AS (SELECT sum(n * (n - 1) // 2) AS t FROM (SELECT sum(n) AS n FROM g GROUP BY y)),
+b AS (SELECT sum(n * (n - 1) // 2) AS t, sum(n) * (sum(n) - 1) // 2 AS pairs FROM g), k AS (SELECT DISTINCT x AS k FROM g),
+o AS (SELECT k, x, n, sum(CASE WHEN x < k THEN n ELSE 0 END) OVER (PARTITION BY k ORDER BY y DESC GROUPS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM k, g),
+c AS (SELECT sum(n * coalesce(above, 0)) AS c FROM o WHERE x = k)
+SELECT round((b.pairs - x.t - y.t + b.t - 2 * c.c)::DOUBLE / sqrt((b.pairs - x.t)::DOUBLE * (b.pairs - y.t)::DOUBLE), 6) AS tau FROM x, y, b, c""")
+def m18_kendall_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(round(kendall(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice"), 6),)], "tau double")
 
 
 @query("SELECT l_orderkey, CASE WHEN min(l_discount) <= 0 THEN -1e100 ELSE round(sum(ln(greatest(l_discount, 1e-300))), 6) END AS logp FROM lineitem GROUP BY l_orderkey")
