@@ -30,6 +30,7 @@ other columns of the input, whatever their names, are not looked at.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -552,16 +553,27 @@ def linked_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return row_groups(docs, id_col, text_col, width).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("group", "id").alias("component_id"))
 
 
-def _components_of(base: DataFrame, nodes: DataFrame, width: int, clashing: np.ndarray) -> DataFrame:
-    """(node, comp) of the nodes that have links, all of them verified."""
+def _kept_segments(base: DataFrame, nodes: DataFrame, width: int, clashing: np.ndarray) -> DataFrame:
+    """(cell, node, n, w) of the segments that nodes keep. The shuffles behind it are let go: they hold more than all that follows."""
     spark = base.sparkSession
-    sent = nodes.agg(F.sum("n")).first()[0] or 0
-    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sent // BIN)
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    bins = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BIN)
     sent = base.mapInArrow(_send(width, bins, clashing), _BLOB_SQL).repartition("bin").sortWithinPartitions("bin")
     shared = sent.mapInArrow(_meet(bins), _BLOB_SQL).repartition("bin").sortWithinPartitions("bin")
     left = keep(shared.mapInArrow(_rarest, "cell long, node long, n int, w int"), "kept-segments")
+    del sent, shared
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # files of a shuffle go when the driver no longer knows it
+    return left
+
+
+def _components_of(base: DataFrame, nodes: DataFrame, width: int, clashing: np.ndarray) -> DataFrame:
+    """(node, comp) of the nodes that have links, all of them verified."""
+    left = _kept_segments(base, nodes, width, clashing)
     lead = left.groupBy("cell").agg(F.max(F.struct("w", "node")).alias("top"), F.count(F.lit(1)).alias("g")).where(F.col("g") > 1).select("cell", F.col("top.node").alias("leader"))
-    pairs = left.join(lead.hint("merge"), "cell").where(F.col("node") != F.col("leader"))
+    # segments that one node alone has are of no further use: what follows reads the others only
+    met = keep(left.select("cell", "node", "n").join(lead.hint("merge"), "cell"), "met-segments")
+    pairs = met.where(F.col("node") != F.col("leader"))
     star = keep(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "stars")
     ends = star.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     chosen = keep(ends.join(nodes, "node").select("node", F.col("least.id").alias("id"), F.col("least.mark").alias("mark")), "candidates")
@@ -583,7 +595,7 @@ def _components_of(base: DataFrame, nodes: DataFrame, width: int, clashing: np.n
     b = told.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     links = verified(star.join(a, "a").join(b, "b").mapInArrow(_near_pairs, "a long, b long"), "links")
     comp = components(links)
-    split = _blocks(left, comp)
+    split = _blocks(met.drop("leader"), comp)
     near = _found(split, told, _nearest, False)
     if near.isEmpty():
         return comp
