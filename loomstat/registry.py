@@ -12,7 +12,7 @@ from .shipping import ship
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
-_MODULES = ("frame", "metrics", "ranking", "relational", "neighbours", "selection", "splits", "learning", "generative", "optimization", "search", "crystals", "streams", "tuned", "trees", "kernels")
+_MODULES = ("frame", "metrics", "ranking", "relational", "neighbours", "selection", "splits", "learning", "generative", "optimization", "search", "crystals", "streams", "tuned", "trees", "kernels", "designs")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
