@@ -260,13 +260,13 @@ def locally_weighted_pls(train: tuple[np.ndarray, np.ndarray], queries: DataFram
     return queries.select(F.col(key).alias("key"), *cols).mapInPandas(run, f"key {kind}, yhat double").withColumnRenamed("key", key)
 
 
-def gram_variances(df: DataFrame, cols: list[str], gammas: list[float], block: int = BLOCK) -> np.ndarray:
-    """The variance of all entries of the Gram matrix of the standardized rows, for each gamma.
+def gram_variances(df: DataFrame, cols: list[str], gammas: list[float], block: int = BLOCK, scaled: bool = True) -> np.ndarray:
+    """The variance of all entries of the Gram matrix of the rows, standardized unless told not to, for each gamma.
 
     Equal rows are one point with a weight; points are dealt to blocks, and a task that compares two blocks returns sums.
     """
     s = df.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}{i}") for i, c in enumerate(cols) for k, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
-    z = [((F.col(c) - F.lit(s[f"m{i}"])) / F.lit(s[f"s{i}"] or 1.0)).alias(f"z{i}") for i, c in enumerate(cols)]
+    z = [((F.col(c) - F.lit(s[f"m{i}"])) / F.lit(s[f"s{i}"] or 1.0) if scaled else F.col(c)).alias(f"z{i}") for i, c in enumerate(cols)]
     points = df.groupBy(*cols).agg(F.count(F.lit(1)).cast("double").alias("w")).select(*z, "w", F.xxhash64(*cols).alias("deal"))
     b = max(1, -(-points.count() // block))
     own = F.pmod("deal", F.lit(b)).cast("int")

@@ -71,37 +71,41 @@ def joint_log_probability(df: DataFrame, goals: list[tuple[str, str, float, floa
 
 
 def on_simplex(v: np.ndarray) -> np.ndarray:
-    """The nearest point with parts of at least 0 that add up to 1."""
-    u = np.sort(v)[::-1]
-    c = np.cumsum(u) - 1
-    k = np.flatnonzero(u > c / np.arange(1, len(u) + 1))[-1]
-    return np.maximum(v - c[k] / (k + 1), 0)
+    """For each row the nearest point with parts of at least 0 that add up to 1."""
+    rows = np.atleast_2d(v)
+    u = np.sort(rows, 1)[:, ::-1]
+    c = np.cumsum(u, 1) - 1
+    n = np.arange(1, rows.shape[1] + 1)
+    k = rows.shape[1] - 1 - (u > c / n)[:, ::-1].argmax(1)
+    out = np.maximum(rows - (c[np.arange(len(rows)), k] / (k + 1))[:, None], 0)
+    return out if np.ndim(v) > 1 else out[0]
 
 
 def unmix(mixtures: DataFrame, key: str, vector: str, pure: np.ndarray, rounds: int = 2000) -> DataFrame:
-    """(key, fractions, residual): least squares on the simplex by accelerated projected gradient, a spectrum at a time."""
+    """(key, fractions, residual): least squares on the simplex by accelerated projected gradient, all spectra of a batch as one
+    matrix; a spectrum that moves no more leaves it."""
     kind = mixtures.schema[key].dataType.simpleString()
     gram = pure @ pure.T
     step = 1 / np.linalg.eigvalsh(gram)[-1]
 
     def run(batches):
         for pdf in batches:
-            out, rest = [], []
-            for v in pdf["v"]:
-                v = np.asarray(v, float)
-                f = z = np.full(len(pure), 1 / len(pure))
-                t = 1.0
-                for _ in range(rounds):
-                    new = on_simplex(z - step * (gram @ z - pure @ v))
-                    t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-                    z = new + (old - 1) / t * (new - f)
-                    if np.abs(new - f).max() < 1e-12:
-                        f = new
-                        break
-                    f = new
-                out.append(f.tolist())
-                rest.append(float(((v - f @ pure) ** 2).sum()))
-            yield pd.DataFrame({"key": pdf["key"], "fractions": out, "residual": rest})
+            if not len(pdf):
+                continue
+            x = np.stack(pdf["v"].to_numpy()).astype(float)
+            target = x @ pure.T
+            done = np.full(target.shape, 1 / len(pure))
+            live, f, z, t = np.arange(len(x)), done.copy(), done.copy(), 1.0
+            for _ in range(rounds):
+                new = on_simplex(z - step * (z @ gram - target[live]))
+                t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+                z = new + (old - 1) / t * (new - f)
+                on = np.abs(new - f).max(1) >= 1e-12
+                done[live] = new
+                live, f, z = live[on], new[on], z[on]
+                if not len(live):
+                    break
+            yield pd.DataFrame({"key": pdf["key"], "fractions": list(done), "residual": ((x - done @ pure) ** 2).sum(1)})
 
     return mixtures.select(F.col(key).alias("key"), F.col(vector).alias("v")).mapInPandas(run, f"key {kind}, fractions array<double>, residual double").withColumnRenamed("key", key)
 

@@ -22,6 +22,14 @@ def d_optimal(x: np.ndarray, n: int = 15, tries: int = 100, seed: int = 11) -> n
     return np.sort(max(draws, key=lambda d: np.linalg.det(z[d].T @ z[d])))
 
 
+def d_optimal_rows(df: DataFrame, key: str, cols: list[str], n: int = 15, tries: int = 100, seed: int = 11, most: int = 5000) -> DataFrame:
+    """(key) of the subset drawn with the largest determinant; subsets are drawn from at most `most` rows, those of least hash."""
+    rows = df.select(F.col(key), *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    few = rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(most).orderBy(key).toPandas()
+    kind = df.schema[key].dataType.simpleString()
+    return df.sparkSession.createDataFrame([(few[key][i].item(),) for i in d_optimal(few[cols].to_numpy(), n, tries, seed)], f"{key} {kind}")
+
+
 def bayes_grid(cells: np.ndarray, score: Callable[[list[int]], list[float]], rounds: int = 10, start: int = 15, target: tuple[float, float] | None = None, seed: int = 11) -> tuple[int, dict[int, float]]:
     """(best cell, scores of those tried): a D-optimal start, then each round the cell with the best chance of improving.
 

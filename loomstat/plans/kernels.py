@@ -49,18 +49,26 @@ def b9_preferred_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.orderBy(F.desc("draw"), "id").limit(10)
 
 
-_S = "SELECT s_suppkey AS id, s_nationkey / 12.0 AS a, (s_suppkey % 7) / 3.0 AS b FROM supplier"
+_S = "SELECT s_suppkey AS id, s_nationkey / 12.0 AS a, s_acctbal / 5000.0 AS b FROM supplier"
+_N = "SELECT n_nationkey AS node, n_nationkey / 12.0 AS a, (n_nationkey % 7) / 3.0 AS b FROM nation"
 _Q = "sqrt(power(u.a - v.a, 2) / 4 + power(u.b - v.b, 2))"
 
 
-@query(f"WITH s AS ({_S}) SELECT u.id AS i, v.id AS j, round(2 * exp(-(power(u.a - v.a, 2) / 4 + power(u.b - v.b, 2)) / 2), 6) AS gaussian, round(exp(-{_Q}), 6) AS matern_1, round((1 + sqrt(3) * {_Q}) * exp(-sqrt(3) * {_Q}), 6) AS matern_3, round((1 + sqrt(5) * {_Q} + 5 * power({_Q}, 2) / 3) * exp(-sqrt(5) * {_Q}), 6) AS matern_5, round(0.25 + u.a * v.a + u.b * v.b + 0.5 * (u.id = v.id)::INT, 6) AS dot FROM s u JOIN s v ON u.id <= 20 AND v.id <= 20")
+@query(f"WITH s AS ({_S}), n AS ({_N}) SELECT u.id, v.node, round(2 * exp(-(power(u.a - v.a, 2) / 4 + power(u.b - v.b, 2)) / 2), 6) AS gaussian, round(exp(-{_Q}), 6) AS matern_1, round((1 + sqrt(3) * {_Q}) * exp(-sqrt(3) * {_Q}), 6) AS matern_3, round((1 + sqrt(5) * {_Q} + 5 * power({_Q}, 2) / 3) * exp(-sqrt(5) * {_Q}), 6) AS matern_5, round(0.25 + u.a * v.a + u.b * v.b, 6) + 0.0 AS dot FROM s u, n v")
 def m5_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kernels between the first twenty suppliers: the report is the table of that many rows."""
-    top = table(spark, sf_dir, "supplier").where("s_suppkey <= 20").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") / 12.0).alias("a"), (F.col("s_suppkey") % 7 / 3.0).alias("b")).orderBy("id").toPandas()
-    x, ids = top[["a", "b"]].to_numpy(), top["id"].to_numpy()
+    """Kernels between all suppliers and one point a nation: a kernel's rows against the few points that a process rests on."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey").orderBy("n_nationkey").toPandas()["n_nationkey"].to_numpy()  # 25
+    points = np.stack([n / 12.0, n % 7 / 3.0], 1)
     named = {"gaussian": Constant(2.0) * RBF((2.0, 1.0)), "matern_1": Matern((2.0, 1.0), 0.5), "matern_3": Matern((2.0, 1.0), 1.5), "matern_5": Matern((2.0, 1.0), 2.5), "dot": Dot(0.5) + White(0.5)}
-    out = pd.DataFrame({"i": np.repeat(ids, len(ids)), "j": np.tile(ids, len(ids))} | {k: v.full(x)[0].ravel() for k, v in named.items()})
-    return spark.createDataFrame(out).withColumns({k: F.round(k, 6) for k in named})
+
+    def run(batches):
+        for pdf in batches:
+            x = pdf[["a", "b"]].to_numpy(float)
+            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), len(n)), "node": np.tile(n, len(x))} | {k: v.cross(x, points).ravel() for k, v in named.items()})
+
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") / 12.0).cast("double").alias("a"), (F.col("s_acctbal") / 5000.0).cast("double").alias("b"))
+    out = s.mapInPandas(run, "id long, node long, " + ", ".join(f"{k} double" for k in named))
+    return out.withColumns({k: F.round(k, 6) + 0.0 for k in named})
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..models.base import PLS, SVR
 from ..operators import learning as op
+from ..operators.kernel_choice import observations
 from ..operators.splits import folds, group_split
 from ..registry import query, table
 
@@ -54,8 +55,8 @@ def v8_mae_cce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def l1_l2_locally_weighted_pls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = _accounts(spark, sf_dir, "supplier").orderBy("id").toPandas()  # the model's own database
-    return op.locally_weighted_pls((train[_Z].to_numpy(), train["y"].to_numpy()), _accounts(spark, sf_dir, "customer"), "id", _Z)
+    """The database of the model is at most 2,000 suppliers, those of least hash."""
+    return op.locally_weighted_pls(observations(_accounts(spark, sf_dir, "supplier"), "id", _Z, "y", 2000), _accounts(spark, sf_dir, "customer"), "id", _Z)
 
 
 @query()

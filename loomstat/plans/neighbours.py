@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.normal import squared_distance
 from ..operators import metrics, ranking
 from ..operators import neighbours as op
+from ..operators.learning import gram_variances
 from ..registry import query, table
 
 _E = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
@@ -102,10 +103,9 @@ def m8_l1_similarity_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH e AS (SELECT s_acctbal / 1000 AS a, s_nationkey / 10.0 AS b FROM supplier), g AS (SELECT unnest([0.01, 0.1, 1.0])::DOUBLE AS gamma), d AS (SELECT power(x.a - y.a, 2) + power(x.b - y.b, 2) AS d2 FROM e x, e y)
 SELECT gamma, round(var_samp(exp(-gamma * d2)) * 100, 6) AS variance FROM d, g GROUP BY gamma""")
 def a19_l8_gram_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "supplier").select(F.array(F.col("s_acctbal") / 1000, F.col("s_nationkey") / F.lit(10.0)).alias("v"))
-    a, b = p.select(F.col("v").alias("a")), p.select(F.col("v").alias("b"))  # all pairs of a tuning table
-    pairs = a.crossJoin(b).select(squared_distance(F.col("a"), F.col("b")).alias("d2"), F.explode(F.array(F.lit(0.01), F.lit(0.1), F.lit(1.0))).alias("gamma"))
-    return pairs.groupBy("gamma").agg(F.round(F.var_samp(F.exp(-F.col("gamma") * F.col("d2"))) * 100, 6).alias("variance"))
+    p = table(spark, sf_dir, "supplier").select((F.col("s_acctbal") / 1000).alias("a"), (F.col("s_nationkey") / F.lit(10.0)).cast("double").alias("b"))
+    gammas = [0.01, 0.1, 1.0]
+    return spark.createDataFrame([(g, round(float(v) * 100, 6)) for g, v in zip(gammas, gram_variances(p, ["a", "b"], gammas, scaled=False))], "gamma double, variance double")
 
 
 @query(_R + """, s AS (SELECT i, avg(d) AS m FROM n GROUP BY i), t AS (SELECT m FROM s QUALIFY row_number() OVER (ORDER BY m) = (SELECT round_even(count(*) * 0.9, 0) FROM s))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normal
 from ..operators import optimization as op
+from ..operators.kernel_choice import observations
 from ..registry import query, table
 
 _MU, _SD = "((p_retailprice - 1000) / 500)::DOUBLE", "(p_size / 25.0)::DOUBLE"
@@ -37,16 +38,16 @@ def b4_m19_joint_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def b1_proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").orderBy("s_suppkey").toPandas()  # the observations of a campaign
+    x, y = observations(table(spark, sf_dir, "supplier"), "s_suppkey", ["s_nationkey"], "s_acctbal")
     pool = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("double").alias("nation"))
-    return op.propose(s[["s_nationkey"]].to_numpy(float), s["s_acctbal"].to_numpy(float), pool, "c_custkey", ["nation"])
+    return op.propose(x, y, pool, "c_custkey", ["nation"])
 
 
 @query()
 def b10_batch_proposal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").orderBy("s_suppkey").toPandas()
+    x, y = observations(table(spark, sf_dir, "supplier"), "s_suppkey", ["s_nationkey"], "s_acctbal")
     pool = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"))
-    keys = op.propose_batch(s[["s_nationkey"]].to_numpy(float), s["s_acctbal"].to_numpy(float), pool, "p_partkey", ["size"], 3)
+    keys = op.propose_batch(x, y, pool, "p_partkey", ["size"], 3)
     return spark.createDataFrame([(int(k), i) for i, k in enumerate(keys)], "p_partkey long, place int")
 
 

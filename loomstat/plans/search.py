@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..models.base import PLS, Ridge
-from ..operators import mixtures, search
-from ..operators.relational import preference_pairs
+from ..models.base import Ridge
+from ..operators import kernel_choice, mixtures, search
 from ..operators.splits import folds
 from ..registry import query, table
 
@@ -20,8 +20,7 @@ def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def r11_d_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _accounts(spark, sf_dir).orderBy("id").toPandas()  # a grid of candidates
-    return spark.createDataFrame([(int(x["id"][i]),) for i in search.d_optimal(x[["nation", "rest"]].to_numpy())], "id long")
+    return search.d_optimal_rows(_accounts(spark, sf_dir), "id", ["nation", "rest"])
 
 
 @query()
@@ -33,13 +32,19 @@ def b2_grid_by_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def b6_preference_process(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _accounts(spark, sf_dir).withColumn("g", F.floor(F.col("rest")))
-    pairs = preference_pairs(df, "id", "g", "y").toPandas()  # of the observed rows
-    x = df.orderBy("id").toPandas()
-    at = {k: i for i, k in enumerate(x["id"])}
-    p = search.PreferenceProcess(x[["nation", "rest"]].to_numpy() / [10, 3], np.array([[at[a], at[b]] for a, b in zip(pairs["winner"], pairs["loser"])]))
-    mu, sd = p.predict_both(x[["nation", "rest"]].to_numpy() / [10, 3])
-    return spark.createDataFrame([(int(i), float(m), float(s)) for i, m, s in zip(x["id"], mu, sd)], "id long, mu double, sd double")
+    """(id, mu, sd) of all suppliers, scored where they lie; the preferences of the observations (`kernel_choice.MOST` at most) are within groups."""
+    df = _accounts(spark, sf_dir)
+    x, y = kernel_choice.observations(df, "id", ["nation", "rest"], "y")
+    pairs = kernel_choice.preferences(y)
+    pairs = pairs[x[pairs[:, 0], 1] == x[pairs[:, 1], 1]]
+    p = search.PreferenceProcess(x / [10, 3], pairs)
+
+    def run(batches):
+        for pdf in batches:
+            mu, sd = p.predict_both(pdf[["nation", "rest"]].to_numpy(float) / [10, 3])
+            yield pd.DataFrame({"id": pdf["id"], "mu": mu, "sd": sd})
+
+    return df.select("id", "nation", "rest").mapInPandas(run, "id long, mu double, sd double")
 
 
 @query()
@@ -50,9 +55,16 @@ def f11_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def v10_one_class_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _accounts(spark, sf_dir).orderBy("id").toPandas()
-    m, state, limit = search.support_domain(x[["nation", "rest"]].to_numpy(), [0.01, 0.1, 1.0])
-    return spark.createDataFrame([(int(i), float(v)) for i, v in zip(x["id"], m.predict(state, x[["nation", "rest"]].to_numpy()) - limit)], "id long, domain double")
+    """(id, domain) of all suppliers; the support is fitted to at most `kernel_choice.MOST` of them."""
+    df = _accounts(spark, sf_dir)
+    x, _ = kernel_choice.observations(df, "id", ["nation", "rest"], "y")
+    m, state, limit = search.support_domain(x, [0.01, 0.1, 1.0])
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "domain": m.predict(state, pdf[["nation", "rest"]].to_numpy(float)) - limit})
+
+    return df.select("id", "nation", "rest").mapInPandas(run, "id long, domain double")
 
 
 @query()
