@@ -32,10 +32,13 @@ class _Cross:
 
 def fold_products(df: DataFrame, cols: list[str], y: str, fold: Column) -> dict[int, np.ndarray]:
     """For each fold the (p + 2, p + 2) sums of products of (1, cols, y) of its rows without nulls. The number of folds is small."""
-    rows = vectors(df, [*cols, y], fold)
-    every = [r["fold"] for r in rows.select("fold").distinct().collect()]
-    side = len(cols) + 2
-    return {f: s.reshape(side, side) for f, s in gathered(rows, {f: _Cross(f) for f in every}).items()}
+    return products_of(vectors(df, [*cols, y], fold))
+
+
+def products_of(rows: DataFrame) -> dict[int, np.ndarray]:
+    """The same from a written table (v, fold) of vectors that end with the target."""
+    every = [r["fold"] for r in rows.select("fold").distinct().collect()]  # folds
+    return {f: s.reshape(int(len(s) ** 0.5), -1) for f, s in gathered(rows, {f: _Cross(f) for f in every}).items()}
 
 
 def solve(model: Linear, products: np.ndarray, factors: np.ndarray | None = None) -> np.ndarray:

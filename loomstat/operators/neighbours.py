@@ -7,46 +7,111 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import keep
+
 #: Points of a block; a task holds one block of queries and one of references.
 BLOCK = 2048
+#: Pivots at most; with more blocks than that a cell is met in parts.
+PIVOTS = 1024
 
 
-def _distances(q: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and distances of the k nearest of r for each of q; a product picks a few more, their differences decide."""
-    rough = (q * q).sum(1)[:, None] + (r * r).sum(1)[None] - 2 * q @ r.T
-    most = min(len(r), k + 8)
-    near = np.argpartition(rough, most - 1, axis=1)[:, :most] if most < len(r) else np.broadcast_to(np.arange(len(r)), (len(q), len(r)))
-    out = np.empty(near.shape)
-    for a in range(0, len(q), 256):
-        out[a : a + 256] = np.sqrt(((q[a : a + 256, None] - r[near[a : a + 256]]) ** 2).sum(2))
-    return near, out
+def _distances(q: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, reference, distance) of all pairs as near as a query's k-th: a product finds them with some slack, ties included, differences measure them."""
+    norm = (q * q).sum(1)[:, None] + (r * r).sum(1)[None]
+    rough = norm - 2 * q @ r.T
+    last = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] if k < len(r) else np.full((len(q), 1), np.inf)
+    i, j = np.nonzero(rough <= last + 1e-9 * norm)
+    d = np.empty(len(i))
+    for a in range(0, len(i), 1 << 16):
+        s = slice(a, a + (1 << 16))
+        d[s] = np.sqrt(((q[i[s]] - r[j[s]]) ** 2).sum(1))
+    return i, j, d
 
 
 def nearest(queries: DataFrame, references: DataFrame, k: int, key: str = "id", vector: str = "v", skip_self: bool = True, block: int = BLOCK) -> DataFrame:
     """(i, j, d, rank): the k nearest references of every query, by distance, then key; never a row with the query's own key if skip_self.
 
-    Exact. Both sides are dealt to blocks; each pair of blocks is a task that returns k rows a query, and the ranks are taken
-    over those.
+    Exact. References are dealt to cells, those of their nearest pivot; pivots are references of least hash, about one a block and
+    PIVOTS at most. A query first meets its own cell, which bounds how far its neighbours can be; then only cells that may
+    hold something as near, by their radius and by the plane between the pivots. A cell that outgrows a block is met in parts, and a task
+    compares one block of queries with one part.
     """
-    n_q, n_r = queries.count(), references.count()
-    bq, br = max(1, -(-n_q // block)), max(1, -(-n_r // block))
-    deal = lambda df, b: df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(b)).cast("int").alias("b"))
-    q = deal(queries, bq).select("id", "v", F.col("b").alias("bq"), F.explode(F.sequence(F.lit(0), F.lit(br - 1))).alias("br"))
-    r = deal(references, br).select("id", "v", F.col("b").alias("br"), F.explode(F.sequence(F.lit(0), F.lit(bq - 1))).alias("bq"))
+    kind = queries.schema[key].dataType.simpleString()
+    plain = lambda df: df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    first = plain(references)
+    n = first.count()
+    if n == 0:
+        return queries.sparkSession.createDataFrame([], f"i {kind}, j {kind}, d double, rank int")
+    few = first.orderBy(F.xxhash64(F.lit(1), "id")).limit(min(PIVOTS, -(-n // block))).collect()
+    pivots = np.array([r["v"] for r in few])
+
+    def to_pivots(x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * x @ pivots.T))
+
+    def assigned(df: DataFrame) -> DataFrame:
+        def run(batches):
+            for pdf in batches:
+                d = to_pivots(np.stack(pdf["v"].to_numpy())) if len(pdf) else np.zeros((0, len(pivots)))
+                cell = d.argmin(1)
+                yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "cell": cell, "far": d[np.arange(len(d)), cell]})
+
+        said = f"id {df.schema['id'].dataType.simpleString()}, v array<double>, cell int, far double"
+        return keep(df.mapInPandas(run, said), "cells")
+
+    own, there = assigned(plain(queries)), assigned(first)
+    of = {r["cell"]: (r["n"], r["r"]) for r in there.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("r")).collect()}  # a cell a row
+    parts = {c: -(-m // block) for c, (m, _) in of.items()}
+    found = keep(_met(own.where(F.col("cell").isin(list(of))).select("id", "v", "cell"), there, parts, k, skip_self, block), "near")
+    if len(pivots) > 1:
+        bound = found.groupBy("i").agg(F.sort_array(F.collect_list("d")).alias("d")).select(F.col("i").alias("id"), F.get("d", F.lit(k - 1)).alias("bound"))
+        between = np.sqrt(np.maximum(0, (pivots * pivots).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * pivots @ pivots.T))
+        radius = np.array([of.get(c, (0, -np.inf))[1] for c in range(len(pivots))])
+
+        def reached(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                d, at = to_pivots(np.stack(pdf["v"].to_numpy())), pdf["cell"].to_numpy()
+                mine = d[np.arange(len(d)), at][:, None]
+                plane = (d * d - mine * mine) / (2 * np.maximum(between[at], 1e-300))
+                least = np.maximum(np.where(between[at] > 0, plane, 0), d - radius)
+                slack = 1e-6 * (1 + d.max(1))[:, None]  # products round
+                go = least <= pdf["bound"].fillna(np.inf).to_numpy()[:, None] + slack
+                go[np.arange(len(d)), at] = False
+                q, c = np.nonzero(go & np.isfinite(radius))
+                yield pd.DataFrame({"id": pdf["id"].to_numpy()[q], "v": pdf["v"].to_numpy()[q], "cell": c})
+
+        more = own.join(bound, "id", "left").select("id", "v", "cell", "bound").mapInPandas(reached, f"id {kind}, v array<double>, cell int")
+        found = found.unionByName(_met(keep(more, "reached"), there, parts, k, skip_self, block))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
+
+
+def _met(queries: DataFrame, references: DataFrame, parts: dict[int, int], k: int, skip_self: bool, block: int) -> DataFrame:
+    """(i, j, d): for each query (id, v, cell) of a written table its k nearest in every part of that cell."""
+    blocks = {r["cell"]: -(-r["count"] // block) for r in queries.groupBy("cell").count().collect()}  # a cell a row
+    number = lambda m: F.coalesce(F.create_map(*[F.lit(int(x)) for pair in m.items() for x in pair])[F.col("cell")], F.lit(0)) if m else F.lit(0)
+    deal = lambda n: F.pmod(F.xxhash64(F.lit(2), "id"), n).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    q = queries.where(number(parts) > 0).select("id", "v", "cell", deal(number(blocks)).alias("bq"), all_of(number(parts)).alias("br"))
+    r = references.where(number(blocks) > 0).select("id", "v", "cell", all_of(number(blocks)).alias("bq"), deal(number(parts)).alias("br"))
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"i": [], "j": [], "d": []})
-        place, d = _distances(np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy()), k + skip_self)
-        i, j = np.repeat(a["id"].to_numpy(), place.shape[1]), b["id"].to_numpy()[place.ravel()]
-        out = pd.DataFrame({"i": i, "j": j, "d": d.ravel()})
+        i, j, d = _distances(np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy()), k + skip_self)
+        mine, theirs = a["id"].to_numpy(), b["id"].to_numpy()
         if skip_self:
-            out = out[out["i"] != out["j"]]
-        return out.sort_values(["i", "d", "j"]).groupby("i").head(k)
-
-    kind = queries.schema[key].dataType.simpleString()
-    found = q.groupBy("bq", "br").cogroup(r.groupBy("bq", "br")).applyInPandas(pair, f"i {kind}, j {kind}, d double")
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
+            other = mine[i] != theirs[j]
+            i, j, d = i[other], j[other], d[other]
+        by_key = np.argsort(np.argsort(theirs, kind="stable"), kind="stable")
+        order = np.lexsort((by_key[j], d, i))
+        i, j, d = i[order], j[order], d[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i, "left")
+        return pd.DataFrame({"i": mine[i], "j": theirs[j], "d": d})[place < k]
+
+    side = lambda df: df.schema["id"].dataType.simpleString()
+    at = ("cell", "bq", "br")
+    return q.groupBy(*at).cogroup(r.groupBy(*at)).applyInPandas(pair, f"i {side(queries)}, j {side(references)}, d double")
 
 
 def midpoints(points: DataFrame, neighbours: DataFrame, key: str, vector: str, y: str) -> DataFrame:

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import keep
+
 #: Rows up to which Kennard-Stone runs in one numpy step.
 SMALL = 20_000
 
@@ -16,15 +18,33 @@ def shuffled(key: str, seed: int) -> list[Column]:
     return [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
 
 
+def placed(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """df with the place of each row, from 0, in that order: rows are range-partitioned and sorted in their tasks, and each partition
+    begins where those before it end. A written table; equal rows of `order` may take any turn."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    rows = keep(dealt, "placed")
+    part = F.shiftright("__id", 33)
+    sizes = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # a number a partition
+    begins, total = [], 0
+    for p, n in sizes:
+        begins += [F.lit(p), F.lit(total)]
+        total += n
+    if not begins:
+        return rows.withColumn(name, F.lit(0).cast("long")).drop("__id")
+    begin = F.create_map(*begins)[part]
+    return rows.withColumn(name, (begin + F.col("__id").bitwiseAND((1 << 33) - 1)).cast("long")).drop("__id")
+
+
 def folds(df: DataFrame, key: str, n: int, seed: int = 0, stratify: str | None = None, order: list[Column] | None = None) -> DataFrame:
     """df with `fold` from 0 to n - 1; sizes differ by one at most, within each stratum if given.
 
     Without a stratum or an order, rows are ranked within 64 buckets of a hash, so that no task ranks the whole table; each
     bucket deals on from another fold, and fold sizes differ by a few rows.
     """
-    if order or stratify:
-        w = Window.partitionBy(stratify) if stratify else Window.partitionBy(F.lit(0))
-        return df.withColumn("fold", ((F.row_number().over(w.orderBy(*(order or shuffled(key, seed)))) - 1) % n).cast("int"))
+    if stratify:
+        return df.withColumn("fold", ((F.row_number().over(Window.partitionBy(stratify).orderBy(*(order or shuffled(key, seed)))) - 1) % n).cast("int"))
+    if order:
+        return placed(df, order, "__place").withColumn("fold", (F.col("__place") % n).cast("int")).drop("__place")
     bucket = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key)), F.lit(64))
     dealt = df.withColumn("__b", bucket).withColumn("fold", ((F.row_number().over(Window.partitionBy("__b").orderBy(*shuffled(key, seed))) - 1 + F.col("__b")) % n).cast("int"))
     return dealt.drop("__b")
@@ -103,6 +123,8 @@ def kennard_stone(df: DataFrame, key: str, vector: str, n: int) -> DataFrame:
             if len(picks) % 10 == 0:
                 far = _cut(far)
             top = far.where(~F.col("k").isin(picks)).orderBy(F.desc("d"), "k").limit(1).first()
+            if top is None:  # fewer rows than picks
+                break
             picks.append(top["k"])
             vectors.append(top["v"])
     return spark.createDataFrame([(k, i) for i, k in enumerate(picks)], f"{key} {base.schema['k'].dataType.simpleString()}, place int")

@@ -79,6 +79,23 @@ def test_nearest_over_blocks(spark):
     assert (got["j"].to_numpy().reshape(90, 4) == np.argsort(d, 1)[:, :4]).all()
 
 
+@pytest.mark.parametrize("block", [8, 30, 500])
+def test_nearest_by_cells_is_exact(spark, monkeypatch, block):
+    """Clusters, copies, ties and a hot cell; queries other than the references; fewer references than k."""
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.normal(size=(40, 2)) * 0.1, rng.normal(size=(40, 2)) + 9, np.zeros((30, 2)), rng.integers(0, 3, (30, 2))]).astype(float)
+    q = np.vstack([x[::9], rng.normal(size=(10, 2)) * 20])
+    refs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    ask = spark.createDataFrame([(1000 + i, v.tolist()) for i, v in enumerate(q)], "id long, v array<double>")
+    monkeypatch.setattr(neighbours, "PIVOTS", 6)
+    got = neighbours.nearest(ask, refs, 5, block=block).orderBy("i", "rank").toPandas()
+    d = np.sqrt(((q[:, None] - x[None]) ** 2).sum(2))
+    want = np.stack([np.lexsort((np.arange(len(x)), row))[:5] for row in d])
+    assert (got["j"].to_numpy().reshape(len(q), 5) == want).all() and np.allclose(got["d"], np.take_along_axis(d, want, 1).ravel())
+    assert neighbours.nearest(ask, refs.limit(3), 5, block=block).count() == 3 * len(q)
+    assert neighbours.nearest(ask, refs.limit(0), 5, block=block).count() == 0
+
+
 def test_kennard_stone(spark, samples, monkeypatch):
     df = samples[0].select("id", F.array("a", "b", "c").alias("v"))
     small = splits.kennard_stone(df, "id", "v", 12).orderBy("place").toPandas()["id"].tolist()

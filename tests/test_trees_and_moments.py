@@ -131,6 +131,24 @@ def test_inner_choice_and_power(table):
     assert r2[best] == max(r2.values()) and len(r2) == 3
 
 
+def test_places_and_permuted_targets(spark, table):
+    df, pdf = table
+    got = splits.placed(df, [F.desc("a"), F.col("id")]).toPandas().sort_values("place")
+    assert got["place"].tolist() == list(range(500)) and (np.diff(got["a"]) <= 0).all()
+    assert splits.placed(df.limit(0), [F.col("a")]).count() == 0
+    assert splits.folds(df, "id", 7, order=[F.col("id")]).where("fold <> id % 7").count() == 0
+    moved = learning.permuted_targets(df, "id", ["a", "b", "c"], "y", 3, 0).toPandas()
+    true = moved[moved["repeat"] == -1].set_index("place").sort_index()
+    for r in range(3):
+        own = moved[moved["repeat"] == r].set_index("place").sort_index()
+        assert (own[["a", "b", "c"]].to_numpy() == true[["a", "b", "c"]].to_numpy()).all()
+        assert sorted(own["y"]) == sorted(true["y"]) and (own["y"] != true["y"]).mean() > 0.9
+    rand = learning.y_randomization(df, [PLS(1), PLS(3)], "id", ["a", "b", "c"], "y", 4).toPandas().set_index("repeat")
+    assert len(rand) == 5 and rand["r2"][-1] > 0.99 and (rand["r2"].drop(-1) < 0.1).all()
+    state = learning.scaled_fit(PLS(3), pdf[["a", "b", "c"]].to_numpy(), pdf["y"].to_numpy())
+    assert np.isclose(rand["mae"][-1], np.abs(pdf["y"] - learning.scaled_predict(PLS(3), state, pdf[["a", "b", "c"]].to_numpy())).mean(), rtol=0.05)
+
+
 @pytest.mark.parametrize("name", ["l4_best_splits", "v1_linear_grid", "v4_linear_double", "g9_single_component", "g7_output_density", "g5_g6_components"])
 def test_twins_on_more_rows(spark, name):
     from tests.test_oracle import TABLES, rows
