@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return the columns of
 documents; the last adds the pieces of each text.
+
+Defined results: a null or empty text has no letter, so the first stage drops it; very long texts go through whole; rows that
+repeat id and text leave one row, rows that repeat an id with other texts are judged each by its own text; of equal texts the
+longest original stays, then the least id (null last); of near copies the least id; an empty table gives an empty table with the same columns; other columns
+pass through unchanged, but those named like the ones that the last stage adds are replaced.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ small system is solved. Rows are scored by the fold that did not see them, those
 step function through the bins calibrates the scores.
 
 Defined results: a null or empty text has statistics and a score like any other; without labels every score is 0.5;
-labels without a quality are left out; a repeated label counts again; an empty table gives an empty table.
+labels without a quality are left out; a repeated label counts again, and a repeated row is scored again with the same
+score; equal scores keep no order, 0.5 counts as label 1; very long texts are read whole, in slices; an empty table gives an empty table; other
+columns of the input, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
