@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep
-from .textbytes import slices
+from .textbytes import let_go, slices
 
 BUCKET_BITS = 12
 SHARPNESS = 4.0
@@ -71,6 +71,7 @@ def _trigrams(data: np.ndarray) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go("language")
     for b in batches:
         for at, data, offsets in slices(b.column("text")):
             grams = _trigrams(data)
@@ -180,6 +181,7 @@ def fit_language_model(docs: DataFrame, train: Column, text_col: str = "text", l
 
 def _score(model: LanguageModel, text_field: str | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("language")
         for b in batches:
             for at, data, offsets in slices(b.column("text") if text_field is None else b.column("row").field(text_field)):
                 lang, score = model.choose(model.margins(data, offsets))

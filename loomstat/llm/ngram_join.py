@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep, one_row_each
-from .textbytes import U64, folded, mix, slices, span_hashes
+from .textbytes import U64, folded, let_go, mix, slices, span_hashes
 
 #: Nodes of one segment compared in one block; fewer where sets are large (see _block_size).
 BLOCK = 1024
@@ -150,6 +150,7 @@ def _profile(width: int):
     """(id, mark, one, two, n) of every text: its set's sums and size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("ngram-join")
         for b in batches:
             for at, data, offsets in slices(b.column("text")):
                 hashes, cuts = shingle_sets(data, offsets, width)
@@ -186,6 +187,7 @@ def _send(width: int, bins: int, clashing: np.ndarray):
     """A row a slice of texts and bin: the segments of the slice's nodes that belong to the bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go("ngram-join")
         seen: set[int] = set()
         for b in batches:
             for _, data, offsets in slices(b.column("text"), SLICE):

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keep
-from .textbytes import U64, ranges, slices, span_hashes
+from .textbytes import CACHES, U64, ranges, slices, span_hashes
 
 MARK = "▁"
 #: Characters of a unit whose places fit a state.
@@ -367,7 +367,7 @@ def dictionary(units: DataFrame, table: PieceTable) -> Dictionary:
     return Dictionary(keys, proof, ids.flatten().to_numpy().astype(np.int32), np.diff(ids.offsets.to_numpy()).astype(np.int64))
 
 
-_encoders: dict[str, tuple[int, LatticeEncoder]] = {}
+_encoders: dict[str, tuple[int, LatticeEncoder]] = CACHES.setdefault("sentencepiece", {})
 
 
 def encoder(table: PieceTable, frequent: Broadcast) -> LatticeEncoder:

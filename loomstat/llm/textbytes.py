@@ -45,6 +45,19 @@ def slices(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[
     give_back()
 
 
+#: What worker processes keep between tasks, by operator.
+CACHES: dict[str, dict] = {}
+
+
+def let_go(owner: str) -> None:
+    """Drop what other operators have left in this worker: a worker serves one stage of a pipeline after the other."""
+    left = [c for name, c in CACHES.items() if name != owner and c]
+    for c in left:
+        c.clear()
+    if left:
+        give_back()
+
+
 def give_back() -> None:
     """Return freed memory to the system: reused workers would hold the most that any of their tasks has needed."""
     with contextlib.suppress(OSError, AttributeError):
