@@ -12,6 +12,7 @@ from typing import Any, Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +40,6 @@ def vectors(df: DataFrame, cols: list[str], fold: Column | None = None) -> DataF
     return keep(df.dropna(subset=cols).select(v.alias("v"), (F.lit(-1) if fold is None else fold).cast("int").alias("fold")), "vectors")
 
 
-def _rows(pdf: pd.DataFrame) -> np.ndarray:
-    return np.stack(pdf["v"].to_numpy()).astype(float)
-
-
 def gathered(rows: DataFrame, cells: dict[int, Any]) -> dict[int, np.ndarray]:
     """The total of each cell's `sums` over the rows(v, fold) outside of its fold (of its fold, if it says `inside`), in one scan.
     A cell without rows is missing."""
@@ -50,22 +47,22 @@ def gathered(rows: DataFrame, cells: dict[int, Any]) -> dict[int, np.ndarray]:
 
     def run(batches):
         total: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            if not len(pdf):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x, fold = _rows(pdf), pdf["fold"].to_numpy()
+            x, fold = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1), batch.column("fold").to_numpy()
             for k, cell in sent.value.items():
                 own = x if cell.fold is None else x[(fold == cell.fold) == getattr(cell, "inside", False)]
                 if len(own):
                     s = cell.sums(own)
                     total[k] = total[k] + s if k in total else s
-        yield pd.DataFrame({"cell": list(total), "s": [s.tobytes() for s in total.values()]})
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([s.tobytes() for s in total.values()], pa.binary())], ["cell", "s"])
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"cell": [key[0]], "s": [sum(np.frombuffer(s) for s in pdf["s"]).tobytes()]})
 
     kind = "cell long, s binary"
-    found = rows.mapInPandas(run, kind).groupBy("cell").applyInPandas(add, kind).collect()  # one array a cell
+    found = rows.mapInArrow(run, kind).groupBy("cell").applyInPandas(add, kind).collect()  # one array a cell
     sent.unpersist()
     return {r["cell"]: np.frombuffer(r["s"]) for r in found}
 

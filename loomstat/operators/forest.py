@@ -110,7 +110,7 @@ def _histogram(rows: DataFrame, forest: Forest, level: int, bags: range, subsets
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bins = np.stack(batch.column("bins").to_numpy(zero_copy_only=False)).astype(np.int64)
+            bins = batch.column("bins").flatten().to_numpy().reshape(batch.num_rows, p).astype(np.int64)
             t = _targets(batch.column("y").to_numpy(zero_copy_only=False), f.classes)
             h = batch.column("h").to_numpy()
             for i, bag in enumerate(bags):
