@@ -68,9 +68,18 @@ def rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
     return np.exp(-gamma * np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T))
 
 
+#: Distinct points up to which a fit holds their kernel matrix (128 MB); beyond, columns are computed as they are met.
+HELD = 4096
+
+
 @dataclass(frozen=True)
 class SVR:
-    """Epsilon support vector regression with a Gaussian kernel, by coordinate steps on the dual (bias in the kernel)."""
+    """Epsilon support vector regression with a Gaussian kernel, by coordinate steps on the dual (bias in the kernel).
+
+    Rows at one point share their column of the kernel, so they move together: what they carry falls by c wherever the estimate
+    passes y - epsilon or y + epsilon of a row, and a step finds the exact place on that staircase. Memory grows with the rows, not
+    with their pairs.
+    """
 
     c: float = 3.0
     epsilon: float = 0.1
@@ -79,25 +88,34 @@ class SVR:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         my = y.mean()
-        k = rbf(x, x, self.gamma) + 1.0
-        beta, f, t = np.zeros(len(x)), np.zeros(len(x)), y - my
+        points, at = np.unique(x, axis=0, return_inverse=True)
+        order = np.lexsort((y, at.ravel()))
+        ends = np.cumsum(np.bincount(at.ravel(), minlength=len(points)))
+        k = rbf(points, points, self.gamma) + 1.0 if len(points) <= HELD else None
+        stairs = []
+        for t in np.split(y[order] - my, ends[:-1]):
+            edges = np.sort(np.concatenate([t - self.epsilon, t + self.epsilon]))
+            level = self.c * (len(t) - np.arange(len(edges) + 1.0))  # before the first edge, after each
+            stairs.append((edges, level, edges - 2.0 * level[1:]))
+        beta, f = np.zeros(len(points)), np.zeros(len(points))
         for _ in range(self.rounds):
             moved = 0.0
-            for i in range(len(x)):
-                g = t[i] - f[i] + k[i, i] * beta[i]
-                new = np.sign(g) * max(0.0, abs(g) - self.epsilon) / k[i, i]
-                new = min(self.c, max(-self.c, new))
+            for i, (edges, level, reach) in enumerate(stairs):
+                rest = f[i] - 2.0 * beta[i]  # the kernel of a point with itself is 2
+                m = reach.searchsorted(rest)
+                new = level[-1] if m == len(edges) else min(level[m], max(level[m + 1], (edges[m] - rest) / 2.0))
                 if new != beta[i]:
-                    f += (new - beta[i]) * k[:, i]
+                    f += (new - beta[i]) * (k[i] if k is not None else rbf(points, points[i : i + 1], self.gamma)[:, 0] + 1.0)
                     moved = max(moved, abs(new - beta[i]))
                     beta[i] = new
             if moved < 1e-5:
                 break
         on = beta != 0
-        return x[on], beta[on], float(my)
+        return points[on], beta[on], float(my)
 
     def predict(self, state: tuple[np.ndarray, np.ndarray, float], x: np.ndarray) -> np.ndarray:
-        return (rbf(x, state[0], self.gamma) + 1.0) @ state[1] + state[2]
+        step = max(1, (1 << 21) // max(1, len(state[0])))
+        return np.concatenate([(rbf(x[a : a + step], state[0], self.gamma) + 1.0) @ state[1] for a in range(0, len(x), step)] or [np.zeros(0)]) + state[2]
 
 
 @dataclass(frozen=True)
