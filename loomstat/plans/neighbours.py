@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.normal import squared_distance
 from ..operators import metrics, ranking
 from ..operators import neighbours as op
+from ..operators.gaps import median_gap
 from ..operators.learning import gram_variances
 from ..registry import query, table
 
@@ -120,7 +121,5 @@ def l7_unlabelled_within_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT round(coalesce(median(n) FILTER (n > 0), 1), 4) AS nation, round(coalesce(median(y) FILTER (y > 0), 1), 4) AS balance FROM d""")
 def b7_median_length_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
-    pairs = s.alias("a").join(s.alias("b"), F.col("a.s_suppkey") < F.col("b.s_suppkey"))
-    gap = lambda c: F.abs(F.col(f"a.{c}") - F.col(f"b.{c}"))
-    scale = lambda c: F.round(F.coalesce(F.median(F.when(gap(c) > 0, gap(c))), F.lit(1.0)), 4)
-    return pairs.agg(scale("s_nationkey").alias("nation"), scale("s_acctbal").alias("balance"))
+    gaps = [median_gap(s, "s_suppkey", c) for c in ("s_nationkey", "s_acctbal")]
+    return spark.createDataFrame([tuple(1.0 if g is None else g for g in gaps)], "nation double, balance double").select(F.round("nation", 4).alias("nation"), F.round("balance", 4).alias("balance"))

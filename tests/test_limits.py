@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from loomstat.models.base import SVR, rbf
+from loomstat.operators import gaps
 
 
 def _primal(model: SVR, state: tuple, x: np.ndarray, y: np.ndarray) -> float:
@@ -44,3 +45,35 @@ def test_a_fit_takes_no_matrix_of_all_pairs():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 200e6  # all pairs: 3.2 GB
+
+
+def _median_gap(k: np.ndarray, v: np.ndarray) -> float:
+    i, j = np.triu_indices(len(v), 1)
+    d = np.abs(v[i] - v[j])[k[i] != k[j]]
+    return float(np.median(d[d > 0]))
+
+
+def test_median_gap_without_pairs(spark):
+    rng, blocks = np.random.default_rng(3), 3
+    for n, v, same in ((404, rng.normal(size=404), 0), (300, rng.integers(0, 3, 300) * 0.1, 20)):
+        k = np.where(np.arange(n) % 40 >= same, np.arange(n), np.arange(n) // 20)  # rows may share a key
+        df = spark.createDataFrame([*zip(k.tolist(), v.tolist()), (None, 5.0), (9999, None)], "k int, v double")
+        assert gaps.median_gap(df, "k", "v", blocks) == pytest.approx(_median_gap(k, v), rel=1e-15)
+    assert gaps.median_gap(spark.createDataFrame([(1, 2.0), (2, 2.0)], "k int, v double"), "k", "v") is None
+
+
+def test_median_gap_meets_few_blocks(spark, monkeypatch):
+    met = []
+    own = gaps._Gaps.counted
+
+    def seen(self, bounds):
+        met.append(int(((self.least <= bounds[-1]) & (self.most > bounds[0])).sum()))
+        return own(self, bounds)
+
+    monkeypatch.setattr(gaps._Gaps, "counted", seen)
+    v = np.random.default_rng(4).normal(size=8_000)
+    got = gaps.median_gap(spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "k int, v double"), "k", "v", 100)
+    d = np.sort(v)
+    assert max(met) < 5 * 100  # of 5,050 pairs of blocks
+    below = (np.searchsorted(d, d + got, "right") - np.arange(1, len(d) + 1)).sum()
+    assert abs(int(below) - len(d) * (len(d) - 1) // 4) <= 1
