@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,10 @@ from ..tables import keep
 BLOCK = 2048
 #: Pivots at most; with more blocks than that a cell is met in parts.
 PIVOTS = 1024
+#: Rows of a chunk at most: a task holds one of queries and one of references beyond the own cell.
+CHUNK = 65_536
+#: Rows of each side that are compared at a time.
+TILE = 2048
 
 
 def _distances(q: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -28,32 +33,128 @@ def _distances(q: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return i, j, d
 
 
+def _matrix(rows: pa.Table) -> np.ndarray:
+    return rows.column("v").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+
+
+def _first(i: np.ndarray, j: np.ndarray, d: np.ndarray, by_key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, d, place) of the first k of each i by d, then key."""
+    order = np.lexsort((by_key[j], d, i))
+    i, j, d = i[order], j[order], d[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i, "left")
+    return i[place < k], j[place < k], d[place < k], place[place < k]
+
+
+class _Cells:
+    """Pivots, the radii of their cells, and what a query may find in them."""
+
+    def __init__(self, pivots: np.ndarray, radius: np.ndarray) -> None:
+        self.pivots, self.radius = pivots, radius
+        self.between = np.sqrt(np.maximum(0, (pivots * pivots).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * pivots @ pivots.T))
+
+    def to_pivots(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (self.pivots * self.pivots).sum(1) - 2 * x @ self.pivots.T))
+
+    def reached(self, x: np.ndarray, at: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Whether the cells other than its own may hold something as near to each of a few rows as its bound: their radius and the plane
+        between the pivots tell."""
+        d, between = self.to_pivots(x), self.between[at]
+        mine = d[np.arange(len(d)), at][:, None]
+        plane = (d * d - mine * mine) / (2 * np.maximum(between, 1e-300))
+        least = np.maximum(np.where(between > 0, plane, 0), d - self.radius)
+        go = (least <= bound[:, None] + 1e-6 * (1 + d.max(1))[:, None]) & np.isfinite(self.radius)  # products round
+        go[np.arange(len(d)), at] = False
+        return go
+
+
+def _far(left: pa.Table, right: pa.Table, cells: _Cells, k: int, skip_self: bool) -> pa.Table:
+    """(i, j, d): for each query (id, v, cell, bound) of a chunk its k nearest among a chunk of references (id, v, cell), as far as its bound,
+    in cells other than its own. TILE queries meet TILE references of a cell at a time."""
+    names = ["i", "j", "d"]
+    mine, theirs = left.column("id").to_pandas().to_numpy(), right.column("id").to_pandas().to_numpy()
+    found = []
+    if left.num_rows and right.num_rows:
+        x, r, own, cell, bounds = _matrix(left), _matrix(right), left.column("cell").to_numpy(), right.column("cell").to_numpy(), left.column("bound").to_numpy()
+        by_key = np.argsort(np.argsort(theirs, kind="stable"), kind="stable")
+        in_cells, by_cell = np.argsort(cell, kind="stable"), np.argsort(own, kind="stable")
+        cs, begins = np.unique(cell[in_cells], return_index=True)
+        runs = [(c, in_cells[p : min(p + TILE, e)]) for c, b, e in zip(cs, begins, [*begins[1:], len(cell)]) for p in range(b, e, TILE)]
+        for tile in (by_cell[a : a + TILE] for a in range(0, len(x), TILE)):
+            q, bound = x[tile], bounds[tile].copy()
+            norm, go = (q * q).sum(1), cells.reached(q, own[tile], bound)
+            held: list[tuple[np.ndarray, ...]] = []
+            n = 0
+
+            def settle() -> None:
+                nonlocal held, n
+                i, j, d, place = _first(*(np.concatenate(c) for c in zip(*held)), by_key, k)
+                bound[i[place == k - 1]] = np.minimum(bound[i[place == k - 1]], d[place == k - 1])
+                held, n = [(i, j, d)], 0
+
+            for c, run in runs:
+                rows = np.nonzero(go[:, c])[0]
+                if not len(rows):
+                    continue
+                z = r[run]
+                norms = (z * z).sum(1)
+                rough = norm[rows][:, None] + norms - 2 * q[rows] @ z.T
+                slack = 1e-9 * (norm[rows] + norms.max())
+                last = bound[rows] ** 2 + slack
+                near = rough <= last[:, None]
+                many = np.nonzero(near.sum(1) > 8 * k)[0]
+                if len(many) and k + skip_self < len(run):
+                    near[many] &= rough[many] <= (np.partition(rough[many], k + skip_self - 1, axis=1)[:, k + skip_self - 1] + 2 * slack[many])[:, None]
+                del rough
+                for some in np.array_split(np.arange(len(rows)), 1 + near.sum() // (1 << 18)):  # ties may be many
+                    i, j = np.nonzero(near[some])
+                    i, j = rows[some[i]], run[j]
+                    if skip_self:
+                        other = mine[tile[i]] != theirs[j]
+                        i, j = i[other], j[other]
+                    if len(i):
+                        d = np.concatenate([np.sqrt(((q[i[a : a + (1 << 15)]] - r[j[a : a + (1 << 15)]]) ** 2).sum(1)) for a in range(0, len(i), 1 << 15)])
+                        held.append((i, j, d))
+                        n += len(i)
+                    if n > 4 * k * len(tile):
+                        settle()
+            if held:
+                settle()
+                i, j, d = held[0]
+                found.append((mine[tile[i]], theirs[j], d))
+    if not found:
+        return pa.table([pa.array([], left.schema.field("id").type), pa.array([], right.schema.field("id").type), pa.array([], pa.float64())], names)
+    i, j, d = (np.concatenate(c) for c in zip(*found))
+    return pa.table([pa.array(i, left.schema.field("id").type), pa.array(j, right.schema.field("id").type), pa.array(d)], names)
+
+
 def nearest(queries: DataFrame, references: DataFrame, k: int, key: str = "id", vector: str = "v", skip_self: bool = True, block: int = BLOCK) -> DataFrame:
     """(i, j, d, rank): the k nearest references of every query, by distance, then key; never a row with the query's own key if skip_self.
 
     Exact. References are dealt to cells, those of their nearest pivot; pivots are references of least hash, about one a block and
-    PIVOTS at most. A query first meets its own cell, which bounds how far its neighbours can be; then only cells that may
-    hold something as near, by their radius and by the plane between the pivots. A cell that outgrows a block is met in parts, and a task
-    compares one block of queries with one part.
+    PIVOTS at most. A query first meets its own cell, in parts where that outgrows a block, which bounds how far its neighbours can be;
+    then the chunks of cells that may hold something as near. A row goes once to each chunk (a dozen, of CHUNK rows at most), not to
+    each cell, and a task meets one chunk of queries with one of references in tiles, so what it holds does not grow with the table. Of equal
+    references only those that a query can return are met. In many dimensions little is pruned: the products are those of all pairs.
     """
     kind = queries.schema[key].dataType.simpleString()
     plain = lambda df: df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     first = plain(references)
+    for by, most in ((["v", "id"], k), (["v"], 2 * k if skip_self else k)):  # a query leaves out one key
+        first = first.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).where(F.col("n") <= most).drop("n")
+    first = keep(first, "references")
     n = first.count()
     if n == 0:
         return queries.sparkSession.createDataFrame([], f"i {kind}, j {kind}, d double, rank int")
     few = first.orderBy(F.xxhash64(F.lit(1), "id")).limit(min(PIVOTS, -(-n // block))).collect()
-    pivots = np.array([r["v"] for r in few])
-
-    def to_pivots(x: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * x @ pivots.T))
+    deal = _Cells(np.array([r["v"] for r in few]), np.zeros(len(few)))
 
     def assigned(df: DataFrame) -> DataFrame:
         def run(batches):
-            for pdf in batches:
-                d = to_pivots(np.stack(pdf["v"].to_numpy())) if len(pdf) else np.zeros((0, len(pivots)))
-                cell = d.argmin(1)
-                yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "cell": cell, "far": d[np.arange(len(d)), cell]})
+            for whole in batches:
+                for pdf in (whole.iloc[a : a + TILE] for a in range(0, len(whole), TILE)):
+                    d = deal.to_pivots(np.stack(pdf["v"].to_numpy()))
+                    cell = d.argmin(1)
+                    yield pd.DataFrame({"id": pdf["id"].to_numpy(), "v": pdf["v"].to_numpy(), "cell": cell, "far": d[np.arange(len(d)), cell]})
 
         said = f"id {df.schema['id'].dataType.simpleString()}, v array<double>, cell int, far double"
         return keep(df.mapInPandas(run, said), "cells")
@@ -62,34 +163,59 @@ def nearest(queries: DataFrame, references: DataFrame, k: int, key: str = "id",
     of = {r["cell"]: (r["n"], r["r"]) for r in there.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("r")).collect()}  # a cell a row
     parts = {c: -(-m // block) for c, (m, _) in of.items()}
     found = keep(_met(own.where(F.col("cell").isin(list(of))).select("id", "v", "cell"), there, parts, k, skip_self, block), "near")
-    if len(pivots) > 1:
+    if len(few) > 1:
         bound = found.groupBy("i").agg(F.sort_array(F.collect_list("d")).alias("d")).select(F.col("i").alias("id"), F.get("d", F.lit(k - 1)).alias("bound"))
-        between = np.sqrt(np.maximum(0, (pivots * pivots).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * pivots @ pivots.T))
-        radius = np.array([of.get(c, (0, -np.inf))[1] for c in range(len(pivots))])
-
-        def reached(batches):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                d, at = to_pivots(np.stack(pdf["v"].to_numpy())), pdf["cell"].to_numpy()
-                mine = d[np.arange(len(d)), at][:, None]
-                plane = (d * d - mine * mine) / (2 * np.maximum(between[at], 1e-300))
-                least = np.maximum(np.where(between[at] > 0, plane, 0), d - radius)
-                slack = 1e-6 * (1 + d.max(1))[:, None]  # products round
-                go = least <= pdf["bound"].fillna(np.inf).to_numpy()[:, None] + slack
-                go[np.arange(len(d)), at] = False
-                q, c = np.nonzero(go & np.isfinite(radius))
-                yield pd.DataFrame({"id": pdf["id"].to_numpy()[q], "v": pdf["v"].to_numpy()[q], "cell": c})
-
-        more = own.join(bound, "id", "left").select("id", "v", "cell", "bound").mapInPandas(reached, f"id {kind}, v array<double>, cell int")
-        found = found.unionByName(_met(keep(more, "reached"), there, parts, k, skip_self, block))
+        cells = _Cells(deal.pivots, np.array([of.get(c, (0, -np.inf))[1] for c in range(len(few))]))
+        found = found.unionByName(_reached(own.join(bound, "id", "left"), there, cells, {c: m for c, (m, _) in of.items()}, k, skip_self, min(CHUNK, max(block, -(-n // 12)))))
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
 
 
+def _by(column: str, m: dict[int, int]) -> Column:
+    return F.coalesce(F.create_map(*[F.lit(int(x)) for pair in m.items() for x in pair])[F.col(column)], F.lit(0)) if m else F.lit(0)
+
+
+def _reached(own: DataFrame, there: DataFrame, cells: _Cells, sizes: dict[int, int], k: int, skip_self: bool, chunk: int) -> DataFrame:
+    """(i, j, d) of the queries (id, v, cell, bound) and what they may find in other cells."""
+    # cells beside each other fill a chunk, along the axis on which the pivots differ most; a cell above a chunk is one of its own, in parts
+    centred = cells.pivots - cells.pivots.mean(0)
+    along = centred @ np.linalg.eigh(centred.T @ centred)[1][:, -1]
+    begin, parts, at, full = {}, {}, -1, chunk
+    for c in sorted(sizes, key=lambda c: along[c]):
+        parts[c] = -(-sizes[c] // chunk)
+        if parts[c] > 1 or full + sizes[c] > chunk:
+            at, full = at + 1, 0
+        begin[c], full = at, full + sizes[c]
+        if parts[c] > 1:
+            at, full = at + parts[c] - 1, chunk
+    chunks = {c: list(range(begin[c], begin[c] + parts[c])) for c in sizes}
+    kind = own.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for whole in batches:
+            for pdf in (whole.iloc[a : a + TILE] for a in range(0, len(whole), TILE)):
+                go = cells.reached(np.stack(pdf["v"].to_numpy()), pdf["cell"].to_numpy(), pdf["bound"].fillna(np.inf).to_numpy(float))
+                reach = np.zeros((len(pdf), at + 1), bool)
+                for c in chunks:
+                    reach[:, chunks[c]] |= go[:, [c]]
+                yield pd.DataFrame({"id": pdf["id"].to_numpy(), "v": pdf["v"].to_numpy(), "cell": pdf["cell"].to_numpy(), "bound": pdf["bound"].fillna(np.inf).to_numpy(float), "reach": [np.nonzero(r)[0].astype(np.int32) for r in reach]})
+
+    part = lambda n: F.pmod(F.xxhash64(F.lit(2), "id"), n)
+    told = own.select("id", "v", "cell", "bound").mapInPandas(run, f"id {kind}, v array<double>, cell int, bound double, reach array<int>")
+    told = keep(told.withColumn("at", _by("cell", begin)), "reached")
+    counts = {r["at"]: -(-r["count"] // chunk) for r in told.groupBy("at").count().collect()}  # a chunk a row
+    told = told.withColumn("a", (F.col("at") + F.lit(at + 1) * part(_by("at", counts))).cast("long"))
+    q = told.select("id", "v", "cell", "bound", "a", F.explode("reach").alias("b"))
+    pairs = told.select(F.col("a").alias("of"), F.explode("reach").alias("to")).distinct()  # of chunks
+    r = there.select("id", "v", "cell", (_by("cell", begin) + part(_by("cell", parts))).cast("int").alias("chunk")).join(F.broadcast(pairs), F.col("chunk") == F.col("to"))
+    id_of = lambda df: df.schema["id"].dataType.simpleString()
+    meet = lambda left, right: _far(left, right, cells, k, skip_self)
+    return q.groupBy("a", "b").cogroup(r.select("id", "v", "cell", "of", "to").groupBy("of", "to")).applyInArrow(meet, f"i {id_of(q)}, j {id_of(r)}, d double")
+
+
 def _met(queries: DataFrame, references: DataFrame, parts: dict[int, int], k: int, skip_self: bool, block: int) -> DataFrame:
     """(i, j, d): for each query (id, v, cell) of a written table its k nearest in every part of that cell."""
     blocks = {r["cell"]: -(-r["count"] // block) for r in queries.groupBy("cell").count().collect()}  # a cell a row
-    number = lambda m: F.coalesce(F.create_map(*[F.lit(int(x)) for pair in m.items() for x in pair])[F.col("cell")], F.lit(0)) if m else F.lit(0)
+    number = lambda m: _by("cell", m)
     deal = lambda n: F.pmod(F.xxhash64(F.lit(2), "id"), n).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     q = queries.where(number(parts) > 0).select("id", "v", "cell", deal(number(blocks)).alias("bq"), all_of(number(parts)).alias("br"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from loomstat.models.base import SVR, rbf
-from loomstat.operators import gaps
+from loomstat.operators import gaps, neighbours
 
 
 def _primal(model: SVR, state: tuple, x: np.ndarray, y: np.ndarray) -> float:
@@ -77,3 +77,28 @@ def test_median_gap_meets_few_blocks(spark, monkeypatch):
     assert max(met) < 5 * 100  # of 5,050 pairs of blocks
     below = (np.searchsorted(d, d + got, "right") - np.arange(1, len(d) + 1)).sum()
     assert abs(int(below) - len(d) * (len(d) - 1) // 4) <= 1
+
+
+def test_neighbours_take_no_row_a_query_and_cell(spark, monkeypatch):
+    """In many dimensions a query reaches most cells; keys and vectors that repeat lose nothing."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(330, 12))
+    x[300:] = x[0]
+    key = np.r_[np.arange(310), np.full(20, 3)]
+    rows, own = {}, neighbours.keep
+
+    def seen(df, name):
+        out = own(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "keep", seen)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(key, x)], "id long, v array<double>")
+    ask = df.dropDuplicates(["id"]).where("id <> 3")
+    got = neighbours.nearest(ask, df, 3, block=20).orderBy("i", "rank").toPandas()
+    assert rows["reached"] <= 309
+    d = np.sqrt(((x[:310, None] - x[None]) ** 2).sum(2))
+    for i in set(range(310)) - {3}:
+        order = [j for j in np.lexsort((key, d[i])) if key[j] != i][:3]
+        mine = got[got["i"] == i]
+        assert mine["j"].tolist() == key[order].tolist() and mine["d"].to_numpy() == pytest.approx(d[i][order], abs=1e-12)
