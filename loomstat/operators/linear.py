@@ -60,6 +60,16 @@ def solve(model: Linear, products: np.ndarray, factors: np.ndarray | None = None
     return np.concatenate([[mean[-1] - slope @ mean[1:-1]], slope])
 
 
+def unscaled(model: Linear, products: np.ndarray) -> np.ndarray:
+    """(intercept, slopes) of the model as its own fit gives them, on variables that are only centred."""
+    n = products[0, 0]
+    mean = products[0] / n
+    c = products - n * np.outer(mean, mean)
+    xx, xy = c[1:-1, 1:-1], c[1:-1, -1]
+    slope = np.linalg.lstsq(xx + model.ridge * np.eye(len(xy)), xy, rcond=None)[0] if isinstance(model, Ridge) else _pls(xx, xy, model.components)
+    return np.concatenate([[mean[-1] - slope @ mean[1:-1]], slope])
+
+
 def _pls(xx: np.ndarray, xy: np.ndarray, components: int) -> np.ndarray:
     """Slopes of PLS for one target from cross products: deflating them is deflating the rows."""
     rotate, loads, heads = [], [], []

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.normal import fisher_interval
 from ..models.base import Estimator
+from . import linear
 from .metrics import correlations
+from .splits import placed
 
 
 def modal_rates(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -79,10 +81,13 @@ def corrected_correlations(df: DataFrame, cols: list[str], alpha: float, use_bou
 def cvpfi(df: DataFrame, estimator: Estimator, key: str, fold: str, cols: list[str], y: str, repeats: int = 5, alpha: float = 0.999, seed: int = 0, use_bound: bool = True) -> DataFrame:
     """(variable, mean, std): loss of r2 when a variable, and what is correlated with it, is drawn anew in held-out folds.
 
-    The cells (fold, variable, repeat) are tasks; each fits its fold's model on the rows outside the fold. Correlated
-    columns are drawn with a chance of the corrected |r|.
+    Correlated columns are drawn with a chance of the corrected |r|. PLS and ridge come from moments of the folds, and what is drawn is joined
+    by its place among the rows outside the fold, so no task holds the table. For other estimators the cells (fold, variable,
+    repeat) are tasks; each fits its fold's model on the rows outside the fold.
     """
     linked = corrected_correlations(df, cols, alpha, use_bound)
+    if isinstance(estimator, linear.Linear):
+        return _cvpfi_by_moments(df, estimator, key, fold, cols, y, linked, repeats, seed)
     folds = sorted(r[0] for r in df.select(fold).distinct().collect())
     spark = df.sparkSession
     cells = spark.createDataFrame([(f, v, r) for f in folds for v in range(-1, len(cols)) for r in range(repeats if v >= 0 else 1)], "cell_fold int, variable int, repeat int")
@@ -108,6 +113,38 @@ def cvpfi(df: DataFrame, estimator: Estimator, key: str, fold: str, cols: list[s
     return score.where("variable >= 0").crossJoin(F.broadcast(base)).groupBy(names.alias("variable")).agg(F.avg(F.col("base") - F.col("r2")).alias("mean"), F.stddev_samp(F.col("base") - F.col("r2")).alias("std"))
 
 
+def _cvpfi_by_moments(df: DataFrame, estimator: linear.Linear, key: str, fold: str, cols: list[str], y: str, linked: np.ndarray, repeats: int, seed: int) -> DataFrame:
+    """Rows lie in the order of folds, so those outside a fold are the places before and behind it; a hash draws one of them."""
+    names = F.element_at(F.array(*map(F.lit, cols)), F.col("variable") + 1)
+    z = [f"z{i}" for i in range(len(cols))]
+    rows = df.select(F.col(key).alias("id"), F.col(fold).cast("int").alias("fold"), *[F.col(c).cast("double").alias(i) for c, i in zip(cols, z)], F.col(y).cast("double").alias("y")).dropna(subset=["fold", *z, "y"])
+    rows = placed(rows, [F.col("fold"), F.xxhash64(F.lit(seed), "id"), F.col("id")])
+    products = linear.fold_products(rows, z, "y", F.col("fold"))
+    whole, begin, lines = sum(products.values()), {}, {}
+    for f in sorted(products):
+        begin[f] = int(sum(products[b][0, 0] for b in begin))
+        lines[f] = linear.unscaled(estimator, whole - products[f])
+    n = int(whole[0, 0])
+    of = lambda values: F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("fold"))
+    slope = lambda i: of({f: float(line[i + 1]) for f, line in lines.items()})
+    rows = rows.withColumns({"e": F.col("y") - linear.predicted(lines, F.col("fold"), z), "begin": of(begin), "size": of({f: int(p[0, 0]) for f, p in products.items()})})
+    cells = F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.lit(r).alias("repeat"), F.lit(c).alias("c"), F.lit(float(linked[v, c])).alias("chance")) for v in range(len(cols)) for r in range(repeats) for c in range(len(cols)) if linked[v, c] > 0]))
+    asked = rows.withColumn("cell", cells).select("*", "cell.*")
+    chance = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), "place", "variable", "repeat", "c")
+    asked = asked.where((F.col("chance") >= 1) | (F.pmod(chance(1), F.lit(1 << 30)) < F.col("chance") * (1 << 30)))
+    turn = F.pmod(chance(2), F.lit(n) - F.col("size"))
+    pick = lambda f: F.array(*[f(i) for i in range(len(cols))])[F.col("c")]
+    asked = asked.select("place", "variable", "repeat", "e", "c", pick(slope).alias("b"), pick(lambda i: F.col(z[i])).alias("own"), (turn + F.when(turn >= F.col("begin"), F.col("size")).otherwise(0)).alias("at"))
+    drawn = asked.join(rows.select(F.col("place").alias("at"), F.array(*z).alias("x")), "at")
+    moved = drawn.groupBy("place", "variable", "repeat").agg(F.first("e").alias("e"), F.sum(F.col("b") * (F.col("x")[F.col("c")] - F.col("own"))).alias("d"))
+    # a row that draws nothing adds nothing to the difference of squares
+    spread = whole[-1, -1] - whole[0, -1] ** 2 / n
+    loss = moved.groupBy("variable", "repeat").agg((F.sum((F.col("e") - F.col("d")) ** 2 - F.col("e") ** 2) / F.lit(float(spread) if spread > 0 else float("nan"))).alias("loss"))
+    none = df.sparkSession.createDataFrame([(v, r, 0.0) for v in range(len(cols)) for r in range(repeats)], "variable int, repeat int, loss double")  # where nothing is drawn
+    loss = loss.unionByName(none).groupBy("variable", "repeat").agg(F.sum("loss").alias("loss"))
+    return loss.groupBy(names.alias("variable")).agg(F.avg("loss").alias("mean"), F.stddev_samp("loss").alias("std"))
+
+
 def lomp(df: DataFrame, estimator: Estimator, state: object, key: str, cols: list[str], half_range: list[float], samples: int = 100, seed: int = 0) -> DataFrame:
     """(key, slopes): least-squares slopes of the model over virtual points in a box around each row."""
     kind = df.schema[key].dataType.simpleString()

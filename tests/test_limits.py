@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from loomstat.models.base import SVR, rbf
-from loomstat.operators import gaps, neighbours
+from loomstat.operators import gaps, neighbours, selection
 
 
 def _primal(model: SVR, state: tuple, x: np.ndarray, y: np.ndarray) -> float:
@@ -102,3 +102,39 @@ def test_neighbours_take_no_row_a_query_and_cell(spark, monkeypatch):
         order = [j for j in np.lexsort((key, d[i])) if key[j] != i][:3]
         mine = got[got["i"] == i]
         assert mine["j"].tolist() == key[order].tolist() and mine["d"].to_numpy() == pytest.approx(d[i][order], abs=1e-12)
+
+
+def test_quantiles_by_counting(spark):
+    rng = np.random.default_rng(6)
+    v = np.r_[rng.normal(size=301), np.full(50, 0.25), 1e9]
+    df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+    for share in (0.0, 0.01, 0.37, 0.997, 1.0):
+        assert gaps.quantile(df, "v", share) == pytest.approx(np.quantile(v, share), rel=1e-12)
+    assert gaps.order_statistics(df.dropna(), "v", [0, 100, 351], bins=3) == np.sort(v)[[0, 100, 351]].tolist()
+    assert gaps.quantile(df.where("v IS NULL"), "v", 0.5) is None
+
+
+def test_no_task_of_permutation_importance_takes_the_table(spark, monkeypatch):
+    """The loss is that of draws from the rows outside the fold, and no cell gets a copy of the rows."""
+    from pyspark.sql import GroupedData
+
+    from loomstat.models.base import Ridge
+    from loomstat.operators.splits import folds
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 2))
+    y = 2 * x[:, 0] + 0.3 * rng.normal(size=600)
+    df = folds(spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))], "id long, a double, b double, y double"), "id", 3)
+    own = GroupedData.applyInPandas
+
+    def seen(self, run, schema):
+        def counted(key, pdf):
+            assert len(pdf) < 600
+            return run(key, pdf)
+
+        return own(self, counted if run.__code__.co_argcount == 2 else run, schema)
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", seen)
+    got = selection.cvpfi(df, Ridge(), "id", "fold", ["a", "b"], "y", 4, alpha=1.0).toPandas().set_index("variable")
+    assert got.loc["a", "mean"] == pytest.approx(2 * 4 * x[:, 0].var() / y.var(), rel=0.1)  # the expected loss of r2
+    assert abs(got.loc["b", "mean"]) < 0.01 and (got["std"] < 0.2).all()
