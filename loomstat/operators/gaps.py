@@ -1,4 +1,4 @@
-"""Medians of the differences of all pairs of rows, by counting pairs below a bound: no pairs are made.
+"""Order statistics by counting: quantiles of a column, and medians of the differences of all pairs of rows, without making pairs.
 
 Distinct values lie in blocks along their order. What blocks span says which pairs of blocks lie wholly below or above a bound; only
 those that straddle it meet in tasks, and these are a few for each block. A search among the doubles then needs a few such counts.
@@ -129,6 +129,45 @@ class _Gaps:
                 return high, n
 
 
+def order_statistics(df: DataFrame, col: str, ranks: list[int], bins: int = 4096) -> list[float]:
+    """The values of col (finite, no nulls) at places from 0 in their order. A scan counts values by bins of a range and the next looks into the bins
+    that hold a rank, as far as their least and greatest value; nothing is sorted or sent but counts."""
+    rows = df.select(F.col(col).cast("double").alias("v"))
+    found: dict[int, float] = {}
+    span = rows.agg(F.min("v").alias("low"), F.max("v").alias("high")).first()
+    todo = [(span["low"], span["high"], 0, sorted(set(ranks)))]
+    while todo:
+        low, high, below, own = todo.pop()
+        if low == high:
+            found |= dict.fromkeys(own, low)
+            continue
+        share = (F.col("v") / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)  # halves do not overflow
+        at = F.least(F.lit(bins - 1), F.floor(share * bins).cast("int"))
+        counts = sorted(rows.where(F.col("v").between(low, high)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect())
+        for r in counts:  # at most `bins`
+            here = [k for k in own if below <= k < below + r["n"]]
+            if here:
+                todo.append((r["low"], r["high"], below, here))
+            below += r["n"]
+    return [found[k] for k in ranks]
+
+
+def quantile(df: DataFrame, col: str, share: float) -> float | None:
+    """The quantile of a column by linear interpolation, exact at any size; nulls are left out, None without values. NaN counts as the greatest value."""
+    v = F.col(col).cast("double")
+    kept = df.select(v.alias("v")).where("v IS NOT NULL")
+    plain = kept.where(~F.isnan("v") & (F.abs("v") != float("inf")))
+    small, n, large, nan = (x or 0 for x in kept.agg(*[F.sum(F.when(c, 1).otherwise(0)) for c in (F.col("v") == -float("inf"), ~F.isnan("v") & (F.abs("v") != float("inf")), F.col("v") == float("inf"), F.isnan("v"))]).first())
+    if not small + n + large + nan:
+        return None
+    at = share * (small + n + large + nan - 1)
+    ends = [int(at), min(int(at) + (at > int(at)), small + n + large + nan - 1)]
+    inner = [k - small for k in ends if small <= k < small + n]
+    told = dict(zip(inner, order_statistics(plain, "v", inner))) if inner else {}
+    a, b = (told[k - small] if k - small in told else -float("inf") if k < small else float("inf") if k < small + n + large else float("nan") for k in ends)
+    return a if a == b else a * (1 - (at - ends[0])) + b * (at - ends[0])
+
+
 def median_gap(df: DataFrame, key: str, col: str, blocks: int = BLOCKS) -> float | None:
     """The median of |difference| over all pairs of rows of different keys whose values differ; None without such pairs.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normal
 from ..operators import metrics as op
+from ..operators.gaps import quantile
 from ..operators.ranks import kendall
 from ..registry import query, table
 
@@ -66,7 +67,8 @@ def a10_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT round(quantile_cont(l_extendedprice, 0.01), 4) AS p01, round(quantile_cont(l_extendedprice, 0.997), 4) AS p997 FROM lineitem")
 def a11_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").agg(F.round(F.percentile("l_extendedprice", 0.01), 4).alias("p01"), F.round(F.percentile("l_extendedprice", 0.997), 4).alias("p997"))
+    found = [quantile(table(spark, sf_dir, "lineitem"), "l_extendedprice", p) for p in (0.01, 0.997)]
+    return spark.createDataFrame([tuple(found)], "p01 double, p997 double").select(F.round("p01", 4).alias("p01"), F.round("p997", 4).alias("p997"))
 
 
 @query("SELECT p_brand, round(avg(p_retailprice), 4) AS mean, count(*) AS n FROM part GROUP BY p_brand HAVING count(*) >= 5")
