@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import keep
+
 KINDS = ("full", "tied", "diag", "spherical")
 
 
@@ -196,7 +198,8 @@ def impute(df: DataFrame, key: str, cols: list[str], components: int = 2, rounds
     """df with nulls filled from the likeliest component given the row's known values; fitted to complete rows first, then to all."""
     raw = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols])
     kind = df.schema[key].dataType.simpleString()
-    filled = raw.dropna(subset=cols)
+    raw = keep(raw, "holes")  # every round of every fit scans these tables
+    filled = keep(raw.dropna(subset=cols), "filled")
     for turn in range(rounds):
         model, _ = fit_mixture(filled.select(F.array(*cols).alias("v")), "v", components, rounds=30, seed=seed)
 
@@ -216,7 +219,7 @@ def impute(df: DataFrame, key: str, cols: list[str], components: int = 2, rounds
                     x[np.ix_(rows, w)] = m[np.arange(len(rows)), p.argmax(1)]
                 yield pd.DataFrame({"key": pdf["key"]} | {c: x[:, i] for i, c in enumerate(cols)})
 
-        filled = raw.withColumnRenamed(key, "key").mapInPandas(run, f"key {kind}, " + ", ".join(f"{c} double" for c in cols)).withColumnRenamed("key", key)
+        filled = keep(raw.withColumnRenamed(key, "key").mapInPandas(run, f"key {kind}, " + ", ".join(f"{c} double" for c in cols)).withColumnRenamed("key", key), "filled")
     return filled
 
 
