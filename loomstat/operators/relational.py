@@ -6,13 +6,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Parts of a group whose pairs are made apart.
+PARTS = 64
+
 
 def preference_pairs(df: DataFrame, key: str, group: str, y: str) -> DataFrame:
-    """(winner, loser) within a group; values that are close (1e-8 + 1e-5 |loser|) make no pair."""
+    """(winner, loser) within a group; values that are close (1e-8 + 1e-5 |loser|) make no pair.
+
+    The pairs are the result, so the work grows with them; winners are dealt to PARTS of each group, so that no task makes all pairs of one.
+    """
     a = df.select(F.col(group).alias("g"), F.col(key).alias("winner"), F.col(y).alias("ya"))
     b = df.select(F.col(group).alias("g"), F.col(key).alias("loser"), F.col(y).alias("yb"))
     far = F.col("ya") - F.col("yb") > 1e-8 + 1e-5 * F.abs("yb")
-    return a.join(b, "g").where((F.col("ya") > F.col("yb")) & far).select("winner", "loser")
+    a = a.withColumn("part", F.pmod(F.xxhash64("winner", "ya"), F.lit(PARTS)).cast("int"))
+    b = b.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return a.hint("merge").join(b, ["g", "part"]).where((F.col("ya") > F.col("yb")) & far).select("winner", "loser")
 
 
 def sorted_pairing(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
