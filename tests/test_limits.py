@@ -160,3 +160,44 @@ def test_rounds_of_imputation_scan_written_tables(spark, monkeypatch):
     rows = [(i, float(i % 7), float(i % 7) * 2 if i % 5 else None) for i in range(60)]
     out = mixtures.impute(spark.createDataFrame(rows, "id long, a double, b double"), "id", ["a", "b"], 1, 2).toPandas()
     assert len(seen) == 2 and all(seen) and np.allclose(out["b"], 2 * out["a"], atol=1e-3)
+
+
+def test_soft_sensor_fits_rows_together_and_carries_keys_over_batches(spark, request, monkeypatch):
+    """Estimates are those of a fit a row, also where a key outgrows a batch; no key is gathered as a whole."""
+    from pyspark.sql import GroupedData
+
+    from loomstat.models.base import PLS
+    from loomstat.streaming import soft_sensor
+
+    def whole(*_):
+        raise AssertionError("a key is gathered")
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", whole)
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for key, n in ((None, 9), ("a", 120), ("b", 3), ("c", 40)):
+        known, pending, last = [], [], 0.0
+        for t in range(n):
+            x, y = [float(rng.integers(0, 4)), 1.5 if key == "c" else float(rng.normal())], float(rng.normal()) if rng.random() > 0.2 else None
+            if key == "a" and t == 30:
+                x[0] = None
+            data = np.array([[np.nan if v is None else v for v in r] for r in known], float)
+            q = np.array([np.nan if v is None else v for v in x])
+            if len(known) >= 5:
+                a, b = data[:, :-1], data[:, -1]
+                dev = a.std(0, ddof=1)
+                z, at = (a - a.mean(0)) / np.where(dev > 0, dev, 1.0), (q - a.mean(0)) / np.where(dev > 0, dev, 1.0)
+                d = np.sqrt(((z - at) ** 2).sum(1))
+                spread = d.std(ddof=1)
+                got = PLS(2).predict(PLS(2).fit(z, b, np.exp(-d / spread) if spread > 0 else None), at[None])[0]
+                last = float(got) if np.isfinite(got) else last
+            want[len(rows)] = last
+            rows.append((len(rows), key, t, *x, y))
+            pending.append([*x, y])
+            if len(pending) > 3 and (first := pending.pop(0))[-1] is not None:
+                known = [*known, first][-20:]
+    df = spark.createDataFrame(rows, "id long, key string, t int, x0 double, x1 double, y double").repartition(3)
+    got = {r["id"]: r["estimate"] for r in soft_sensor.estimate(df, "key", ["t"], "id", ["x0", "x1"], "y", most=20).collect()}
+    assert len(got) == len(rows) and [got[i] for i in range(len(rows))] == pytest.approx([want[i] for i in range(len(rows))], abs=1e-9)
