@@ -14,14 +14,17 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..models.base import PLS, Estimator
 from ..tables import keep
 from . import linear
 from .em import gathered, vectors
 from .forest import drawn, subspace
+from .gaps import quantile
 from .neighbours import BLOCK
 from .splits import placed
 
@@ -197,24 +200,28 @@ def bagging(train: DataFrame, test: DataFrame, estimator: Estimator, key: str, c
 
     Linear models come from weighted moments of all bags in one scan; others are one task a bag.
     """
-    own = [subspace(len(cols), subspace_size, seed, b) for b in range(models)]
-    if isinstance(estimator, linear.Linear):
-        states = {b: linear.solve(estimator, s) for b, s in _bag_products(train, key, cols, y, own, seed).items()}
-        apply = lambda b, x: states[b][0] + x[:, own[b]] @ states[b][1:]
-    else:
-        states = _fit_bags(train, estimator, key, cols, y, models, seed, own)
-        apply = lambda b, x: scaled_predict(estimator, pickle.loads(states[b]), x[:, own[b]])
+    fits = _fitted_bags(train, estimator, key, cols, y, models, seed, subspace_size)
     kind = test.schema[key].dataType.simpleString()
 
     def predict(batches):
         for pdf in batches:
             x = pdf[cols].to_numpy(float)
-            for m in states:
-                yield pd.DataFrame({"key": pdf["key"], "model": m, "yhat": apply(m, x)})
+            for m, fit in fits.items():
+                yield pd.DataFrame({"key": pdf["key"], "model": m, "yhat": fit(x)})
 
     return test.select(F.col(key).alias("key"), *cols).mapInPandas(predict, f"key {kind}, model int, yhat double").withColumnRenamed("key", key)
 
 
+def _fitted_bags(train: DataFrame, estimator: Estimator, key: str, cols: list[str], y: str, models: int, seed: int, subspace_size: int | float = 1.0) -> dict[int, Callable[[np.ndarray], np.ndarray]]:
+    """For each bag the predictions that its model makes."""
+    own = [subspace(len(cols), subspace_size, seed, b) for b in range(models)]
+    if isinstance(estimator, linear.Linear):
+        lines = {b: linear.solve(estimator, s) for b, s in _bag_products(train, key, cols, y, own, seed).items()}
+        return {b: lambda x, b=b: lines[b][0] + x[:, own[b]] @ lines[b][1:] for b in lines}
+    states = _fit_bags(train, estimator, key, cols, y, models, seed, own)
+    return {b: lambda x, b=b: scaled_predict(estimator, pickle.loads(states[b]), x[:, own[b]]) for b in states}
+
+
 def _bag_products(train: DataFrame, key: str, cols: list[str], y: str, own: list[np.ndarray], seed: int) -> dict[int, np.ndarray]:
     """For each bag the sums of products of (1, its variables, y), rows weighted by how often the bag draws them."""
 
@@ -261,26 +268,38 @@ def combine(predictions: DataFrame, key: str, robust: bool = True) -> DataFrame:
 
 def outlier_flags(df: DataFrame, key: str, y: str, yhat: str) -> DataFrame:
     """(key, outlier): |y - estimate| above 3 times 1.4826 MAD of the estimates about their median (one number for all)."""
-    mid = df.agg(F.median(yhat)).first()[0]
-    spread = 1.4826 * df.agg(F.median(F.abs(F.col(yhat) - mid))).first()[0]
+    mid = quantile(df, yhat, 0.5)
+    spread = 1.4826 * quantile(df.select(F.abs(F.col(yhat) - mid).alias("gap")), "gap", 0.5)
     return df.select(key, (F.abs(F.col(y) - F.col(yhat)) > 3 * spread).alias("outlier"))
 
 
 def ensemble_outliers(df: DataFrame, estimator: Estimator, key: str, cols: list[str], y: str, models: int = 100, rounds: int = 30, seed: int = 0) -> DataFrame:
-    """(key, outlier): bag on the rows that are no outliers, flag anew, until the flags repeat."""
-    flags = None
+    """(key, outlier): bag on the rows that are no outliers, flag anew, until the flags repeat.
+
+    A row keeps its flag and carries the estimates of all models, so a round shuffles no rows; medians of all rows are found by counting.
+    """
+    rows = keep(df.select(F.col(key).alias("key"), *[F.col(c).cast("double").alias(c) for c in cols], F.col(y).alias("y"), F.lit(None).cast("boolean").alias("outlier")), "rows")
+    names = rows.columns
     for r in range(rounds):
-        train = df if flags is None else df.join(flags.where("outlier"), key, "left_anti")
-        every = keep(bagging(train, df, estimator, key, cols, y, models, seed + r), "bagged")
-        centre = every.groupBy(key).agg(F.median("yhat").alias("m"))
-        middle = centre.agg(F.median("m")).first()[0]
-        spread = 1.4826 * every.agg(F.median(F.abs(F.col("yhat") - middle))).first()[0]
-        found = keep(df.select(key, y).join(centre, key).select(key, (F.abs(F.col(y) - F.col("m")) > 3 * spread).alias("outlier")), "outliers")
-        changed = flags is None or not found.join(flags.withColumnRenamed("outlier", "before"), key).where("outlier <> before").isEmpty()
-        flags = found
-        if not changed:
+        fits = _fitted_bags(rows.where(~F.coalesce("outlier", F.lit(False))), estimator, "key", cols, "y", models, seed + r)
+
+        def estimated(batches, fits=fits):
+            for b in batches:
+                x = np.column_stack([b.column(c).to_numpy(zero_copy_only=False) for c in cols])
+                yhat = np.stack([fit(x) for fit in fits.values()], 1)
+                n, rise, at = (~np.isnan(yhat)).sum(1), np.sort(yhat, 1), np.arange(len(yhat))  # without a number there is no estimate
+                mid = np.where(n > 0, (rise[at, (n - 1) // 2] + rise[at, n // 2]) / 2, np.nan)
+                every = pa.ListArray.from_arrays(np.arange(len(yhat) + 1, dtype=np.int32) * yhat.shape[1], pa.array(yhat.ravel(), from_pandas=True))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(mid, from_pandas=True), every], [*names, "m", "yhat"])
+
+        told = keep(rows.mapInArrow(estimated, StructType([*rows.schema, StructField("m", DoubleType()), StructField("yhat", ArrayType(DoubleType()))])), "bagged")
+        middle = quantile(told, "m", 0.5)
+        spread = 1.4826 * quantile(told.select(F.explode("yhat").alias("v")).select(F.abs(F.col("v") - middle).alias("gap")), "gap", 0.5)
+        found = keep(told.select(*names[:-1], (F.abs(F.col("y") - F.col("m")) > 3 * spread).alias("outlier"), F.col("outlier").alias("before")), "outliers")
+        rows = found.drop("before")
+        if r and found.where("outlier <> before").isEmpty():
             break
-    return flags
+    return rows.select(F.col("key").alias(key), "outlier")
 
 
 def augmented(source: DataFrame, target: DataFrame, cols: list[str]) -> DataFrame:

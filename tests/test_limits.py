@@ -201,3 +201,40 @@ def test_soft_sensor_fits_rows_together_and_carries_keys_over_batches(spark, req
     df = spark.createDataFrame(rows, "id long, key string, t int, x0 double, x1 double, y double").repartition(3)
     got = {r["id"]: r["estimate"] for r in soft_sensor.estimate(df, "key", ["t"], "id", ["x0", "x1"], "y", most=20).collect()}
     assert len(got) == len(rows) and [got[i] for i in range(len(rows))] == pytest.approx([want[i] for i in range(len(rows))], abs=1e-9)
+
+
+def test_ensemble_outliers_make_no_row_a_model(spark, monkeypatch):
+    """Flags are those of bags drawn and fitted row by row; no table has more rows than the input, repeated and null keys stay."""
+    from pyspark.sql import functions as F
+
+    from loomstat.models.base import PLS
+    from loomstat.operators import forest, learning, linear
+
+    rows, own = [], learning.keep
+
+    def seen(df, name):
+        out = own(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(learning, "keep", seen)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(200, 2))
+    y = x @ [2.0, -1.0] + 0.2 * rng.normal(size=200)
+    y[:6] += 60
+    key = [None, 7, *range(2, 200)]
+    df = spark.createDataFrame([(k, *map(float, r), float(t)) for k, r, t in zip(key, x, y)] + [(300, None, 1.0, 2.0)], "id long, a double, b double, y double")
+    h = np.array([r[0] for r in df.select(F.xxhash64("id")).collect()][:200])
+    flags = np.zeros(200, bool)
+    for r in range(4):
+        v = np.column_stack([np.ones(200), x, y])[~flags]
+        lines = [linear.solve(PLS(2), (v * forest.drawn(h[~flags], b, r)[:, None]).T @ v) for b in range(10)]
+        every = np.stack([k[0] + x @ k[1:] for k in lines], 1)
+        mid = np.median(every, 1)
+        new = np.abs(y - mid) > 3 * 1.4826 * np.median(np.abs(every - np.median(mid)))
+        done, flags = (new == flags).all() and r > 0, new
+        if done:
+            break
+    got = learning.ensemble_outliers(df, PLS(2), "id", ["a", "b"], "y", 10, 4).collect()
+    want = [(k, bool(o)) for k, o in zip(key, flags)] + [(300, None)]
+    assert max(rows) == 201 and sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and 6 <= flags.sum() < 100
