@@ -102,15 +102,13 @@ def g25_reciprocal_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_POINTS + _SITES_SQL + f" SELECT t.vec_id, place::INT AS place, round(sum(element * {math.pi} * (h * x + k * y + l * z)), 5) + 0.0 AS f0, round(sum(element * element / 10.0 * {math.pi} * (h * x + k * y + l * z)), 5) + 0.0 AS f1 FROM t JOIN s ON s.vec_id = t.vec_id WHERE place <= 59 GROUP BY t.vec_id, place")
 def g25_m12_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = crystals.reciprocal_points(_lattices(spark, sf_dir), "vec_id")
-    out = crystals.reciprocal_features(_sites(spark, sf_dir), points, _properties(spark), "vec_id", 2)
+    out = crystals.lattice_features(_sites(spark, sf_dir), _lattices(spark, sf_dir), _properties(spark), "vec_id", 2)
     return out.select("vec_id", "place", *[(F.round(F.col("f")[i], 5) + 0.0).alias(f"f{i}") for i in range(2)])
 
 
 @query(_POINTS + _SITES_SQL + f" SELECT t.vec_id, place::INT AS place, round(sqrt(power(sum(element * cos({2 * math.pi} * (h * x + k * y + l * z))), 2) + power(sum(element * sin({2 * math.pi} * (h * x + k * y + l * z))), 2)), 5) + 0.0 AS amplitude FROM t JOIN s ON s.vec_id = t.vec_id WHERE place <= 59 GROUP BY t.vec_id, place")
 def m12_structure_amplitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = crystals.reciprocal_points(_lattices(spark, sf_dir), "vec_id")
-    out = crystals.reciprocal_features(_sites(spark, sf_dir), points, _properties(spark), "vec_id", 2, "complex")
+    out = crystals.lattice_features(_sites(spark, sf_dir), _lattices(spark, sf_dir), _properties(spark), "vec_id", 2, "complex")
     return out.select("vec_id", "place", (F.round(F.sqrt(F.col("f")[0] ** 2 + F.col("f")[2] ** 2), 5) + 0.0).alias("amplitude"))
 
 
