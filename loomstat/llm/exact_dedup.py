@@ -1,8 +1,8 @@
 """Exact dedup, safe against hot groups: texts equal after deleting white space form a group.
 
-Rows are grouped by (digest, salt, content): tasks combine their own copies before the shuffle, salted groups are
-merged after it, and a second grouping by (digest, content) combines the winners of the salts. The whole content is a
-grouping key each time, so equality never rests on the digest. DataFrame functions only.
+Rows are grouped by (digest, content): tasks combine their own copies before the shuffle, so a hot group is a row a task, and
+contents are shuffled once. The whole content is a grouping key, so equality never rests on the digest; what is joined back is
+salted. DataFrame functions only.
 
 Defined results: a null text counts as ""; of equal texts the one with the most code points in the original stays, then
 the smallest id, null ids last, then the text of greatest MD5 (two original texts under one id); rows that repeat id and text get the same
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep, one_row_each, without_white
+from .common import keep, one_row_each, shuffles_go, without_white
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
@@ -27,11 +27,11 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFra
     salt = F.pmod(F.xxhash64("mark", "id"), F.lit(salts)).cast("int").alias("salt")
     rows = rows.select("id", "mark", "content", F.sha2("content", 256).alias("digest"), rank.alias("rank"), salt)
     best = [F.max("rank").alias("rank"), F.sum("n").alias("n")]
-    salted = rows.select("digest", "salt", "content", "rank", F.lit(1).cast("long").alias("n")).groupBy("digest", "salt", "content").agg(*best)
-    groups = salted.groupBy("digest", "content").agg(*best)
+    groups = rows.select("digest", "content", "rank", F.lit(1).cast("long").alias("n")).groupBy("digest", "content").agg(*best)
     by_digest = groups.groupBy("digest").agg(F.count(F.lit(1)).alias("contents"), F.max("rank").alias("rank"), F.sum("n").alias("n")).where(F.col("n") > 1)
     winner = [F.when(F.col("rank.known"), -F.col("rank.low")).alias("keep_id"), F.col("rank.mark").alias("keep_mark"), "n"]
     many = keep(by_digest, "exact-groups")  # groups of one row need no join
+    shuffles_go(docs.sparkSession)
     every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     won = many.where(F.col("contents") == 1).select("digest", every.alias("salt"), *winner, F.lit(True).alias("found"))
     out = rows.select("id", "mark", "digest", "salt").join(won, ["digest", "salt"], "left").drop("salt")

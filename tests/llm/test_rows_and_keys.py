@@ -140,3 +140,22 @@ def test_huge_text_without_and_with_spaces(spark):
     want = {i: (len(t.encode()), len(lib.encode(t, add_special_tokens=False).ids)) for i, t in docs.items()}
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in token_counts.count_tokens(df, path).collect()} == want
+
+
+def test_only_rows_that_may_be_odd_are_joined(spark, monkeypatch, request):
+    """Rows that a bit table does not let by stay without a shuffle, also where joins may not broadcast; a full table loses none."""
+    from loomstat.llm import common, exact_dedup
+
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = [(i, f"text {i // 2 if i < 400 else i}", i) for i in range(3000)] + [(None, "alone", 1), (None, "text 7", 2), (5000, "twice", 3), (5000, "twice", 4), (5000, "other", 5), (None, None, 6), (None, "", 7), (None, " ", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, more int")
+    want = {(i, t) for i, t, _ in rows if (i is not None and (i >= 400 or i % 2 == 0)) or t in ("alone", " ")}
+    for bits in (common.ODD_BITS, 0):  # without bits a row the least table has to do
+        monkeypatch.setattr(common, "ODD_BITS", bits)
+        out = exact_dedup.drop_duplicates(df)
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+        got = [(r["doc_id"], r["text"]) for r in out.collect()]
+        assert len(got) == len(want) and set(got) == want
+    told = exact_dedup.duplicate_groups(df)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in told.splitlines() if "Exchange" in line and "salt" in line and "content" in line]
